@@ -113,7 +113,7 @@ def relative_proportion(ratios: DataFrame) -> DataFrame:
 
 def ratio_direction(ratios: DataFrame) -> DataFrame:
     """Which class has more of a feature, and the ratio as it is shown (``N/A`` for 0)."""
-    shown = F.when(F.col("ratio") > 0, F.concat(F.format_number("ratio", "0.00"), F.lit("x"))).otherwise("N/A")
+    shown = F.when(F.col("ratio") > 0, F.format_string("%.2fx", "ratio")).otherwise("N/A")
     return ratios.withColumns({"leans": F.when(F.col("ratio") > 1, "fake").otherwise("real"), "shown": shown})
 
 

@@ -4,25 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-TWEETS = T.StructType.fromDDL(
-    "tweet_id string, user_id string, text string, timestamp timestamp, likes bigint, retweets bigint, "
-    "is_root boolean, label int, news_id string, user_followers double, user_following double, "
-    "user_verified boolean, user_credibility double, user_bot_score double, user_type string, "
-    "followers double, following double, verified boolean, credibility double"
-)
-EDGES = T.StructType.fromDDL("source string, target string, timestamp timestamp")
-EDGES_WITH_NEWS = T.StructType.fromDDL("source string, target string, timestamp timestamp, news_id string")
-USERS = T.StructType.fromDDL(
-    "user_id string, user_type string, followers bigint, following bigint, verified boolean, credibility double"
-)
-PATTERNS = T.StructType.fromDDL(
-    "is_fake boolean, num_nodes int, propagation_tree map<string, array<string>>"
-)
-PREDICTIONS = T.StructType.fromDDL(
-    "news_id string, model string, label int, p_real double, p_fake double, pred int"
-)
+# Column types by name; optional columns may be absent from a file.
+TWEETS = {
+    "tweet_id": "string",
+    "user_id": "string",
+    "text": "string",
+    "timestamp": "timestamp",
+    "likes": "bigint",
+    "retweets": "bigint",
+    "is_root": "boolean",
+    "label": "int",
+    "news_id": "string",
+    "user_followers": "double",
+    "user_following": "double",
+    "user_verified": "boolean",
+    "user_credibility": "double",
+    "user_bot_score": "double",
+    "user_type": "string",
+    "followers": "double",
+    "following": "double",
+    "verified": "boolean",
+    "credibility": "double",
+}
+EDGES = {"source": "string", "target": "string", "timestamp": "timestamp", "news_id": "string"}
+USERS = {
+    "user_id": "string",
+    "user_type": "string",
+    "followers": "bigint",
+    "following": "bigint",
+    "verified": "boolean",
+    "credibility": "double",
+}
+PATTERNS = "is_fake boolean, num_nodes int, propagation_tree map<string, array<string>>"
 
 # Fixed default values of the optional columns, per kind of graph.
 CASCADE_DEFAULTS = {
@@ -40,10 +54,9 @@ ZERO_IS_UNKNOWN = ("user_followers", "user_credibility", "user_bot_score")
 
 
 def _or_default(df: DataFrame, name: str, default) -> Column:
-    value = F.lit(default)
     if name not in df.columns:
-        return value
-    return F.coalesce(F.col(name).cast(T._infer_type(default)), value)
+        return F.lit(default)
+    return F.coalesce(F.col(name).cast(TWEETS[name]), F.lit(default))
 
 
 def align_schema(df: DataFrame, graph: str = "cascade", fill_nulls: bool = True) -> DataFrame:

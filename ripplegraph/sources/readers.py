@@ -8,16 +8,13 @@ from pyspark.sql import functions as F
 from ripplegraph import schema
 
 
-def _scan(spark: SparkSession, path: str, wanted, fmt: str) -> DataFrame:
-    if fmt == "csv":
-        # The header decides which optional columns exist; the declared types decide how to read them.
-        header = spark.read.option("header", True).csv(path).columns
-        types = {f.name: f for f in wanted}
-        declared = ", ".join(
-            f"`{n}` {types[n].dataType.simpleString() if n in types else 'string'}" for n in header
-        )
-        return spark.read.option("header", True).schema(declared).csv(path)
-    return spark.read.format(fmt).load(path)
+def _scan(spark: SparkSession, path: str, types: dict[str, str], fmt: str) -> DataFrame:
+    if fmt != "csv":
+        return spark.read.format(fmt).load(path)
+    # The header decides which optional columns exist, the declared types how to read them.
+    header = spark.read.option("header", True).csv(path).columns
+    declared = ", ".join(f"`{name}` {types.get(name, 'string')}" for name in header)
+    return spark.read.option("header", True).schema(declared).csv(path)
 
 
 def read_tweets(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
@@ -28,7 +25,7 @@ def read_tweets(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
 
 def read_edges(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """The repost edges ``source, target, timestamp`` (and ``news_id`` where the file has it)."""
-    return schema.string_ids(_scan(spark, path, schema.EDGES_WITH_NEWS, fmt), "source", "target", "news_id")
+    return schema.string_ids(_scan(spark, path, schema.EDGES, fmt), "source", "target", "news_id")
 
 
 def read_users(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:

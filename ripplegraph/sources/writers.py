@@ -36,7 +36,9 @@ def save_bucketed(df: DataFrame, table: str, buckets: int, key: str = "news_id")
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    # The default format would cut timestamps to milliseconds.
+    options = {"header": True, "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
+    df.write.mode("overwrite").options(**options).csv(path)
 
 
 def append_metrics(metrics: DataFrame, path: str) -> None:
