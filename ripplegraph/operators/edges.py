@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ripplegraph.functions.scalars import coin, hours_between, not_nan
 from ripplegraph.operators.cascades import ORDER
 from ripplegraph.plans.ordering import lookback, position, running_max, running_sums, union_all
-from ripplegraph.plans.skew import HotKeys, hot_keys, salted_join
+from ripplegraph.plans.skew import HotKeys, hot_keys, lookup_join, salted_join
 
 # Fixed values of the edge rules.
 LOOKBACK = 5
@@ -198,13 +198,11 @@ def pattern_match(cascades: DataFrame, patterns: DataFrame, seed: str = "42") ->
         F.when(similar, F.col("start")).otherwise(none).alias("start"),
         F.when(similar, F.col("end") - F.col("start")).otherwise(F.col("of_class")).alias("length"),
     )
-    # Many cascades share a size, and many may draw one pattern, so both lookups are spread.
-    sized = salted_join(cascades, runs, ["is_fake", "cascade_size"], hot_keys(cascades, ["is_fake", "cascade_size"]),
-                        ["news_id"])
-    drawn = sized.withColumn(
+    # Many cascades share a size, and many may draw one pattern.
+    drawn = lookup_join(cascades, runs, ["is_fake", "cascade_size"], ["news_id"]).withColumn(
         "rank", F.col("start") + F.floor(coin("news_id", F.lit("pattern"), seed=seed) * F.col("length"))
     )
-    return salted_join(drawn, ranked, ["is_fake", "rank"], hot_keys(drawn, ["is_fake", "rank"]), ["news_id"]).select(
+    return lookup_join(drawn, ranked, ["is_fake", "rank"], ["news_id"]).select(
         "news_id", "is_fake", "cascade_size", "pattern_id", "num_nodes", "level_0", "level_1", "level_2"
     )
 

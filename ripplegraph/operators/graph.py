@@ -70,39 +70,45 @@ def _as_source(state: DataFrame, *names: str) -> DataFrame:
     return state.select("news_id", F.col("node_idx").alias("src_idx"), *names)
 
 
+def _with_degree(nodes: DataFrame, links: DataFrame, names: list[str]) -> DataFrame:
+    degrees = links.groupBy("news_id", F.col("dst_idx").alias("node_idx")).agg(
+        F.count(F.lit(1)).cast("double").alias("degree")
+    )
+    return nodes.select(*NODE, *names).join(degrees, NODE)
+
+
+def _gcn_round(state: DataFrame, links: DataFrame, names: list[str], hot: HotKeys) -> DataFrame:
+    """One normalised neighbour sum over ``state``, which carries ``degree`` and is read once.
+
+    An edge's weight splits into a factor of its source and one of its target, so no weight is looked up: states
+    are divided by the root of their degree before and after the sum. A node's own link takes its degree along.
+    """
+    root = F.sqrt("degree")
+    scaled = state.withColumns({n: F.col(n) / root for n in names})
+    sent = salted_join(links, _as_source(scaled, "degree", *names), ["news_id", "src_idx"], hot, ["dst_idx"])
+    return (
+        sent.groupBy("news_id", F.col("dst_idx").alias("node_idx"))
+        .agg(F.max(F.when(F.col("own"), F.col("degree"))).alias("degree"), *[F.sum(n).alias(n) for n in names])
+        .withColumns({n: F.col(n) / root for n in names})
+    )
+
+
 def gcn_propagate(
     nodes: DataFrame, edges: DataFrame, names: list[str], rounds: int = 1, hot: HotKeys | None = None
 ) -> DataFrame:
-    """``rounds`` rounds of the normalised neighbour sum, without weights.
-
-    The weight splits into a factor of the source and one of the target, so no edge weight is looked up:
-    states are divided by the root of their degree before and after each sum. A node's own link carries its
-    degree along, so one join and one grouping make a round.
-    """
+    """``rounds`` rounds of the normalised neighbour sum, without weights: one join and one grouping each."""
     hot = hot_sources(edges) if hot is None else hot
     links = _links(nodes, edges)
-    root = F.sqrt("degree")
-    state = nodes.select(*NODE, *names).join(in_degrees(nodes, edges), NODE)
+    state = _with_degree(nodes, links, names)
     for done in range(1, rounds + 1):
-        scaled = state.withColumns({n: F.col(n) / root for n in names})
-        sent = salted_join(links, _as_source(scaled, "degree", *names), ["news_id", "src_idx"], hot, ["dst_idx"])
-        state = (
-            sent.groupBy("news_id", F.col("dst_idx").alias("node_idx"))
-            .agg(F.max(F.when(F.col("own"), F.col("degree"))).alias("degree"), *[F.sum(n).alias(n) for n in names])
-            .withColumns({n: F.col(n) / root for n in names})
-        )
+        state = _gcn_round(state, links, names, hot)
         if done % STORE_EVERY == 0 and done < rounds:
             state = materialise(state)
     return state.select(*NODE, *names)
 
 
-def sage_mean(
-    nodes: DataFrame, edges: DataFrame, names: list[str], prefix: str = "mean_", hot: HotKeys | None = None
-) -> DataFrame:
-    """Each node's own columns and the mean over its in-neighbours (0 for a node without any)."""
-    hot = hot_sources(edges) if hot is None else hot
-    links = _links(nodes, edges, drop_loops=False)
-    sent = salted_join(links, _as_source(nodes, *names), ["news_id", "src_idx"], hot, ["dst_idx"])
+def _sage_round(state: DataFrame, links: DataFrame, names: list[str], prefix: str, hot: HotKeys) -> DataFrame:
+    sent = salted_join(links, _as_source(state, *names), ["news_id", "src_idx"], hot, ["dst_idx"])
     own, heard = F.col("own"), ~F.col("own")
     return sent.groupBy("news_id", F.col("dst_idx").alias("node_idx")).agg(
         *[F.max(F.when(own, F.col(n))).alias(n) for n in names],
@@ -110,28 +116,27 @@ def sage_mean(
     )
 
 
+def sage_mean(
+    nodes: DataFrame, edges: DataFrame, names: list[str], prefix: str = "mean_", hot: HotKeys | None = None
+) -> DataFrame:
+    """Each node's own columns and the mean over its in-neighbours (0 for a node without any)."""
+    hot = hot_sources(edges) if hot is None else hot
+    return _sage_round(nodes, _links(nodes, edges, drop_loops=False), names, prefix, hot)
+
+
 def _weighted(names: list[str], weights) -> Column:
     return sum((F.col(n) * F.lit(float(w)) for n, w in zip(names, weights)), F.lit(0.0))
 
 
-def gat_attention(
-    nodes: DataFrame,
-    edges: DataFrame,
-    names: list[str],
-    source_weights,
-    target_weights,
-    hot: HotKeys | None = None,
+def _gat_round(
+    state: DataFrame, links: DataFrame, names: list[str], attention, hot: HotKeys, hot_targets: HotKeys
 ) -> DataFrame:
-    """Attention-weighted sum over in-neighbours and the node itself, for given attention vectors.
-
-    The leaky score grows with its argument, so the largest score of a target follows from the largest
+    """The leaky score grows with its argument, so the largest score of a target follows from the largest
     source part: one grouping finds it, and no exponential can overflow.
     """
-    hot = hot_sources(edges) if hot is None else hot
-    scored = nodes.select(
-        *NODE, *names, _weighted(names, source_weights).alias("_s"), _weighted(names, target_weights).alias("_t")
+    scored = state.select(
+        *NODE, *names, _weighted(names, attention[0]).alias("_s"), _weighted(names, attention[1]).alias("_t")
     )
-    links = _links(nodes, edges)
 
     def leaky(value: Column) -> Column:
         return F.when(value > 0, value).otherwise(value * F.lit(LEAK))
@@ -140,7 +145,6 @@ def gat_attention(
     targets = sent.groupBy("news_id", "dst_idx").agg(
         F.max("_s").alias("_top"), F.max(F.when(F.col("own"), F.col("_t"))).alias("_d")
     )
-    hot_targets = hot_keys(edges, ["news_id", "dst_idx"])
     met = salted_join(sent, targets, ["news_id", "dst_idx"], hot_targets, ["src_idx"])
     share = F.exp(leaky(F.col("_s") + F.col("_d")) - leaky(F.col("_top") + F.col("_d")))
     summed = met.withColumn("_w", share).groupBy("news_id", F.col("dst_idx").alias("node_idx")).agg(
@@ -149,6 +153,20 @@ def gat_attention(
     return summed.select(*NODE, *[(F.col(n) / F.col("_total")).alias(n) for n in names])
 
 
+def gat_attention(
+    nodes: DataFrame,
+    edges: DataFrame,
+    names: list[str],
+    source_weights,
+    target_weights,
+    hot: HotKeys | None = None,
+) -> DataFrame:
+    """Attention-weighted sum over in-neighbours and the node itself, for given attention vectors."""
+    hot = hot_sources(edges) if hot is None else hot
+    attention = (source_weights, target_weights)
+    return _gat_round(nodes, _links(nodes, edges), names, attention, hot, hot_keys(edges, ["news_id", "dst_idx"]))
+
+
 # --- pooling ----------------------------------------------------------------------------------
 
 
@@ -262,44 +280,49 @@ def _names(prefix: str, n: int) -> list[str]:
     return [f"{prefix}{j}" for j in range(n)]
 
 
-def _biased(df: DataFrame, names: list[str], bias, relu: bool) -> DataFrame:
-    shifted = {n: F.col(n) + F.lit(float(b)) for n, b in zip(names, bias)}
-    if relu:
-        shifted = {n: F.greatest(c, F.lit(0.0)) for n, c in shifted.items()}
-    return df.select(*NODE, *[c.alias(n) for n, c in shifted.items()])
-
-
-def _convolve(
-    state: DataFrame, edges: DataFrame, inputs: list[str], net: Network, layer: Layer, relu: bool, hot: HotKeys
-) -> tuple[DataFrame, list[str]]:
-    """One graph convolution; the linear map comes first, the bias after the neighbours are summed."""
-    names = _names("h", layer.outputs)
-    if net.convolution == "sage":
-        heard = sage_mean(state, edges, inputs, "m_", hot)
-        both = Layer(np.hstack([net.neighbours.weight, layer.weight]), net.neighbours.offsets())
-        return linear_layer(heard, NODE, [f"m_{n}" for n in inputs] + inputs, both, "h", relu), names
-    mapped = linear_layer(state, NODE, inputs, Layer(layer.weight), "h")
-    if net.convolution == "gat":
-        source, target = net.attention
-        summed = gat_attention(mapped, edges, names, source, target, hot)
-    else:
-        summed = gcn_propagate(mapped, edges, names, 1, hot)
-    return _biased(summed, names, layer.offsets(), relu), names
-
-
 def node_states(
     nodes: DataFrame, edges: DataFrame, names: list[str], net: Network, last_relu: bool, hot: HotKeys | None = None
 ) -> tuple[DataFrame, list[str]]:
-    """Node states after the last convolution, before or after its relu."""
+    """Node states after the last convolution, before or after its relu.
+
+    Links and degrees come from the node table, never from a state, so a layer reads the state before it once. As
+    neighbour sums and linear maps commute, the sum runs on the narrower side of a layer.
+    """
     hot = hot_sources(edges) if hot is None else hot
-    state, inputs = nodes.select(*NODE, *names), names
+    links = _links(nodes, edges, drop_loops=net.convolution != "sage")
+    gcn = net.convolution == "gcn"
+    state, inputs = (_with_degree(nodes, links, names) if gcn else nodes.select(*NODE, *names)), names
+    keep = [*NODE, "degree"] if gcn else NODE
     if net.embedding is not None:
-        state = linear_layer(state, NODE, inputs, net.embedding, "h", relu=True)
+        state = linear_layer(state, keep, inputs, net.embedding, "h", relu=True)
         inputs = _names("h", net.embedding.outputs)
     for number, layer in enumerate(net.convolutions, 1):
-        last = number == len(net.convolutions)
-        state, inputs = _convolve(state, edges, inputs, net, layer, last_relu or not last, hot)
-    return state, inputs
+        relu = last_relu or number < len(net.convolutions)
+        names_out = _names("h", layer.outputs)
+        if net.convolution == "sage":
+            heard = _sage_round(state, links, inputs, "m_", hot)
+            both = Layer(np.hstack([net.neighbours.weight, layer.weight]), net.neighbours.offsets())
+            state = linear_layer(heard, keep, [f"m_{n}" for n in inputs] + inputs, both, "h", relu)
+        elif net.convolution == "gat":
+            # The round reads its input twice.
+            mapped = materialise(linear_layer(state, keep, inputs, Layer(layer.weight), "h"))
+            hot_targets = hot_keys(edges, ["news_id", "dst_idx"])
+            summed = _gat_round(mapped, links, names_out, net.attention, hot, hot_targets)
+            state = _biased(summed, keep, names_out, layer.offsets(), relu)
+        elif layer.outputs < len(inputs):
+            mapped = linear_layer(state, keep, inputs, Layer(layer.weight), "h")
+            state = _biased(_gcn_round(mapped, links, names_out, hot), keep, names_out, layer.offsets(), relu)
+        else:
+            state = linear_layer(_gcn_round(state, links, inputs, hot), keep, inputs, layer, "h", relu)
+        inputs = names_out
+    return state.select(*NODE, *inputs), inputs
+
+
+def _biased(df: DataFrame, keep: list[str], names: list[str], bias, relu: bool) -> DataFrame:
+    shifted = {n: F.col(n) + F.lit(float(b)) for n, b in zip(names, bias)}
+    if relu:
+        shifted = {n: F.greatest(c, F.lit(0.0)) for n, c in shifted.items()}
+    return df.select(*keep, *[c.alias(n) for n, c in shifted.items()])
 
 
 def gnn_infer(

@@ -95,14 +95,14 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         FROM events WHERE hour(ts) % 2 = 0 GROUP BY 1"""),
     "offered": (("graphs", "patterns"), """
         SELECT g.news_id, g.is_fake, g.cascade_size, p.pattern_id, p.num_nodes, p.level_0, p.level_1, p.level_2,
-               abs(p.num_nodes - g.cascade_size) <= greatest(5, g.cascade_size * 0.3) AS similar
+               abs(p.num_nodes - g.cascade_size) <= greatest(5, g.cascade_size * 0.3) AS alike
         FROM graphs g JOIN patterns p ON p.is_fake = g.is_fake"""),
     "matched": (("offered",), f"""
         SELECT * FROM (
           SELECT *, row_number() OVER (PARTITION BY news_id ORDER BY num_nodes, pattern_id) - 1 AS r,
                  count(*) OVER (PARTITION BY news_id) AS options
-          FROM (SELECT *, bool_or(similar) OVER (PARTITION BY news_id) AS any_similar FROM offered)
-          WHERE similar OR NOT any_similar)
+          FROM (SELECT *, bool_or(alike) OVER (PARTITION BY news_id) AS any_alike FROM offered)
+          WHERE alike OR NOT any_alike)
         WHERE r = floor({_coin('news_id', "'pattern'")} * options)"""),
     "patterned": (("ordered", "matched"), """
         SELECT *, CASE WHEN deep AND level_2 IS NOT NULL AND n > 3 THEN least(level_2, n // 3) ELSE 0 END AS two
@@ -402,9 +402,6 @@ _CHILDREN = """SELECT t.news_id, t.tweet_id, count(c.tweet_id) AS children,
     count(*) FILTER (starts_with(c.text, 'RT @')) AS retweet_count
     FROM tweets t LEFT JOIN links l ON l.source = t.tweet_id LEFT JOIN tweets c ON c.tweet_id = l.target GROUP BY 1, 2"""
 oracle("reply_retweet_count", "tweets links", f"SELECT *, children - retweet_count AS reply_count FROM ({_CHILDREN})")
-_INFLUENCE = """SELECT t.news_id, t.tweet_id, (SELECT count(*) FROM (
-      SELECT a.target FROM links a WHERE a.source = t.tweet_id UNION
-      SELECT b.target FROM links a JOIN links b ON b.source = a.target WHERE a.source = t.tweet_id)) AS local_influence FROM tweets t"""
 # Descendants within two hops, listed one by one.
 _REACH = """SELECT t.news_id, t.tweet_id, count(DISTINCT d.target) AS local_influence FROM tweets t LEFT JOIN (
       SELECT source, target FROM links

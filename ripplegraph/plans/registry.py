@@ -61,6 +61,15 @@ def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return nodes, joined
 
 
+def _stored_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The same graphs, stored first: message passing reads them several times."""
+    nodes, joined = _graph(spark, sf_dir)
+    graphs = cascades.graph_table(adapters.tweets(spark, sf_dir))
+    tables = {"nodes": nodes, "edges": joined, "graphs": graphs}
+    stored = writers.write_graphs(tables, scratch_path(spark, "graphs"))
+    return stored["nodes"], stored["edges"]
+
+
 # --- sources, sinks, schema -------------------------------------------------------------------
 
 
@@ -97,7 +106,7 @@ def read_patterns(spark, sf_dir):
     adapters.patterns(spark, sf_dir).select(
         "is_fake", F.col("num_nodes").cast("int").alias("num_nodes"), tree.alias("propagation_tree")
     ).write.json(path)
-    return readers.read_patterns(spark, path).drop("pattern_id")
+    return readers.read_patterns(spark, path, lines=True).drop("pattern_id")
 
 
 @query
@@ -508,17 +517,17 @@ def rank_features(spark, sf_dir):
 
 @query
 def gcn_norm(spark, sf_dir):
-    return graph.gcn_norm(*_graph(spark, sf_dir))
+    return graph.gcn_norm(*_stored_graph(spark, sf_dir))
 
 
 @query
 def gcn_propagate(spark, sf_dir):
-    return graph.gcn_propagate(*_graph(spark, sf_dir), MATRIX, rounds=2)
+    return graph.gcn_propagate(*_stored_graph(spark, sf_dir), MATRIX, rounds=2)
 
 
 @query
 def sage_mean(spark, sf_dir):
-    return graph.sage_mean(*_graph(spark, sf_dir), MATRIX)
+    return graph.sage_mean(*_stored_graph(spark, sf_dir), MATRIX)
 
 
 # Attention vectors and layers for the registered queries: small numbers from a rule.
@@ -533,7 +542,7 @@ def rule_layer(outputs: int, inputs: int, scale: float = 0.1) -> graph.Layer:
 
 @query
 def gat_attention(spark, sf_dir):
-    return graph.gat_attention(*_graph(spark, sf_dir), MATRIX, *ATTENTION)
+    return graph.gat_attention(*_stored_graph(spark, sf_dir), MATRIX, *ATTENTION)
 
 
 @query
@@ -577,13 +586,13 @@ def pooled_network(inputs: int, hidden: int = 64) -> graph.Network:
 
 @query
 def gnn_infer(spark, sf_dir):
-    return graph.gnn_infer(*_graph(spark, sf_dir), MATRIX, pooled_network(8))
+    return graph.gnn_infer(*_stored_graph(spark, sf_dir), MATRIX, pooled_network(8))
 
 
 @query
 def gnn_infer_news(spark, sf_dir):
-    """One attention convolution with the news node's features, and the simple network, side by side."""
-    nodes, joined = _graph(spark, sf_dir)
+    """One convolution next to the news node's features, and the simple network, side by side."""
+    nodes, joined = _stored_graph(spark, sf_dir)
     told = graph.Network(
         "news", [rule_layer(16, 8, 0.001)], rule_layer(2, 16), news=rule_layer(16, 8, 0.001), joined=rule_layer(16, 32),
         convolution="sage", neighbours=rule_layer(16, 8, 0.002),
@@ -596,7 +605,7 @@ def gnn_infer_news(spark, sf_dir):
 @query
 def graph_embeddings(spark, sf_dir):
     graphs = cascades.graph_table(adapters.tweets(spark, sf_dir))
-    return graph.graph_embeddings(*_graph(spark, sf_dir), MATRIX, pooled_network(8), graphs)
+    return graph.graph_embeddings(*_stored_graph(spark, sf_dir), MATRIX, pooled_network(8), graphs)
 
 
 # --- learning ---------------------------------------------------------------------------------
@@ -615,7 +624,7 @@ def stratified_split_items(spark, sf_dir):
 
 
 def _pooled(spark, sf_dir) -> tuple[DataFrame, list[str]]:
-    nodes, joined = _graph(spark, sf_dir)
+    nodes, joined = _stored_graph(spark, sf_dir)
     pooled = graph.mean_max_pool(graph.gcn_propagate(nodes, joined, MATRIX, rounds=2), MATRIX)
     return pooled, [c for c in pooled.columns if c != "news_id"]
 

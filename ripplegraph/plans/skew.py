@@ -13,6 +13,8 @@ HOT_ROWS = 2_000_000
 # Hot keys that are fetched and broadcast; more of them stay a distributed table.
 MAX_BROADCAST_KEYS = 50_000
 MAX_SALTS = 1_024
+# Rows up to which a lookup table is broadcast, after they were counted.
+MAX_BROADCAST_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -81,3 +83,10 @@ def salted_join(
     salted = left.join(marks, keys, "left").withColumn("_salt", salt).drop("_hot")
     copied = right.join(marks, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
     return salted.join(copied, [*on, "_salt"], how).drop("_salt")
+
+
+def lookup_join(left: DataFrame, lookup: DataFrame, on: list[str], spread: list[str | Column]) -> DataFrame:
+    """Inner join with a table that is usually small: broadcast if a bounded count shows that it is, salted otherwise."""
+    if lookup.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
+        return left.join(F.broadcast(lookup), on)
+    return salted_join(left, lookup, on, hot_keys(left, on), spread)

@@ -32,8 +32,10 @@ def read_users(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     return schema.string_ids(_scan(spark, path, schema.USERS, fmt), "user_id")
 
 
-def read_patterns(spark: SparkSession, path: str | None) -> DataFrame:
-    """Propagation patterns as level sizes; an absent file gives an empty table.
+def read_patterns(spark: SparkSession, path: str | None, lines: bool = False) -> DataFrame:
+    """Propagation patterns as level sizes, from a JSON array or (``lines``) one object per line.
+
+    An absent file gives an empty table.
 
     Columns ``pattern_id, is_fake, num_nodes, level_0, level_1, level_2``; an absent level is null.
     Only the sizes of the levels are ever used, so the member lists are dropped at the scan.
@@ -44,7 +46,7 @@ def read_patterns(spark: SparkSession, path: str | None) -> DataFrame:
         jvm = spark.sparkContext._jvm
         place = jvm.org.apache.hadoop.fs.Path(path)
         if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(place):
-            raw = spark.read.schema(schema.PATTERNS).option("multiLine", True).json(path)
+            raw = spark.read.schema(schema.PATTERNS).option("multiLine", not lines).json(path)
     if raw is None:
         raw = spark.createDataFrame([], schema.PATTERNS)
     tree = F.col("propagation_tree")
