@@ -96,10 +96,15 @@ def node_matrix(ordered: DataFrame, news: DataFrame) -> DataFrame:
         "news_id",
         F.lit(0).cast("long").alias("node_idx"),
         F.lit(0).alias("node_type"),
+        F.lit(None).cast("string").alias("tweet_id"),
         *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(NEWS_FEATURES)],
     )
     tweets = tweet_features(ordered).select(
-        "news_id", "node_idx", F.lit(1).alias("node_type"), *[F.col(c).alias(f"x{i}") for i, c in enumerate(TWEET_FEATURES)]
+        "news_id",
+        "node_idx",
+        F.lit(1).alias("node_type"),
+        "tweet_id",
+        *[F.col(c).alias(f"x{i}") for i, c in enumerate(TWEET_FEATURES)],
     )
     return tops.unionByName(tweets)
 

@@ -178,7 +178,6 @@ def split_sizes(split: DataFrame) -> DataFrame:
     return split.groupBy("label", "split").agg(F.count(F.lit(1)).alias("graphs"))
 
 
-def labelled_parts(features: DataFrame, split: DataFrame) -> dict[str, DataFrame]:
-    """Feature rows of the train, val and test parts, with their labels."""
-    joined = features.join(split, "news_id")
-    return {part: joined.where(F.col("split") == part).drop("split") for part in ("train", "val", "test")}
+def labelled_parts(features: DataFrame) -> dict[str, DataFrame]:
+    """The train, val and test parts of feature rows that carry their ``label`` and ``split``."""
+    return {part: features.where(F.col("split") == part).drop("split") for part in ("train", "val", "test")}

@@ -67,28 +67,29 @@ def node_degree(tweets: DataFrame, links: DataFrame) -> DataFrame:
 def node_depth(tweets: DataFrame, links: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Hops from the nearest root (a tweet that is nobody's target); null where no root leads.
 
-    One join per level. Each level is stored once in the checkpoint folder, so a lost executor costs
-    at most the current level. Only tweets not reached before go on, so cycles end.
+    One join per level, each level stored, so a lost executor costs at most the current level. In a forest every
+    tweet is reached once and from no cycle; only where a tweet has several sources are the tweets reached before
+    taken out, which also ends the walk on cycles.
     """
-    nodes = tweets.select("news_id", "tweet_id")
-    stored = materialise(links.select("news_id", "source", "target").distinct())
+    key = ["news_id", "tweet_id"]
+    nodes = tweets.select(*key)
+    stored = materialise(links.select("news_id", "source", "target").distinct(), "links")
     hot = hot_keys(stored, ["news_id", "source"])
-    inner = stored.select("news_id", F.col("target").alias("tweet_id"))
-    level = materialise(
-        nodes.join(inner.distinct(), ["news_id", "tweet_id"], "left_anti").withColumn("depth", F.lit(0))
-    )
+    forest = hot_keys(stored, ["news_id", "target"], 1).empty
+    targets = stored.select("news_id", F.col("target").alias("tweet_id"))
+    level = materialise(nodes.join(targets, key, "left_anti").withColumn("depth", F.lit(0)), "level")
     levels, depth = [level], 0
     while not level.isEmpty() and (max_depth is None or depth < max_depth):
         depth += 1
         frontier = level.select("news_id", F.col("tweet_id").alias("source"))
         reached = salted_join(stored, frontier, ["news_id", "source"], hot, ["target"])
-        fresh = reached.select("news_id", F.col("target").alias("tweet_id")).distinct()
-        seen = union_all(levels).select("news_id", "tweet_id")
-        level = materialise(
-            fresh.join(seen, ["news_id", "tweet_id"], "left_anti").withColumn("depth", F.lit(depth))
-        )
+        fresh = reached.select("news_id", F.col("target").alias("tweet_id"))
+        if not forest:
+            seen = union_all(levels).select(*key)
+            fresh = fresh.distinct().join(seen, key, "left_anti")
+        level = materialise(fresh.withColumn("depth", F.lit(depth)), "level")
         levels.append(level)
-    return nodes.join(union_all(levels), ["news_id", "tweet_id"], "left")
+    return nodes.join(union_all(levels), key, "left")
 
 
 def cascade_depth(depths: DataFrame) -> DataFrame:

@@ -15,9 +15,12 @@ from ripplegraph.functions.scalars import literal_count
 from ripplegraph.plans.ordering import position
 from ripplegraph.plans.skew import hot_keys, salted_join
 
-# Fixed character classes, written out so that every regular-expression engine reads them alike.
+# Fixed character classes in the sense of Unicode: white space (as characters and as a class) and word characters.
+BLANKS = (
+    "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 SPACE = r"\t\n\x0B\f\r\x1C-\x1F \x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-UPPER = r"\p{Lu}\x{2160}-\x{216F}\x{24B6}-\x{24CF}\x{1F130}-\x{1F149}\x{1F150}-\x{1F169}\x{1F170}-\x{1F189}"
 WORD = r"\p{L}\p{N}_"
 
 # Fixed patterns of the writing-style score.
@@ -28,6 +31,8 @@ STYLE_PATTERNS = {
     "mentions": f"@[{WORD}]+",
     "hashtags": f"#[{WORD}]+",
 }
+STYLE_STARTS = {"urls": "http", "mentions": "@", "hashtags": "#"}
+CAPITAL = r"\p{IsUppercase}"
 MAX_TWEET = 280
 PREAMBLE = 50
 QUOTED = 200
@@ -38,10 +43,18 @@ def _text(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def _pattern_count(text: Column, pattern: str, start: str | None) -> Column:
+    """Matches of a pattern; texts without the pattern's literal start skip the regular expression."""
+    found = F.regexp_count(text, F.lit(pattern)).cast("long")
+    if start is None:
+        return found
+    return F.when(F.contains(text, F.lit(start)), found).otherwise(F.lit(0).cast("long"))
+
+
 def style_counts(name: str) -> dict[str, Column]:
     """The seven style counts of one text. They add up over texts: no pattern spans the joining blank."""
     tokens = {k: literal_count(_text(name), t) for k, t in STYLE_TOKENS.items()}
-    patterns = {k: F.regexp_count(_text(name), F.lit(p)).cast("long") for k, p in STYLE_PATTERNS.items()}
+    patterns = {k: _pattern_count(_text(name), p, STYLE_STARTS.get(k)) for k, p in STYLE_PATTERNS.items()}
     return tokens | patterns
 
 
@@ -54,33 +67,32 @@ def writing_style(tweets: DataFrame) -> DataFrame:
 
 
 def _words(name: str) -> Column:
-    return F.filter(F.split(F.lower(_text(name)), f"[{SPACE}]+"), lambda w: w != "")
+    """Lower-cased words; runs of white space leave empty strings between them."""
+    return F.split(F.translate(F.lower(_text(name)), BLANKS, " " * len(BLANKS)), " ")
 
 
 def text_diversity(tweets: DataFrame) -> DataFrame:
     """Distinct lower-cased words over all words plus one, per cascade.
 
-    Words are counted per (cascade, word) first, with partial counts before the shuffle, so no cascade's text
-    is ever put together.
+    Each text gives its distinct words once, with its number of words beside the first of them; they are grouped by
+    (cascade, word) with partial results before the shuffle. No cascade's text is ever put together.
     """
-    words = tweets.select("news_id", F.explode(_words("text")).alias("word"))
-    counted = words.groupBy("news_id", "word").agg(F.count(F.lit(1)).alias("times"))
-    per_news = counted.groupBy("news_id").agg(
-        F.count(F.lit(1)).alias("unique_words"), F.sum("times").alias("total_words")
+    real = F.filter(_words("text"), lambda w: w != "")
+    worded = tweets.where(F.col("news_id").isNotNull()).select("news_id", real.alias("_words"))
+    listed = worded.select(
+        "news_id", F.size("_words").cast("long").alias("_size"), F.posexplode_outer(F.array_distinct("_words")).alias("_at", "word")
     )
-    # A cascade without any word still has a diversity, of 0.
-    everyone = tweets.where(F.col("news_id").isNotNull()).select("news_id").distinct()
-    zero = F.lit(0).cast("long")
-    filled = everyone.join(per_news, "news_id", "left").select(
-        "news_id", F.coalesce("unique_words", zero).alias("unique_words"), F.coalesce("total_words", zero).alias("total_words")
+    counted = listed.groupBy("news_id", "word").agg(
+        F.sum(F.when(F.coalesce("_at", F.lit(0)) == 0, F.col("_size")).otherwise(0)).alias("_size")
     )
-    return filled.withColumn("diversity", F.col("unique_words") / (F.col("total_words") + 1))
+    per_news = counted.groupBy("news_id").agg(F.count("word").alias("unique_words"), F.sum("_size").alias("total_words"))
+    return per_news.withColumn("diversity", F.col("unique_words") / (F.col("total_words") + 1))
 
 
 def excitement(name: str = "text") -> Column:
     """Exclamation and question marks, plus the share of capitals."""
     text = _text(name)
-    capitals = F.regexp_count(text, F.lit(f"[{UPPER}]")) / (F.length(text) + 1)
+    capitals = F.regexp_count(text, F.lit(CAPITAL)) / (F.length(text) + 1)
     return literal_count(text, "!") + literal_count(text, "?") + capitals
 
 
@@ -149,7 +161,7 @@ def text_lookup(nodes: DataFrame, tweets: DataFrame) -> DataFrame:
 
 
 def _term_counts(df: DataFrame, dimensions: int) -> DataFrame:
-    worded = df.withColumn("_words", _words("text"))
+    worded = df.withColumn("_words", F.filter(_words("text"), lambda w: w != ""))
     return HashingTF(numFeatures=dimensions, inputCol="_words", outputCol="_tf").transform(worded).drop("_words")
 
 

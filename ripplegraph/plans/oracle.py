@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from ripplegraph.operators.text import SPACE, UPPER, WORD
+from ripplegraph.operators.text import SPACE, WORD
 
 ORACLE: dict[str, str] = {}
 
+# Fixed class: capitals, including letters used as numbers and in circles or squares.
+UPPER = r"\p{Lu}\x{2160}-\x{216F}\x{24B6}-\x{24CF}\x{1F130}-\x{1F149}\x{1F150}-\x{1F169}\x{1F170}-\x{1F189}"
+
 
 def _coin(*parts: str) -> str:
     joined = ", ".join(["'42'", *[f"CAST({p} AS VARCHAR)" for p in parts]])
@@ -28,7 +31,7 @@ def _literal(text: str, token: str) -> str:
     return f"((length({text}) - length(replace({text}, '{token}', ''))) // {len(token)})"
 
 
-K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT)"
+K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 ZERO_LIKES, ZERO_RETWEETS = "coalesce(likes, 0)", "coalesce(retweets, 0)"
 STYLE = {
     "exclaims": _literal("body", "!"),

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ripplegraph.operators import analysis, cascades, checks, edges, features, graph, learning, metrics, structure, text
+from ripplegraph.plans import build
 from ripplegraph.plans.ordering import union_all
 from ripplegraph.plans.skew import HotKeys
 from ripplegraph.schema import align_schema
-from ripplegraph.session import scratch_path
+from ripplegraph.session import materialise, scratch_path
 from ripplegraph.sources import adapters, readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,21 +54,14 @@ def _links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return tweets, structure.tweet_links(tweets, adapters.edges(spark, sf_dir))
 
 
-def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The node matrix and the news and cascade edges of every graph."""
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ordered, _ = _ordered(spark, sf_dir)
-    nodes = features.node_matrix(ordered, features.news_features(adapters.tweets(spark, sf_dir)))
-    joined = edges.news_edges(ordered).unionByName(edges.cascade_edges(ordered, adapters.edges(spark, sf_dir)))
-    return nodes, joined
+    return features.node_matrix(ordered, features.news_features(adapters.tweets(spark, sf_dir)))
 
 
-def _stored_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The same graphs, stored first: message passing reads them several times."""
-    nodes, joined = _graph(spark, sf_dir)
-    graphs = cascades.graph_table(adapters.tweets(spark, sf_dir))
-    tables = {"nodes": nodes, "edges": joined, "graphs": graphs}
-    stored = writers.write_graphs(tables, scratch_path(spark, "graphs"))
-    return stored["nodes"], stored["edges"]
+def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The stored node matrix, and the news and cascade edges, of every graph."""
+    return build.recorded_graph(adapters.tweets(spark, sf_dir), adapters.edges(spark, sf_dir))
 
 
 # --- sources, sinks, schema -------------------------------------------------------------------
@@ -131,12 +125,10 @@ def align_schema_user(spark, sf_dir):
 @query
 def write_graphs(spark, sf_dir):
     """Nodes, edges and graphs stored and read back: their sizes per graph."""
-    nodes, joined = _graph(spark, sf_dir)
-    graphs = cascades.graph_table(adapters.tweets(spark, sf_dir))
-    stored = writers.write_graphs({"nodes": nodes, "edges": joined, "graphs": graphs}, scratch_path(spark, "graphs"))
-    n_nodes = stored["nodes"].groupBy("news_id").agg(F.count(F.lit(1)).alias("nodes"))
-    n_edges = stored["edges"].groupBy("news_id").agg(F.count(F.lit(1)).alias("edges"))
-    return stored["graphs"].join(n_nodes, "news_id").join(n_edges, "news_id")
+    stored = build.build_graphs(
+        adapters.tweets(spark, sf_dir), adapters.edges(spark, sf_dir), scratch_path(spark, "graphs"), drawn=False
+    )
+    return build.sizes(stored)
 
 
 @query
@@ -517,17 +509,17 @@ def rank_features(spark, sf_dir):
 
 @query
 def gcn_norm(spark, sf_dir):
-    return graph.gcn_norm(*_stored_graph(spark, sf_dir))
+    return graph.gcn_norm(*_graph(spark, sf_dir))
 
 
 @query
 def gcn_propagate(spark, sf_dir):
-    return graph.gcn_propagate(*_stored_graph(spark, sf_dir), MATRIX, rounds=2)
+    return graph.gcn_propagate(*_graph(spark, sf_dir), MATRIX, rounds=2)
 
 
 @query
 def sage_mean(spark, sf_dir):
-    return graph.sage_mean(*_stored_graph(spark, sf_dir), MATRIX)
+    return graph.sage_mean(*_graph(spark, sf_dir), MATRIX)
 
 
 # Attention vectors and layers for the registered queries: small numbers from a rule.
@@ -542,28 +534,28 @@ def rule_layer(outputs: int, inputs: int, scale: float = 0.1) -> graph.Layer:
 
 @query
 def gat_attention(spark, sf_dir):
-    return graph.gat_attention(*_stored_graph(spark, sf_dir), MATRIX, *ATTENTION)
+    return graph.gat_attention(*_graph(spark, sf_dir), MATRIX, *ATTENTION)
 
 
 @query
 def mean_max_pool(spark, sf_dir):
-    return graph.mean_max_pool(_graph(spark, sf_dir)[0], MATRIX)
+    return graph.mean_max_pool(_nodes(spark, sf_dir), MATRIX)
 
 
 @query
 def max_pool(spark, sf_dir):
-    return graph.max_pool(_graph(spark, sf_dir)[0], MATRIX)
+    return graph.max_pool(_nodes(spark, sf_dir), MATRIX)
 
 
 @query
 def news_concat(spark, sf_dir):
-    nodes, _ = _graph(spark, sf_dir)
+    nodes = _nodes(spark, sf_dir)
     return graph.news_concat(graph.max_pool(nodes, MATRIX), nodes, MATRIX)
 
 
 @query
 def graph_mean_features(spark, sf_dir):
-    nodes, _ = _graph(spark, sf_dir)
+    nodes = _nodes(spark, sf_dir)
     with_news = graph.graph_mean_features(nodes, MATRIX)
     without = graph.graph_mean_features(nodes, MATRIX, include_news=False)
     return with_news.join(without.toDF("news_id", *[f"tweets_{n}" for n in MATRIX]), "news_id")
@@ -571,7 +563,7 @@ def graph_mean_features(spark, sf_dir):
 
 @query
 def linear_layer(spark, sf_dir):
-    return graph.linear_layer(_graph(spark, sf_dir)[0], graph.NODE, MATRIX, rule_layer(4, 8), relu=True)
+    return graph.linear_layer(_nodes(spark, sf_dir), graph.NODE, MATRIX, rule_layer(4, 8), relu=True)
 
 
 def pooled_network(inputs: int, hidden: int = 64) -> graph.Network:
@@ -586,13 +578,13 @@ def pooled_network(inputs: int, hidden: int = 64) -> graph.Network:
 
 @query
 def gnn_infer(spark, sf_dir):
-    return graph.gnn_infer(*_stored_graph(spark, sf_dir), MATRIX, pooled_network(8))
+    return graph.gnn_infer(*_graph(spark, sf_dir), MATRIX, pooled_network(8))
 
 
 @query
 def gnn_infer_news(spark, sf_dir):
     """One convolution next to the news node's features, and the simple network, side by side."""
-    nodes, joined = _stored_graph(spark, sf_dir)
+    nodes, joined = _graph(spark, sf_dir)
     told = graph.Network(
         "news", [rule_layer(16, 8, 0.001)], rule_layer(2, 16), news=rule_layer(16, 8, 0.001), joined=rule_layer(16, 32),
         convolution="sage", neighbours=rule_layer(16, 8, 0.002),
@@ -605,7 +597,7 @@ def gnn_infer_news(spark, sf_dir):
 @query
 def graph_embeddings(spark, sf_dir):
     graphs = cascades.graph_table(adapters.tweets(spark, sf_dir))
-    return graph.graph_embeddings(*_stored_graph(spark, sf_dir), MATRIX, pooled_network(8), graphs)
+    return graph.graph_embeddings(*_graph(spark, sf_dir), MATRIX, pooled_network(8), graphs)
 
 
 # --- learning ---------------------------------------------------------------------------------
@@ -624,17 +616,15 @@ def stratified_split_items(spark, sf_dir):
 
 
 def _pooled(spark, sf_dir) -> tuple[DataFrame, list[str]]:
-    nodes, joined = _stored_graph(spark, sf_dir)
+    nodes, joined = _graph(spark, sf_dir)
     pooled = graph.mean_max_pool(graph.gcn_propagate(nodes, joined, MATRIX, rounds=2), MATRIX)
     return pooled, [c for c in pooled.columns if c != "news_id"]
 
 
 def _parts(spark, sf_dir, pooled: DataFrame) -> dict[str, DataFrame]:
     split = learning.stratified_split(cascades.graph_table(adapters.tweets(spark, sf_dir)))
-    # The training loop reads its input many times: store it.
-    path = scratch_path(spark, "pooled")
-    pooled.write.parquet(path)
-    return learning.labelled_parts(spark.read.parquet(path), split)
+    # The training loop reads its input many times.
+    return learning.labelled_parts(materialise(pooled.join(split, "news_id"), "pooled"))
 
 
 @query

@@ -51,7 +51,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write a table to the shared checkpoint folder and go on from the stored rows."""
-    scratch_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write a table below the shared scratch folder and go on from the stored rows.
+
+    Later steps neither repeat the work before nor lose it with an executor, and read only the columns they use.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -28,7 +28,7 @@ def _tweet_id(ts: str = "ts", event_id: str = "event_id") -> Column:
 
 
 def _props_k() -> Column:
-    return F.get_json_object("props", "$.k").cast("long")
+    return F.regexp_extract("props", "([0-9]+)", 1).cast("long")
 
 
 def tweets(spark: SparkSession, sf_dir: str) -> DataFrame:

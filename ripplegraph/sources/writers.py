@@ -13,17 +13,19 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
+def graphs_stored(spark: SparkSession, path: str) -> bool:
+    """Whether a finished set is there: the table written last has its success mark."""
+    return _exists(spark, f"{path}/{GRAPH_TABLES[-1]}/_SUCCESS")
+
+
 def read_graphs(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{path}/{name}") for name in GRAPH_TABLES}
 
 
 def write_graphs(tables: dict[str, DataFrame], path: str, overwrite: bool = False) -> dict[str, DataFrame]:
-    """Store the nodes, edges and graphs tables as Parquet and read them back; stored graphs are re-used.
-
-    ``_SUCCESS`` of the table written last tells a finished set from an interrupted one.
-    """
+    """Store the nodes, edges and graphs tables as Parquet and read them back; stored graphs are re-used."""
     spark = tables["graphs"].sparkSession
-    if overwrite or not _exists(spark, f"{path}/{GRAPH_TABLES[-1]}/_SUCCESS"):
+    if overwrite or not graphs_stored(spark, path):
         for name in GRAPH_TABLES:
             tables[name].write.mode("overwrite").parquet(f"{path}/{name}")
     return read_graphs(spark, path)

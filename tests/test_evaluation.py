@@ -130,7 +130,8 @@ def test_early_stopping(spark):
 def test_fit_store_and_score(spark, tmp_path):
     rows = [(f"g{i}", i % 2, float(i % 2) * 4 + (i % 7) / 7, float(i % 5)) for i in range(200)]
     data = spark.createDataFrame(rows, "news_id string, label int, a double, b double")
-    parts = learning.labelled_parts(data.drop("label"), learning.stratified_split(data.select("news_id", "label")))
+    split = learning.stratified_split(data.select("news_id", "label"))
+    parts = learning.labelled_parts(data.drop("label").join(split, "news_id"))
     model = learning.fit_structure(parts["train"], ["a", "b"], learning.perceptron(2, steps=60, hidden=8))
     scored = learning.predict_graphs(model, parts["test"], "m")
     assert metrics.accuracy(scored).first().accuracy == 1.0
