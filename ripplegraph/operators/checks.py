@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplegraph.plans.ordering import union_all
-from ripplegraph.plans.skew import hot_keys, salted_join
+from ripplegraph.plans.skew import hot_key_sets, salted_join
 
 
 def dangling_edges(tweets: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges without both ends in one cascade, with the reason."""
-    hot_source, hot_target = hot_keys(edges, ["source"]), hot_keys(edges, ["target"])
+    hot_source, hot_target = hot_key_sets(edges, [["source"], ["target"]])
 
     def ends(name: str) -> DataFrame:
         return tweets.select(F.col("tweet_id").alias(name), F.col("news_id").alias(f"{name}_news"))
@@ -37,7 +37,7 @@ def duplicate_tweets(tweets: DataFrame) -> DataFrame:
 
 def time_violations(tweets: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges whose target is earlier than their source, with the seconds between."""
-    hot_source, hot_target = hot_keys(edges, ["source"]), hot_keys(edges, ["target"])
+    hot_source, hot_target = hot_key_sets(edges, [["source"], ["target"]])
 
     def times(name: str) -> DataFrame:
         return tweets.select(F.col("tweet_id").alias(name), F.unix_micros("timestamp").alias(f"{name}_us"))

@@ -11,7 +11,15 @@ from pyspark.sql import functions as F
 from ripplegraph.functions.scalars import coin, hours_between, not_nan
 from ripplegraph.operators.cascades import ORDER
 from ripplegraph.plans.ordering import lookback, position, running_max, running_sums, union_all
-from ripplegraph.plans.skew import HotKeys, hot_keys, lookup_join, salted_join
+from ripplegraph.plans.skew import (
+    MAX_BROADCAST_ROWS,
+    HotKeys,
+    hot_key_sets,
+    hot_keys,
+    is_small,
+    lookup_join,
+    salted_join,
+)
 
 # Fixed values of the edge rules.
 LOOKBACK = 5
@@ -41,17 +49,17 @@ def news_edges(ordered: DataFrame) -> DataFrame:
     return _edges(ordered, F.lit(0), F.col("node_idx"), "news")
 
 
-def _match_ends(edges: DataFrame, tweets: DataFrame, carry: str, hot: HotKeys | None) -> DataFrame:
+def _match_ends(edges: DataFrame, tweets: DataFrame, carry: str) -> DataFrame:
     """Edges whose two ends are tweets of the edge's cascade, with ``carry`` of both ends.
 
     Both lookups are equi-joins on the unique tweet id; an end shared by very many edges is spread.
     """
     ends = tweets.select("news_id", "tweet_id", carry)
     named = "news_id" in edges.columns
-    hot = hot_keys(edges, ["source"]) if hot is None else hot
+    hot_sources, hot_targets = hot_key_sets(edges, [["source"], ["target"]])
     sources = ends.select(F.col("tweet_id").alias("source"), F.col("news_id").alias("_news"), F.col(carry).alias("_src"))
     own = F.col("news_id") == F.col("_news") if named else F.startswith("source", "_news")
-    found = salted_join(edges, sources, ["source"], hot, ["target"]).where(own)
+    found = salted_join(edges, sources, ["source"], hot_sources, ["target"]).where(own)
     targets = ends.select(
         F.col("tweet_id").alias("target"), F.col("news_id").alias("_news"), F.col(carry).alias("_dst")
     )
@@ -59,19 +67,19 @@ def _match_ends(edges: DataFrame, tweets: DataFrame, carry: str, hot: HotKeys |
         found.select("_news", "source", "target", "_src"),
         targets,
         ["_news", "target"],
-        hot_keys(edges, ["target"]),
+        hot_targets,
         ["source"],
     )
     return matched.withColumnRenamed("_news", "news_id")
 
 
-def cascade_edges(ordered: DataFrame, edges: DataFrame, hot: HotKeys | None = None) -> DataFrame:
+def cascade_edges(ordered: DataFrame, edges: DataFrame) -> DataFrame:
     """Recorded reposts within a cascade; duplicates are kept.
 
     An edge belongs to a cascade when its ``news_id`` says so or, without that column, when its source id
     starts with the news id; both ends must be tweets of the cascade.
     """
-    return _edges(_match_ends(edges, ordered, "node_idx", hot), F.col("_src"), F.col("_dst"), "cascade")
+    return _edges(_match_ends(edges, ordered, "node_idx"), F.col("_src"), F.col("_dst"), "cascade")
 
 
 def user_star(users: DataFrame) -> DataFrame:
@@ -88,9 +96,7 @@ def user_star(users: DataFrame) -> DataFrame:
     return _edges(both, F.col("e.s"), F.col("e.d"), "news")
 
 
-def user_interaction(
-    tweets: DataFrame, users: DataFrame, edges: DataFrame, hot: HotKeys | None = None
-) -> DataFrame:
+def user_interaction(tweets: DataFrame, users: DataFrame, edges: DataFrame) -> DataFrame:
     """Reposts between two users of a cascade, in both directions, without self-loops; duplicates are kept."""
     hot_users = hot_keys(tweets, ["news_id", "user_id"])
     # A user's tweets in one cascade may be many, so the index lookup is spread as well.
@@ -101,7 +107,7 @@ def user_interaction(
         hot_users,
         ["tweet_id"],
     )
-    pairs = _match_ends(edges, indexed, "user_idx", hot).where(F.col("_src") != F.col("_dst"))
+    pairs = _match_ends(edges, indexed, "user_idx").where(F.col("_src") != F.col("_dst"))
     both = pairs.select(
         "news_id",
         F.explode(
@@ -162,8 +168,11 @@ def pattern_match(cascades: DataFrame, patterns: DataFrame, seed: str = "42") ->
     patterns are never paired off. Without a similar pattern the run is the whole class. Cascades of a class
     without patterns are left out.
     """
-    ranked = position(patterns, ["is_fake"], ["num_nodes", "pattern_id"], "rank")
     sizes = cascades.select("is_fake", "cascade_size").distinct()
+    small = is_small(patterns) and is_small(sizes)
+    # Small tables cannot have hot groups, so there is nothing to look for.
+    hot = HotKeys(("is_fake",), MAX_BROADCAST_ROWS) if small else None
+    ranked = position(patterns, ["is_fake"], ["num_nodes", "pattern_id"], "rank", hot)
     # Sizes are whole numbers, so rounding the tolerance down changes nothing and keeps the bounds exact.
     tolerance = F.floor(
         F.greatest(F.lit(float(SIZE_TOLERANCE)), F.col("cascade_size") * F.lit(SIZE_TOLERANCE_SHARE))
@@ -181,7 +190,7 @@ def pattern_match(cascades: DataFrame, patterns: DataFrame, seed: str = "42") ->
                          "cascade_size", none.alias("n")),
         ]
     )
-    counted = running_sums(events, ["is_fake"], ["value", "turn", "cascade_size"], {"seen": F.col("n")})
+    counted = running_sums(events, ["is_fake"], ["value", "turn", "cascade_size"], {"seen": F.col("n")}, hot)
     runs = (
         counted.where(F.col("turn") != 1)
         .groupBy("is_fake", "cascade_size")
@@ -199,10 +208,10 @@ def pattern_match(cascades: DataFrame, patterns: DataFrame, seed: str = "42") ->
         F.when(similar, F.col("end") - F.col("start")).otherwise(F.col("of_class")).alias("length"),
     )
     # Many cascades share a size, and many may draw one pattern.
-    drawn = lookup_join(cascades, runs, ["is_fake", "cascade_size"], ["news_id"]).withColumn(
+    drawn = lookup_join(cascades, runs, ["is_fake", "cascade_size"], ["news_id"], small).withColumn(
         "rank", F.col("start") + F.floor(coin("news_id", F.lit("pattern"), seed=seed) * F.col("length"))
     )
-    return lookup_join(drawn, ranked, ["is_fake", "rank"], ["news_id"]).select(
+    return lookup_join(drawn, ranked, ["is_fake", "rank"], ["news_id"], small).select(
         "news_id", "is_fake", "cascade_size", "pattern_id", "num_nodes", "level_0", "level_1", "level_2"
     )
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplegraph.plans.skew import HotKeys, hot_keys, salted_join
+from ripplegraph.plans.skew import HotKeys, hot_key_sets, hot_keys, salted_join
 from ripplegraph.session import materialise
 
 NODE = ["news_id", "node_idx"]
@@ -33,6 +33,11 @@ def hot_sources(edges: DataFrame) -> HotKeys:
     return hot_keys(edges, ["news_id", "src_idx"])
 
 
+def hot_ends(edges: DataFrame) -> list[HotKeys]:
+    """Sources and targets shared by very many edges."""
+    return hot_key_sets(edges, [["news_id", "src_idx"], ["news_id", "dst_idx"]])
+
+
 def _links(nodes: DataFrame, edges: DataFrame, drop_loops: bool = True) -> DataFrame:
     """Edges plus one link of every node to itself, marked ``own``. Loops in the input give way to it."""
     real = edges.where(F.col("src_idx") != F.col("dst_idx")) if drop_loops else edges
@@ -52,16 +57,14 @@ def in_degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def gcn_norm(nodes: DataFrame, edges: DataFrame, hot: HotKeys | None = None) -> DataFrame:
+def gcn_norm(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Weight 1/sqrt(d_src * d_dst) per edge, loops included."""
-    hot = hot_sources(edges) if hot is None else hot
+    hot, hot_targets = hot_ends(edges)
     degrees = in_degrees(nodes, edges)
     src = degrees.select("news_id", F.col("node_idx").alias("src_idx"), F.col("degree").alias("d_src"))
     dst = degrees.select("news_id", F.col("node_idx").alias("dst_idx"), F.col("degree").alias("d_dst"))
     linked = salted_join(_links(nodes, edges), src, ["news_id", "src_idx"], hot, ["dst_idx"])
-    linked = salted_join(
-        linked, dst, ["news_id", "dst_idx"], hot_keys(edges, ["news_id", "dst_idx"]), ["src_idx"]
-    )
+    linked = salted_join(linked, dst, ["news_id", "dst_idx"], hot_targets, ["src_idx"])
     weight = F.lit(1.0) / F.sqrt(F.col("d_src") * F.col("d_dst"))
     return linked.select("news_id", "src_idx", "dst_idx", weight.alias("weight"))
 
@@ -154,17 +157,10 @@ def _gat_round(
 
 
 def gat_attention(
-    nodes: DataFrame,
-    edges: DataFrame,
-    names: list[str],
-    source_weights,
-    target_weights,
-    hot: HotKeys | None = None,
+    nodes: DataFrame, edges: DataFrame, names: list[str], source_weights, target_weights
 ) -> DataFrame:
     """Attention-weighted sum over in-neighbours and the node itself, for given attention vectors."""
-    hot = hot_sources(edges) if hot is None else hot
-    attention = (source_weights, target_weights)
-    return _gat_round(nodes, _links(nodes, edges), names, attention, hot, hot_keys(edges, ["news_id", "dst_idx"]))
+    return _gat_round(nodes, _links(nodes, edges), names, (source_weights, target_weights), *hot_ends(edges))
 
 
 # --- pooling ----------------------------------------------------------------------------------

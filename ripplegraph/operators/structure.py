@@ -1,6 +1,7 @@
 """Structural features: time since the news, degree, depth, replies, influence, branching.
 
-``edges`` here are tweet-to-tweet edges ``news_id, source, target`` within their cascade.
+``links`` are tweet-to-tweet edges ``news_id, source, target`` within their cascade. They are read several times:
+store them first.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ripplegraph.functions.scalars import hours_between
 from ripplegraph.plans.ordering import union_all
-from ripplegraph.plans.skew import HotKeys, hot_keys, salted_join
+from ripplegraph.plans.skew import HotKeys, hot_key_sets, hot_keys, salted_join
 from ripplegraph.session import materialise
 
 REPOST_MARK = "RT @"
@@ -22,8 +23,9 @@ def tweet_links(tweets: DataFrame, edges: DataFrame) -> DataFrame:
     sources = ids.select("news_id", F.col("tweet_id").alias("source"))
     targets = ids.select("news_id", F.col("tweet_id").alias("target"))
     ends = edges.select("source", "target")
-    found = salted_join(ends, sources, ["source"], hot_keys(ends, ["source"]), ["target"])
-    return salted_join(found, targets, ["news_id", "target"], hot_keys(ends, ["target"]), ["source"]).select(
+    hot_sources, hot_targets = hot_key_sets(ends, [["source"], ["target"]])
+    found = salted_join(ends, sources, ["source"], hot_sources, ["target"])
+    return salted_join(found, targets, ["news_id", "target"], hot_targets, ["source"]).select(
         "news_id", "source", "target"
     )
 

@@ -51,7 +51,7 @@ def _ordered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, HotKeys]:
 
 def _links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     tweets = adapters.tweets(spark, sf_dir)
-    return tweets, structure.tweet_links(tweets, adapters.edges(spark, sf_dir))
+    return tweets, materialise(structure.tweet_links(tweets, adapters.edges(spark, sf_dir)), "links")
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

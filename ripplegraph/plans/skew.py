@@ -39,20 +39,44 @@ class HotKeys:
 def hot_keys(df: DataFrame, keys: list[str], limit: int | None = None) -> HotKeys:
     """Count rows per key (combined on the map side) and keep the keys above ``limit``.
 
-    At most rows/limit keys can be hot. They are broadcast only when a bounded fetch
-    shows that they are few; otherwise the counted table itself is joined.
+    At most rows/limit keys can be hot. They are broadcast only when a bounded fetch shows that they are few;
+    otherwise the counted table itself is joined.
     """
+    return hot_key_sets(df, [keys], limit)[0]
+
+
+def hot_key_sets(df: DataFrame, key_sets: list[list[str]], limit: int | None = None) -> list[HotKeys]:
+    """Hot keys of several column sets of the same types, counted in one pass over ``df``."""
     limit = HOT_ROWS if limit is None else limit
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("hot_rows")).where(F.col("hot_rows") > limit)
+    names = [f"_k{i}" for i in range(len(key_sets[0]))]
+    sides = [
+        F.struct(F.lit(number).alias("_side"), *[F.col(k).alias(n) for k, n in zip(keys, names)])
+        for number, keys in enumerate(key_sets)
+    ]
+    counted = (
+        df.select(F.inline(F.array(*sides)))
+        .groupBy("_side", *names)
+        .agg(F.count(F.lit(1)).alias("hot_rows"))
+        .where(F.col("hot_rows") > limit)
+    )
     found = counted.limit(MAX_BROADCAST_KEYS + 1).collect()
-    if not found:
+    few = len(found) <= MAX_BROADCAST_KEYS
+    if not few:
+        found = counted.groupBy("_side").agg(F.max("hot_rows").alias("largest"), F.sum("hot_rows").alias("total")).collect()
+    return [_of_side(df, counted, found, few, number, keys, names, limit) for number, keys in enumerate(key_sets)]
+
+
+def _of_side(df, counted, found, few, number, keys, names, limit) -> HotKeys:
+    rows = [row for row in found if row["_side"] == number]
+    if not rows:
         return HotKeys(tuple(keys), limit)
-    if len(found) > MAX_BROADCAST_KEYS:
-        totals = counted.agg(F.max("hot_rows").alias("largest"), F.sum("hot_rows").alias("total")).first()
-        return HotKeys(tuple(keys), limit, counted, totals.largest, totals.total)
-    table = F.broadcast(df.sparkSession.createDataFrame(found, counted.schema))
-    sizes = [row.hot_rows for row in found]
-    return HotKeys(tuple(keys), limit, table, max(sizes), sum(sizes))
+    renamed = [F.col(n).alias(k) for n, k in zip(names, keys)]
+    if not few:
+        table = counted.where(F.col("_side") == number).select(*renamed, "hot_rows")
+        return HotKeys(tuple(keys), limit, table, rows[0]["largest"], rows[0]["total"])
+    sizes = [row["hot_rows"] for row in rows]
+    table = df.sparkSession.createDataFrame(rows, counted.schema).select(*renamed, "hot_rows")
+    return HotKeys(tuple(keys), limit, F.broadcast(table), max(sizes), sum(sizes))
 
 
 def split_hot(df: DataFrame, hot: HotKeys) -> tuple[DataFrame, DataFrame]:
@@ -85,8 +109,15 @@ def salted_join(
     return salted.join(copied, [*on, "_salt"], how).drop("_salt")
 
 
-def lookup_join(left: DataFrame, lookup: DataFrame, on: list[str], spread: list[str | Column]) -> DataFrame:
-    """Inner join with a table that is usually small: broadcast if a bounded count shows that it is, salted otherwise."""
-    if lookup.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
+def is_small(df: DataFrame) -> bool:
+    """Whether a table may be broadcast, by a bounded count."""
+    return df.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
+
+
+def lookup_join(
+    left: DataFrame, lookup: DataFrame, on: list[str], spread: list[str | Column], small: bool
+) -> DataFrame:
+    """Inner join with a lookup table: broadcast if it was found to be small, salted otherwise."""
+    if small:
         return left.join(F.broadcast(lookup), on)
     return salted_join(left, lookup, on, hot_keys(left, on), spread)

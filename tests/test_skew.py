@@ -80,12 +80,21 @@ def test_salted_join(spark, tweets, how):
     assert same(salted_join(tweets, side, ["news_id"], hot, ["tweet_id"], how), tweets.join(side, ["news_id"], how))
 
 
-def test_lookup_join_beyond_the_broadcast_bound(spark, tweets, monkeypatch):
+def test_lookup_join(spark, tweets, monkeypatch):
     side = spark.createDataFrame([("viral", 1), ("n1", 2), ("n2", 3)], "news_id string, n int")
-    plain = skew.lookup_join(tweets, side, ["news_id"], ["tweet_id"])
+    plain = skew.lookup_join(tweets, side, ["news_id"], ["tweet_id"], small=True)
+    assert skew.is_small(side)
     monkeypatch.setattr(skew, "MAX_BROADCAST_ROWS", 2)
     monkeypatch.setattr(skew, "HOT_ROWS", 50)
-    assert same(skew.lookup_join(tweets, side, ["news_id"], ["tweet_id"]), plain)
+    assert not skew.is_small(side)
+    assert same(skew.lookup_join(tweets, side, ["news_id"], ["tweet_id"], small=False), plain)
+
+
+def test_key_sets_are_counted_together(tweets):
+    a, b = skew.hot_key_sets(tweets, [["news_id"], ["user_id"]], 54)
+    assert [tuple(r) for r in a.table.collect()] == [("viral", 200)]
+    assert a.table.columns == ["news_id", "hot_rows"] and b.table.columns == ["user_id", "hot_rows"]
+    assert b.table.count() == tweets.groupBy("user_id").count().where("count > 54").count() > 0
 
 
 def test_split_results_do_not_depend_on_partitions(tweets):
