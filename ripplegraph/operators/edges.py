@@ -97,7 +97,10 @@ def user_star(users: DataFrame) -> DataFrame:
 
 
 def user_interaction(tweets: DataFrame, users: DataFrame, edges: DataFrame) -> DataFrame:
-    """Reposts between two users of a cascade, in both directions, without self-loops; duplicates are kept."""
+    """Reposts between two users of a cascade, in both directions, without self-loops; duplicates are kept.
+
+    Here the source id's prefix alone tells an edge's cascade, also where the edges name one.
+    """
     hot_users = hot_keys(tweets, ["news_id", "user_id"])
     # A user's tweets in one cascade may be many, so the index lookup is spread as well.
     indexed = salted_join(
@@ -107,7 +110,7 @@ def user_interaction(tweets: DataFrame, users: DataFrame, edges: DataFrame) -> D
         hot_users,
         ["tweet_id"],
     )
-    pairs = _match_ends(edges, indexed, "user_idx").where(F.col("_src") != F.col("_dst"))
+    pairs = _match_ends(edges.select("source", "target"), indexed, "user_idx").where(F.col("_src") != F.col("_dst"))
     both = pairs.select(
         "news_id",
         F.explode(

@@ -29,6 +29,26 @@ TWEET_FEATURES = [
     "bot_score",
     "emotional",
 ]
+USER_FEATURES = [
+    "n_tweets",
+    "mean_likes",
+    "mean_retweets",
+    "any_root",
+    "followers",
+    "following",
+    "verified",
+    "credibility",
+]
+NEWS_TEXT_STATS = [
+    "n_tweets",
+    "n_users",
+    "sum_likes",
+    "sum_retweets",
+    "mean_likes",
+    "mean_retweets",
+    "diversity",
+    "variance",
+]
 EMOTIONAL_MARKS = 2
 
 
@@ -64,34 +84,47 @@ def _known(name: str, default: float, missing: str) -> Column:
     return F.when(value.isNull(), unknown).when(value == 0, F.lit(default)).otherwise(value)
 
 
+def _tweet_columns(rows: DataFrame, missing: str) -> dict[str, Column]:
+    if missing not in ("default", "nan"):
+        raise ValueError(f"missing must be 'default' or 'nan', not {missing!r}")
+    root = F.coalesce("is_root", F.lit(False)) if "is_root" in rows.columns else F.lit(False)
+    marks = literal_count(F.coalesce("text", F.lit("")), "!")
+    columns = [
+        _known("likes", 0.0, missing),
+        _known("retweets", 0.0, missing),
+        root.cast("double"),
+        _known("user_followers", CASCADE_DEFAULTS["user_followers"], missing),
+        F.coalesce("user_verified", F.lit(False)).cast("double"),
+        _known("user_credibility", CASCADE_DEFAULTS["user_credibility"], missing),
+        _known("user_bot_score", CASCADE_DEFAULTS["user_bot_score"], missing),
+        (marks > EMOTIONAL_MARKS).cast("double"),
+    ]
+    return dict(zip(TWEET_FEATURES, columns))
+
+
 def tweet_features(tweets: DataFrame, missing: str = "default") -> DataFrame:
     """Eight named features per tweet.
 
     ``missing="default"`` gives unknown values their defaults; ``missing="nan"`` leaves them NaN. An optional
     column that is absent altogether always gets its default, and a 0 counts as unknown in three of them.
     """
-    if missing not in ("default", "nan"):
-        raise ValueError(f"missing must be 'default' or 'nan', not {missing!r}")
     rows = align_schema(tweets, "cascade", fill_nulls=False)
-    if "is_root" not in rows.columns:
-        rows = rows.withColumn("is_root", F.lit(False))
-    marks = literal_count(F.coalesce("text", F.lit("")), "!")
-    keys = [c for c in ("news_id", "tweet_id", "node_idx") if c in rows.columns]
-    return rows.select(
-        *keys,
-        _known("likes", 0.0, missing).alias("likes"),
-        _known("retweets", 0.0, missing).alias("retweets"),
-        F.coalesce("is_root", F.lit(False)).cast("double").alias("is_root"),
-        _known("user_followers", CASCADE_DEFAULTS["user_followers"], missing).alias("followers"),
-        F.coalesce("user_verified", F.lit(False)).cast("double").alias("verified"),
-        _known("user_credibility", CASCADE_DEFAULTS["user_credibility"], missing).alias("credibility"),
-        _known("user_bot_score", CASCADE_DEFAULTS["user_bot_score"], missing).alias("bot_score"),
-        (marks > EMOTIONAL_MARKS).cast("double").alias("emotional"),
-    )
+    return rows.select("news_id", "tweet_id", *[c.alias(n) for n, c in _tweet_columns(rows, missing).items()])
+
+
+def slim_tweets(tweets: DataFrame, missing: str = "default") -> DataFrame:
+    """What graph building needs of the tweets: ids, time, label, engagement and the features ``x0 .. x7``.
+
+    Texts and profiles are reduced to features here, before any shuffle has to carry them.
+    """
+    rows = align_schema(tweets, "cascade", fill_nulls=False)
+    numbered = [c.alias(f"x{i}") for i, c in enumerate(_tweet_columns(rows, missing).values())]
+    kept = ["news_id", "tweet_id", "user_id", "timestamp", "label", "likes", "retweets", "user_type"]
+    return rows.select(*kept, *numbered)
 
 
 def node_matrix(ordered: DataFrame, news: DataFrame) -> DataFrame:
-    """One feature row ``x0 .. x7`` per node: news totals for node 0, tweet features for the others."""
+    """One feature row ``x0 .. x7`` per node: news totals for node 0, the features of ordered slim tweets for the others."""
     tops = news.select(
         "news_id",
         F.lit(0).cast("long").alias("node_idx"),
@@ -99,14 +132,8 @@ def node_matrix(ordered: DataFrame, news: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("tweet_id"),
         *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(NEWS_FEATURES)],
     )
-    tweets = tweet_features(ordered).select(
-        "news_id",
-        "node_idx",
-        F.lit(1).alias("node_type"),
-        "tweet_id",
-        *[F.col(c).alias(f"x{i}") for i, c in enumerate(TWEET_FEATURES)],
-    )
-    return tops.unionByName(tweets)
+    numbered = [f"x{i}" for i in range(len(TWEET_FEATURES))]
+    return tops.unionByName(ordered.select("news_id", "node_idx", F.lit(1).alias("node_type"), "tweet_id", *numbered))
 
 
 def _any_root(df: DataFrame) -> Column:
@@ -155,6 +182,25 @@ def user_features_text(tweets: DataFrame) -> DataFrame:
     )
 
 
+def user_matrix(users: DataFrame, news: DataFrame, features: DataFrame, text: bool = False) -> DataFrame:
+    """One feature row per node of the user graphs: the news node 0 and the indexed users.
+
+    ``text`` takes the figures of the graphs with text; there users have one figure more, and the news rows get a 0.
+    """
+    tops, rows = (NEWS_TEXT_STATS, [*USER_FEATURES, "style"]) if text else (NEWS_FEATURES, USER_FEATURES)
+
+    def numbered(names: list[str]) -> list[Column]:
+        padded = [F.col(n).cast("double") for n in names] + [F.lit(0.0)] * (len(rows) - len(names))
+        return [c.alias(f"x{i}") for i, c in enumerate(padded)]
+
+    kept = news.join(users.where(F.col("user_idx") == 1).select("news_id"), "news_id", "left_semi")
+    top_rows = kept.select("news_id", F.lit(0).cast("long").alias("node_idx"), F.lit(0).alias("node_type"), *numbered(tops))
+    user_rows = users.join(features, ["news_id", "user_id"]).select(
+        "news_id", F.col("user_idx").alias("node_idx"), F.lit(1).alias("node_type"), *numbered(rows)
+    )
+    return top_rows.unionByName(user_rows)
+
+
 def dataset_profile(tweets: DataFrame, edges: DataFrame, min_tweets: int = 2) -> DataFrame:
     """Articles, tweets, mean cascade size and edges, per label and in total (label null)."""
     label = F.min_by("label", F.struct("timestamp", "tweet_id"))

@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplegraph.operators import cascades, edges, features
+from ripplegraph.operators.text import news_text_stats
 from ripplegraph.plans.ordering import union_all
 from ripplegraph.session import materialise
 from ripplegraph.sources import writers
 
 
 def stored_order(tweets: DataFrame):
-    """The ordered tweets, stored: nodes, edges and graphs all start from them."""
+    """The ordered slim tweets, stored: nodes, edges and graphs all start from them."""
     hot = cascades.hot_cascades(tweets)
-    return materialise(cascades.propagation_order(tweets, hot=hot), "ordered"), hot
+    return materialise(cascades.propagation_order(features.slim_tweets(tweets), hot=hot), "ordered"), hot
 
 
 def recorded_graph(tweets: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -50,6 +51,24 @@ def build_graphs(
     return writers.write_graphs({"nodes": nodes, "edges": union_all(parts), "graphs": graphs}, path, overwrite=True)
 
 
+def build_user_graphs(
+    tweets: DataFrame, links: DataFrame, path: str, text: bool = False, overwrite: bool = False
+) -> dict[str, DataFrame]:
+    """Build and store the graphs of users around each news item; ``text`` uses the figures with text features."""
+    spark = tweets.sparkSession
+    if not overwrite and writers.graphs_stored(spark, path):
+        return writers.read_graphs(spark, path)
+    users = materialise(cascades.user_index(tweets), "users")
+    if text:
+        nodes = features.user_matrix(users, news_text_stats(tweets), features.user_features_text(tweets), text=True)
+    else:
+        nodes = features.user_matrix(users, features.news_features(tweets), features.user_features(tweets))
+    joined = edges.user_star(users).unionByName(edges.user_interaction(tweets, users, links))
+    sized = users.groupBy("news_id").agg((F.max("user_idx") + 1).alias("num_nodes"))
+    graphs = cascades.cascade_label(tweets).join(sized, "news_id")
+    return writers.write_graphs({"nodes": nodes, "edges": joined, "graphs": graphs}, path, overwrite=True)
+
+
 def sizes(stored: dict[str, DataFrame]) -> DataFrame:
     """Stored graphs with their numbers of nodes and edges."""
     counted = [

@@ -301,6 +301,12 @@ oracle("align_schema_user", "tweets", f"""SELECT tweet_id, {r('user_followers',
     {r('user_followers * 0.1', 'user_following')} FROM tweets""")
 oracle("write_graphs", "graphs graph_e", """SELECT g.*, g.num_nodes AS nodes, e.edges FROM graphs g
     JOIN (SELECT news_id, count(*) AS edges FROM graph_e GROUP BY 1) e USING (news_id)""")
+oracle("write_user_graphs", "links user_idx", """SELECT u.news_id, g.label, g.label = 1 AS is_fake, u.n + 1 AS num_nodes, u.n + 1 AS nodes,
+    2 * u.n + 2 * coalesce(e.n, 0) AS edges
+    FROM (SELECT news_id, count(*) AS n FROM user_idx GROUP BY 1) u
+    JOIN (SELECT news_id, arg_min(label, timestamp) AS label FROM tweets GROUP BY 1) g USING (news_id)
+    LEFT JOIN (SELECT l.news_id, count(*) AS n FROM links l JOIN tweets s ON s.tweet_id = l.source
+      JOIN tweets t ON t.tweet_id = l.target WHERE s.user_id <> t.user_id GROUP BY 1) e USING (news_id)""")
 oracle("write_edges_tweets", "tweets edges", """SELECT t.news_id, t.tweets, t.likes, coalesce(e.edges, 0) AS edges FROM
     (SELECT news_id, count(*) AS tweets, sum(likes)::BIGINT AS likes FROM tweets GROUP BY 1) t LEFT JOIN
     (SELECT split_part(source, '_t', 1) AS news_id, count(*) AS edges FROM edges GROUP BY 1) e USING (news_id)""")
@@ -388,6 +394,25 @@ oracle("user_features_text", "docs styles", f"""SELECT d.*, {r('(' + ' + '.join(
       bool_or(is_root)::INTEGER::DOUBLE AS any_root, {r('avg(followers)', 'followers')},
       {r('avg(followers * 0.1::DOUBLE)', '"following"')}, bool_or(verified)::INTEGER::DOUBLE AS verified,
       {r('avg(credibility)', 'credibility')} FROM docs GROUP BY 1, 2) d JOIN styles s USING (news_id, user_id)""")
+_USER_ROW = ["count(*)", f"avg({ZERO_LIKES})", f"avg({ZERO_RETWEETS})", "bool_or(is_root)::INTEGER", "avg(user_followers)",
+    "avg(user_followers * 2)", "bool_or(user_verified)::INTEGER",
+    "avg(CASE WHEN user_no % 3 <> 0 THEN user_credibility ELSE 0.5 END)"]
+_NEWS_ROW = ["n_tweets", "n_users", "sum_likes", "sum_retweets", "mean_likes", "mean_retweets", "span_hours", "velocity"]
+oracle("user_matrix", "news_f user_idx tweets", f"""
+    SELECT news_id, 0 AS node_idx, 0 AS node_type, {', '.join(r(c, f'x{i}') for i, c in enumerate(_NEWS_ROW))}
+    FROM news_f WHERE news_id IN (SELECT news_id FROM user_idx)
+    UNION ALL SELECT t.news_id, any_value(u.user_idx), 1, {', '.join(r(c, f'x{i}') for i, c in enumerate(_USER_ROW))}
+    FROM tweets t JOIN user_idx u ON u.news_id = t.news_id AND u.user_id = t.user_id GROUP BY t.news_id, t.user_id""")
+_DOC_ROW = ["count(*)", "avg(likes)", "avg(retweets)", "bool_or(is_root)::INTEGER", "avg(followers)", "avg(followers * 0.1::DOUBLE)",
+    "bool_or(verified)::INTEGER", "avg(credibility)", "(" + " + ".join(f"sum({e})" for e in STYLE.values()) + ") / 7"]
+_DOC_NEWS = ["count(*)", "count(DISTINCT user_id)", "sum(likes)", "sum(retweets)", "avg(likes)", "avg(retweets)",
+    "any_value(diversity)", f"var_pop({EXCITEMENT})", "0"]
+oracle("user_matrix_text", "docs variety", f"""
+    SELECT news_id, 0 AS node_idx, 0 AS node_type, {', '.join(r(c, f'x{i}') for i, c in enumerate(_DOC_NEWS))}
+    FROM docs JOIN variety USING (news_id) GROUP BY 1 HAVING count(DISTINCT user_id) >= 3
+    UNION ALL SELECT news_id, row_number() OVER (PARTITION BY news_id ORDER BY first_doc), 1, {', '.join(f'x{i}' for i in range(9))} FROM (
+      SELECT news_id, min(substr(tweet_id, 2)::BIGINT) AS first_doc, count(*) OVER (PARTITION BY news_id) AS n,
+             {', '.join(r(c, f'x{i}') for i, c in enumerate(_DOC_ROW))} FROM docs GROUP BY news_id, user_id) WHERE n >= 3""")
 oracle("news_text_stats", "docs variety", f"""SELECT a.*, {r('v.diversity')} FROM (
     SELECT news_id, count(*) AS n_tweets, count(DISTINCT user_id) AS n_users, {r('sum(likes)', 'sum_likes')},
       {r('sum(retweets)', 'sum_retweets')}, {r('avg(likes)', 'mean_likes')}, {r('avg(retweets)', 'mean_retweets')},

@@ -55,8 +55,9 @@ def _links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ordered, _ = _ordered(spark, sf_dir)
-    return features.node_matrix(ordered, features.news_features(adapters.tweets(spark, sf_dir)))
+    tweets = adapters.tweets(spark, sf_dir)
+    ordered = cascades.propagation_order(features.slim_tweets(tweets))
+    return features.node_matrix(ordered, features.news_features(tweets))
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -131,6 +132,15 @@ def write_graphs(spark, sf_dir):
     return build.sizes(stored)
 
 
+@query
+def write_user_graphs(spark, sf_dir):
+    """The same for the graphs of users."""
+    tweets = adapters.tweets(spark, sf_dir).join(
+        adapters.user_tweets(spark, sf_dir).select("tweet_id", "followers", "following", "verified", "credibility"), "tweet_id"
+    )
+    return build.sizes(build.build_user_graphs(tweets, adapters.edges(spark, sf_dir), scratch_path(spark, "graphs")))
+
+
 @query
 def write_edges_tweets(spark, sf_dir):
     """Both CSV sinks, read back and counted per cascade."""
@@ -366,6 +376,21 @@ def user_features_text(spark, sf_dir):
     return features.user_features_text(adapters.document_tweets(spark, sf_dir))
 
 
+@query
+def user_matrix(spark, sf_dir):
+    tweets = adapters.user_tweets(spark, sf_dir)
+    return features.user_matrix(cascades.user_index(tweets), features.news_features(tweets), features.user_features(tweets))
+
+
+@query
+def user_matrix_text(spark, sf_dir):
+    """User graphs of the documents; the news rows are padded to the users' width."""
+    tweets = adapters.document_tweets(spark, sf_dir)
+    return features.user_matrix(
+        cascades.user_index(tweets), text.news_text_stats(tweets), features.user_features_text(tweets), text=True
+    )
+
+
 @query
 def news_text_stats(spark, sf_dir):
     return text.news_text_stats(adapters.document_tweets(spark, sf_dir))
@@ -675,6 +700,18 @@ def predict_graphs(spark, sf_dir):
     return learning.predict_graphs(model, union_all(list(parts.values())), A)
 
 
+@query
+def graph_feature_importance(spark, sf_dir):
+    """Which mean node features of the graphs go with a fitted model's predictions."""
+    nodes, joined = _graph(spark, sf_dir)
+    pooled = graph.mean_max_pool(graph.gcn_propagate(nodes, joined, MATRIX, rounds=2), MATRIX)
+    names = [c for c in pooled.columns if c != "news_id"]
+    parts = _parts(spark, sf_dir, pooled)
+    model = learning.fit_structure(parts["train"], names, learning.logistic())
+    scored = learning.predict_graphs(model, parts["test"], A).join(graph.graph_mean_features(nodes, MATRIX), "news_id")
+    return analysis.feature_importance(scored, MATRIX)
+
+
 # --- metrics and analysis ---------------------------------------------------------------------
 
 

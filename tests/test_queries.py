@@ -17,7 +17,8 @@ spec.loader.exec_module(compare)
 
 pytestmark = pytest.mark.skipif(not Path(SMALL).exists(), reason="the test tables are absent")
 # Fits and forward passes are tested on their own; here they need too long.
-SLOW = {"fit_structure", "fit_structure_text", "save_load_model", "gnn_infer", "gnn_infer_news", "graph_embeddings"}
+SLOW = {"fit_structure", "fit_structure_text", "save_load_model", "gnn_infer", "gnn_infer_news", "graph_embeddings",
+    "graph_feature_importance"}
 
 
 @pytest.fixture(scope="module")
