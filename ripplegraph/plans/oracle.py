@@ -501,6 +501,54 @@ _LAYER = [
 oracle("linear_layer", "nodes", "SELECT news_id, node_idx, "
     + ", ".join(r(f"greatest({e}, 0)", f"h{j}") for j, e in enumerate(_LAYER)) + " FROM nodes")
 
+
+
+def _dense(inputs: list[str], outputs: int, scale: float, relu: bool = False) -> list[str]:
+    """The layers of the registered queries, written out."""
+    found = []
+    for j in range(outputs):
+        terms = [f"({((3 * j + 5 * i) % 11 - 5) * scale!r}::DOUBLE) * {x}" for i, x in enumerate(inputs)]
+        value = " + ".join([*terms, f"({(j % 3 - 1) * scale!r}::DOUBLE)"])
+        found.append(f"greatest({value}, 0)" if relu else value)
+    return found
+
+
+def _columns(expressions: list[str], prefix: str) -> str:
+    return ", ".join(f"{e} AS {prefix}{j}" for j, e in enumerate(expressions))
+
+
+def _spread(source: str, names: list[str]) -> str:
+    sums = ", ".join(f"sum(w.weight * n.{x}) AS {x}" for x in names)
+    return f"""(SELECT w.news_id, w.dst_idx AS node_idx, {sums} FROM weights w
+        JOIN {source} n ON n.news_id = w.news_id AND n.node_idx = w.src_idx GROUP BY 1, 2)"""
+
+
+H, G = [f"h{j}" for j in range(4)], [f"g{j}" for j in range(4)]
+VIEWS["embedded"] = (("nodes",), f"SELECT news_id, node_idx, {_columns(_dense(X, 4, 0.001, True), 'h')} FROM nodes")
+VIEWS["conv1"] = (("embedded", "weights"), f"SELECT news_id, node_idx, {_columns(_dense(H, 4, 0.1, True), 'h')} FROM {_spread('embedded', H)}")
+VIEWS["conv2"] = (("conv1", "weights"), f"SELECT news_id, node_idx, {_columns(_dense(H, 4, 0.1), 'h')} FROM {_spread('conv1', H)}")
+_POOLED = [f"avg(greatest({h}, 0))" for h in H] + [f"max(greatest({h}, 0))" for h in H]
+VIEWS["scores"] = (("conv2",), f"""SELECT news_id, {_columns(_dense(G, 2, 0.1), 'z')} FROM (
+    SELECT news_id, {_columns(_dense([f'p{j}' for j in range(8)], 4, 0.1), 'g')} FROM (
+      SELECT news_id, {_columns(_POOLED, 'p')} FROM conv2 GROUP BY 1))""")
+H3 = H[:3]
+VIEWS["simple1"] = (("nodes", "weights"), f"SELECT news_id, node_idx, {_columns(_dense(X, 3, 0.001, True), 'h')} FROM {_spread('nodes', X)}")
+VIEWS["simple2"] = (("simple1", "weights"), f"SELECT news_id, node_idx, {_columns(_dense(H3, 3, 0.1), 'h')} FROM {_spread('simple1', H3)}")
+VIEWS["simple_scores"] = (("simple2",), f"""SELECT news_id, {_columns(_dense(H3, 2, 0.1), 'z')} FROM (
+    SELECT news_id, {', '.join(f'max({h}) AS {h}' for h in H3)} FROM simple2 GROUP BY 1)""")
+
+
+def _classes(scores: str) -> str:
+    norm = "greatest(z0, z1) + ln(exp(z0 - greatest(z0, z1)) + exp(z1 - greatest(z0, z1)))"
+    return f"""SELECT news_id, {r(f'z0 - ({norm})', 'log_p_real')}, {r(f'z1 - ({norm})', 'log_p_fake')},
+        {r(f'exp(z0 - ({norm}))', 'p_real')}, {r(f'exp(z1 - ({norm}))', 'p_fake')}, (z1 > z0)::INTEGER AS pred FROM {scores}"""
+
+
+oracle("gnn_infer_small", "scores", _classes("scores"))
+oracle("gnn_infer_simple", "simple_scores", _classes("simple_scores"))
+oracle("graph_embeddings_small", "conv2 graphs", f"""SELECT c.news_id, any_value(g.label) AS label, {', '.join(r(f'avg(c.{h})', h) for h in H)}
+    FROM conv2 c JOIN graphs g USING (news_id) GROUP BY 1""")
+
 # --- learning ---------------------------------------------------------------------------------
 
 _PART = """CASE WHEN place < total * 0.8::DOUBLE THEN 'train' WHEN place < total * 0.9::DOUBLE THEN 'val' ELSE 'test' END"""

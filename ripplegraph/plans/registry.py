@@ -606,6 +606,36 @@ def gnn_infer(spark, sf_dir):
     return graph.gnn_infer(*_graph(spark, sf_dir), MATRIX, pooled_network(8))
 
 
+def small_network() -> graph.Network:
+    return graph.Network(
+        "pooled",
+        [rule_layer(4, 4), rule_layer(4, 4)],
+        rule_layer(2, 4),
+        embedding=rule_layer(4, 8, 0.001),
+        projection=rule_layer(4, 8),
+    )
+
+
+@query
+def gnn_infer_small(spark, sf_dir):
+    """The forward pass with four hidden columns, which SQL can follow."""
+    return graph.gnn_infer(*_graph(spark, sf_dir), MATRIX, small_network())
+
+
+@query
+def gnn_infer_simple(spark, sf_dir):
+    """Two convolutions, maximum pooling and a classifier, with three hidden columns."""
+    net = graph.Network("simple", [rule_layer(3, 8, 0.001), rule_layer(3, 3)], rule_layer(2, 3))
+    return graph.gnn_infer(*_graph(spark, sf_dir), MATRIX, net)
+
+
+@query
+def graph_embeddings_small(spark, sf_dir):
+    graphs = cascades.graph_table(adapters.tweets(spark, sf_dir))
+    found = graph.graph_embeddings(*_graph(spark, sf_dir), MATRIX, small_network(), graphs)
+    return graph.spread_array(found, ["news_id", "label"], "embedding", 4, "h")
+
+
 @query
 def gnn_infer_news(spark, sf_dir):
     """One convolution next to the news node's features, and the simple network, side by side."""

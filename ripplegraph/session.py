@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,21 +30,24 @@ def build_session(app: str = "ripplegraph", master: str | None = None, **conf: s
     return builder.getOrCreate()
 
 
+@cache
+def _local_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"ripplegraph-{application}-")
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints and scratch tables.
+    """The shared folder for stored stages and scratch tables.
 
     It is the one named by ``spark.checkpoint.dir``. Only a local session without that setting
     gets a folder of its own, since a machine-local folder is of no use to other executors.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if named is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="ripplegraph-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named)
-    return named
+    if named is not None:
+        return named
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return _local_folder(context.applicationId)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

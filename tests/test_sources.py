@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from ripplegraph.session import materialise, scratch_path
 from ripplegraph.sources import readers, writers
 
 
@@ -98,3 +99,11 @@ def test_csv_keeps_microseconds(spark, tmp_path):
     df = spark.range(1).select(F.timestamp_micros(F.lit(1_700_000_000_123_456)).alias("timestamp"), F.lit("a").alias("source"), F.lit("b").alias("target"))
     writers.write_csv(df, path)
     assert readers.read_edges(spark, path).select(F.unix_micros("timestamp")).first()[0] == 1_700_000_000_123_456
+
+
+def test_scratch_is_the_shared_folder(spark):
+    path = scratch_path(spark, "x")
+    assert path.startswith(spark.conf.get("spark.checkpoint.dir")) and path != scratch_path(spark, "x")
+    stored = materialise(spark.range(3))
+    assert stored.count() == 3 and spark.conf.get("spark.checkpoint.dir") in stored.inputFiles()[0]
+    assert materialise(spark.range(0)).count() == 0
