@@ -1,4 +1,4 @@
-"""Time the headline queries: one warm run, then the median of three. Prints one JSON line."""
+"""Time the headline queries: one warm run, then the median of the next two. Prints one JSON line."""
 
 from __future__ import annotations
 
@@ -24,7 +24,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    repeats = int(os.environ.get("BENCH_REPEATS", "3"))
+    repeats = int(os.environ.get("BENCH_REPEATS", "2"))
     names = sys.argv[1:] or HEADLINE
     spark = build_session(
         "bench", f"local[{cpus}]", **{"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g",

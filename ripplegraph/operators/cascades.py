@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ripplegraph.functions.scalars import coin
 from ripplegraph.plans.ordering import position
-from ripplegraph.plans.skew import HotKeys, hot_keys, split_hot
+from ripplegraph.plans.skew import HotKeys, hot_keys
 
 ORDER = ["timestamp", "tweet_id"]
 MIN_TWEETS = 2
@@ -47,34 +47,19 @@ def min_users_filter(tweets: DataFrame, min_users: int = MIN_USERS) -> DataFrame
 def propagation_order(
     tweets: DataFrame, min_tweets: int = MIN_TWEETS, hot: HotKeys | None = None
 ) -> DataFrame:
-    """Tweets of the kept cascades with ``pos`` (0-based, by time), ``node_idx`` = pos + 1 and ``cascade_size``.
-
-    The size comes from the same partitioning as the rank, so ordinary cascades cost one shuffle.
-    """
+    """Tweets of the kept cascades with ``pos`` (0-based, by time), ``node_idx`` = pos + 1 and ``cascade_size``."""
     tweets = tweets.where(F.col("news_id").isNotNull())
     hot = hot_cascades(tweets) if hot is None else hot
-    size = F.count(F.lit(1)).over(Window.partitionBy("news_id"))
-    rank = (F.row_number().over(Window.partitionBy("news_id").orderBy(*ORDER)) - 1).cast("long")
-
-    def plain(rows: DataFrame) -> DataFrame:
-        return rows.withColumns({"cascade_size": size, "pos": rank})
-
-    if hot.empty:
-        ordered = plain(tweets)
-    else:
-        cold, large = split_hot(tweets, hot)
-        split = position(large.withColumnRenamed("hot_rows", "cascade_size"), ["news_id"], ORDER, "pos", hot)
-        ordered = plain(cold).unionByName(split)
+    ordered = position(tweets, ["news_id"], ORDER, "pos", hot, size="cascade_size")
     return ordered.where(F.col("cascade_size") >= min_tweets).withColumn("node_idx", F.col("pos") + 1)
 
 
 def user_index(tweets: DataFrame, min_users: int = MIN_USERS, hot: HotKeys | None = None) -> DataFrame:
-    """Distinct users per cascade in first-seen order, ``user_idx`` from 1; small cascades are dropped."""
+    """Distinct users per cascade in first-seen order, ``user_idx`` from 1; cascades with few users are dropped."""
     tweets = tweets.where(F.col("news_id").isNotNull())
     seen = tweets.groupBy("news_id", "user_id").agg(F.min(F.struct(*ORDER)).alias("first_seen"))
-    ranked = position(seen, ["news_id"], ["first_seen", "user_id"], "user_idx", hot)
-    kept = min_users_filter(tweets, min_users).select("news_id")
-    return ranked.join(kept, "news_id", "left_semi").select(
+    ranked = position(seen, ["news_id"], ["first_seen", "user_id"], "user_idx", hot, size="n_users")
+    return ranked.where(F.col("n_users") >= min_users).select(
         "news_id", "user_id", (F.col("user_idx") + 1).alias("user_idx")
     )
 

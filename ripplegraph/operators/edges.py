@@ -5,6 +5,8 @@ Every rule gives ``news_id, src_idx, dst_idx, kind``. Tweets have node index pos
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,34 @@ CHAIN_SHARE = 0.4
 CHAIN_TWEETS = 8
 
 
+class Rule(NamedTuple):
+    """An edge that a row gives where ``when`` holds."""
+
+    kind: str
+    when: Column
+    src: Column
+    dst: Column
+
+
+def _apply(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The edges of several rules in one pass over the rows."""
+    if len(rules) == 1:
+        rule = rules[0]
+        return _edges(df.where(rule.when), rule.src, rule.dst, rule.kind)
+    given = [
+        F.when(
+            rule.when,
+            F.struct(
+                rule.src.cast("long").alias("src_idx"),
+                rule.dst.cast("long").alias("dst_idx"),
+                F.lit(rule.kind).alias("kind"),
+            ),
+        )
+        for rule in rules
+    ]
+    return df.select("news_id", F.inline(F.filter(F.array(*given), lambda edge: edge.isNotNull())))
+
+
 def _edges(df: DataFrame, src: Column, dst: Column, kind: str) -> DataFrame:
     return df.select(
         "news_id", src.cast("long").alias("src_idx"), dst.cast("long").alias("dst_idx"), F.lit(kind).alias("kind")
@@ -234,20 +264,41 @@ def with_pattern(ordered: DataFrame, matched: DataFrame, hot: HotKeys) -> DataFr
     return salted_join(ordered, levels, ["news_id"], hot, ["tweet_id"])
 
 
-def pattern_level1(patterned: DataFrame) -> DataFrame:
-    """A chain over the first tweets, as long as the pattern's level 1 allows."""
+def _level1() -> Rule:
     one, _ = _pattern_sizes()
-    linked = patterned.where((F.col("pos") < one) & (F.col("pos") < F.col("cascade_size") - 1))
-    return _edges(linked, F.col("pos") + 1, F.col("pos") + 2, "level1")
+    linked = (F.col("pos") < one) & (F.col("pos") < F.col("cascade_size") - 1)
+    return Rule("level1", linked, F.col("pos") + 1, F.col("pos") + 2)
 
 
-def pattern_level2(patterned: DataFrame) -> DataFrame:
-    """Branches from the first tweets to those after the chain. The i-th branch is made from the i-th tweet's row."""
+def _level2() -> Rule:
     one, two = _pattern_sizes()
     n = F.col("cascade_size")
     src = F.least(F.col("pos"), F.floor(n / 2))
     dst = F.least(one + F.col("pos"), n - 1)
-    return _edges(patterned.where((F.col("pos") < two) & (src < dst)), src + 1, dst + 1, "level2")
+    return Rule("level2", (F.col("pos") < two) & (src < dst), src + 1, dst + 1)
+
+
+def _drawn(kind: str, when: Column, src: Column, dst: Column, share: float, seed: str) -> Rule:
+    return Rule(kind, when & (coin("news_id", F.lit(kind), src, dst, seed=seed) < share), src, dst)
+
+
+def _star(seed: str) -> Rule:
+    return _drawn("star", F.col("pos") >= 2, F.col("popular_pos") + 1, F.col("node_idx"), STAR_SHARE, seed)
+
+
+def _chain(seed: str) -> Rule:
+    early = (F.col("pos") >= 1) & (F.col("pos") < CHAIN_TWEETS)
+    return _drawn("chain", early, F.col("pos"), F.col("node_idx"), CHAIN_SHARE, seed)
+
+
+def pattern_level1(patterned: DataFrame) -> DataFrame:
+    """A chain over the first tweets, as long as the pattern's level 1 allows."""
+    return _apply(patterned, [_level1()])
+
+
+def pattern_level2(patterned: DataFrame) -> DataFrame:
+    """Branches from the first tweets to those after the chain. The i-th branch is made from the i-th tweet's row."""
+    return _apply(patterned, [_level2()])
 
 
 def running_popular(ordered: DataFrame, hot: HotKeys) -> DataFrame:
@@ -260,18 +311,12 @@ def running_popular(ordered: DataFrame, hot: HotKeys) -> DataFrame:
 
 def popular_star(ordered: DataFrame, hot: HotKeys, seed: str = "42") -> DataFrame:
     """Fake cascades: from the third tweet on, a drawn edge from the most popular earlier tweet."""
-    candidates = running_popular(ordered, hot).where(F.col("pos") >= 2).select(
-        "news_id", (F.col("popular_pos") + 1).alias("src_idx"), F.col("node_idx").alias("dst_idx")
-    )
-    return draw_edges(candidates, "star", F.lit(STAR_SHARE), seed)
+    return _apply(running_popular(ordered, hot), [_star(seed)])
 
 
 def sequential_chain(ordered: DataFrame, seed: str = "42") -> DataFrame:
     """Real cascades: drawn edges along the first eight tweets."""
-    candidates = ordered.where((F.col("pos") >= 1) & (F.col("pos") < CHAIN_TWEETS)).select(
-        "news_id", F.col("pos").alias("src_idx"), F.col("node_idx").alias("dst_idx")
-    )
-    return draw_edges(candidates, "chain", F.lit(CHAIN_SHARE), seed)
+    return _apply(ordered, [_chain(seed)])
 
 
 def realistic_edges(
@@ -287,17 +332,21 @@ def realistic_edges(
     if True not in have:
         return heuristic_edges(ordered, hot, seed)
     matched = pattern_match(graphs.select("news_id", "is_fake", "cascade_size"), patterns, seed)
-    patterned = with_pattern(ordered, matched, hot)
-    parts = [
-        pattern_level1(patterned),
-        pattern_level2(patterned),
-        popular_star(patterned.where("is_fake"), hot, seed),
-        sequential_chain(patterned.where(~F.col("is_fake")), seed),
+    patterned = running_popular(with_pattern(ordered, matched, hot), hot)
+    fake = F.col("is_fake")
+    star, chain = _star(seed), _chain(seed)
+    rules = [
+        _level1(),
+        _level2(),
+        star._replace(when=fake & star.when),
+        chain._replace(when=~fake & chain.when),
     ]
-    if False not in have:
-        real = graphs.where(~F.col("is_fake")).select("news_id")
-        parts.append(heuristic_edges(salted_join(ordered, real, ["news_id"], hot, ["tweet_id"]), hot, seed))
-    return union_all(parts)
+    found = _apply(patterned, rules)
+    if False in have:
+        return found
+    real = graphs.where(~F.col("is_fake")).select("news_id")
+    rest = salted_join(ordered, real, ["news_id"], hot, ["tweet_id"])
+    return found.unionByName(heuristic_edges(rest, hot, seed))
 
 
 def all_edges(

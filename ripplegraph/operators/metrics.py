@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplegraph.functions.scalars import ratio
-from ripplegraph.plans.ordering import running_sums, union_all
+from ripplegraph.plans.ordering import running_sums
 
 CLASSES = (0, 1)
 FAKE = 1
+SMALLEST = 1e-15
 REPORT_COLUMNS = ["model", "entry", "precision", "recall", "f1", "support"]
 
 
@@ -21,24 +22,31 @@ def _is(name: str, value: int) -> Column:
     return F.col(name) == value
 
 
+def _accuracy() -> Column:
+    return F.avg((F.col("pred") == F.col("label")).cast("double"))
+
+
+def _f1() -> Column:
+    hits = _n(_is("label", FAKE) & _is("pred", FAKE))
+    return ratio(2.0 * hits, _n(_is("pred", FAKE)) + _n(_is("label", FAKE)), 0.0)
+
+
+def _log_loss(floor: float) -> Column:
+    likelihood = F.when(_is("label", FAKE), F.col("p_fake")).otherwise(F.col("p_real"))
+    return F.avg(-F.log(F.greatest(likelihood, F.lit(floor))))
+
+
 def accuracy(predictions: DataFrame) -> DataFrame:
-    return predictions.groupBy("model").agg(
-        F.avg((F.col("pred") == F.col("label")).cast("double")).alias("accuracy")
-    )
+    return predictions.groupBy("model").agg(_accuracy().alias("accuracy"))
 
 
 def f1_binary(predictions: DataFrame) -> DataFrame:
     """Precision, recall and F1 of class 1; 0 where undefined."""
-    counted = predictions.groupBy("model").agg(
-        _n(_is("label", FAKE) & _is("pred", FAKE)).alias("tp"),
-        _n(_is("pred", FAKE)).alias("predicted"),
-        _n(_is("label", FAKE)).alias("actual"),
-    )
-    return counted.select(
-        "model",
-        ratio(F.col("tp"), F.col("predicted"), 0.0).alias("precision"),
-        ratio(F.col("tp"), F.col("actual"), 0.0).alias("recall"),
-        ratio(2.0 * F.col("tp"), F.col("predicted") + F.col("actual"), 0.0).alias("f1"),
+    hits = _n(_is("label", FAKE) & _is("pred", FAKE))
+    return predictions.groupBy("model").agg(
+        ratio(hits, _n(_is("pred", FAKE)), 0.0).alias("precision"),
+        ratio(hits, _n(_is("label", FAKE)), 0.0).alias("recall"),
+        _f1().alias("f1"),
     )
 
 
@@ -115,28 +123,19 @@ def classification_report(predictions: DataFrame) -> DataFrame:
     return wide.select("model", F.inline(F.array(*entries)))
 
 
-def log_loss(predictions: DataFrame, floor: float = 1e-15) -> DataFrame:
+def log_loss(predictions: DataFrame, floor: float = SMALLEST) -> DataFrame:
     """Mean negative log-likelihood of the true class; probabilities are kept off 0."""
-    likelihood = F.when(_is("label", FAKE), F.col("p_fake")).otherwise(F.col("p_real"))
-    return predictions.groupBy("model").agg(
-        F.avg(-F.log(F.greatest(likelihood, F.lit(floor)))).alias("log_loss")
-    )
+    return predictions.groupBy("model").agg(_log_loss(floor).alias("log_loss"))
 
 
 def metric_records(predictions: DataFrame, run: str) -> DataFrame:
     """Accuracy, F1, AUC and log loss as records ``run, model, metric, value``."""
-    parts = [
-        (accuracy(predictions), "accuracy"),
-        (f1_binary(predictions), "f1"),
-        (auc(predictions), "auc"),
-        (log_loss(predictions), "log_loss"),
-    ]
-    return union_all(
-        [
-            df.select(F.lit(run).alias("run"), "model", F.lit(name).alias("metric"), F.col(name).alias("value"))
-            for df, name in parts
-        ]
-    )
+    plain = {"accuracy": _accuracy(), "f1": _f1(), "log_loss": _log_loss(SMALLEST)}
+    together = predictions.groupBy("model").agg(*[c.alias(n) for n, c in plain.items()])
+    rows = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in plain])
+    curve = auc(predictions).select("model", F.lit("auc").alias("metric"), F.col("auc").alias("value"))
+    records = together.select("model", F.inline(rows)).unionByName(curve)
+    return records.select(F.lit(run).alias("run"), "model", "metric", "value")
 
 
 def relative_gain(metrics: DataFrame, base: str, other: str) -> DataFrame:

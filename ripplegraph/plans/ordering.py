@@ -70,18 +70,31 @@ def _chunked_sums(
 
 
 def position(
-    df: DataFrame, by: list[str], order: list[str], name: str = "pos", hot: HotKeys | None = None
+    df: DataFrame,
+    by: list[str],
+    order: list[str],
+    name: str = "pos",
+    hot: HotKeys | None = None,
+    size: str | None = None,
 ) -> DataFrame:
-    """0-based rank of each row by ``order`` within ``by``."""
+    """0-based rank of each row by ``order`` within ``by``, and on demand the group's ``size``.
+
+    Both come from one partitioning and one sort; sizes of hot groups are known from finding them.
+    """
     grouped, keys = _one_group(df, by)
     if hot is None:
         hot = hot_keys(grouped, keys)
-    rank = (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("long")
+    ordered = Window.partitionBy(*keys).orderBy(*order)
+    added = {name: (F.row_number().over(ordered) - 1).cast("long")}
+    if size:
+        whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        added[size] = F.count(F.lit(1)).over(whole)
     if hot.empty:
-        return grouped.withColumn(name, rank).drop("_all")
+        return grouped.withColumns(added).drop("_all")
     cold, large = split_hot(grouped, hot)
-    counted = _chunked_sums(large.drop("hot_rows"), keys, order, {name: F.lit(1).cast("long")}, hot)
-    return cold.withColumn(name, rank).unionByName(counted).drop("_all")
+    large = large.withColumnRenamed("hot_rows", size) if size else large.drop("hot_rows")
+    counted = _chunked_sums(large, keys, order, {name: F.lit(1).cast("long")}, hot)
+    return cold.withColumns(added).unionByName(counted).drop("_all")
 
 
 def lookback(
