@@ -87,6 +87,14 @@ def graph_table(tweets: DataFrame, min_tweets: int = MIN_TWEETS) -> DataFrame:
     )
 
 
+def graphs_of(ordered: DataFrame) -> DataFrame:
+    """The graph table from tweets that are in order already: each cascade's first row has all of it."""
+    size = F.col("cascade_size")
+    return ordered.where(F.col("pos") == 0).select(
+        "news_id", "label", "cascade_size", (size + 1).alias("num_nodes"), (F.col("label") == 1).alias("is_fake")
+    )
+
+
 def node_table(ordered: DataFrame, graphs: DataFrame) -> DataFrame:
     """Nodes of every graph: the news node 0 (type 0) and the tweets 1..n (type 1)."""
     news = graphs.select(

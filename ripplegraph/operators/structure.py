@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ripplegraph.functions.scalars import hours_between
 from ripplegraph.plans.ordering import union_all
-from ripplegraph.plans.skew import HotKeys, hot_key_sets, hot_keys, salted_join
+from ripplegraph.plans.skew import HotKeys, hot_key_sets, hot_keys, is_unique, salted_join
 from ripplegraph.session import materialise
 
 REPOST_MARK = "RT @"
@@ -75,9 +75,11 @@ def node_depth(tweets: DataFrame, links: DataFrame, max_depth: int | None = None
     """
     key = ["news_id", "tweet_id"]
     nodes = tweets.select(*key)
-    stored = materialise(links.select("news_id", "source", "target").distinct(), "links")
+    stored = links.select("news_id", "source", "target")
+    forest = is_unique(stored, ["news_id", "target"])
+    if not forest:
+        stored = materialise(stored.distinct(), "links")
     hot = hot_keys(stored, ["news_id", "source"])
-    forest = hot_keys(stored, ["news_id", "target"], 1).empty
     targets = stored.select("news_id", F.col("target").alias("tweet_id"))
     level = materialise(nodes.join(targets, key, "left_anti").withColumn("depth", F.lit(0)), "level")
     levels, depth = [level], 0

@@ -43,7 +43,7 @@ def build_graphs(
     if not overwrite and writers.graphs_stored(spark, path):
         return writers.read_graphs(spark, path)
     ordered, hot = stored_order(tweets)
-    graphs = cascades.graph_table(ordered)
+    graphs = cascades.graphs_of(ordered)
     parts = [edges.news_edges(ordered), edges.cascade_edges(ordered, links)]
     if drawn:
         parts.append(edges.realistic_edges(ordered, graphs, patterns, hot, seed))

@@ -95,7 +95,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                nullif(count(*) FILTER (event_id % 64 = 0), 0) AS level_0,
                nullif(count(*) FILTER (event_id % 16 = 0 AND event_id % 64 <> 0), 0) AS level_1,
                nullif(count(*) FILTER (event_id % 4 = 0 AND event_id % 16 <> 0), 0) AS level_2
-        FROM events WHERE hour(ts) % 2 = 0 GROUP BY 1"""),
+        FROM events GROUP BY 1"""),
     "offered": (("graphs", "patterns"), """
         SELECT g.news_id, g.is_fake, g.cascade_size, p.pattern_id, p.num_nodes, p.level_0, p.level_1, p.level_2,
                abs(p.num_nodes - g.cascade_size) <= greatest(5, g.cascade_size * 0.3) AS alike
@@ -377,7 +377,7 @@ oracle("text_lookup", "ordered graphs", """SELECT news_id, 0 AS node_idx, NULL::
 _TWEET_F = ["likes", "retweets", "is_root", "followers", "verified", "credibility", "bot_score", "emotional"]
 oracle("feature_concat", "tweet_f tweets", "SELECT f.tweet_id, "
     + ", ".join([r(f"f.{n}", f"x{i}") for i, n in enumerate(_TWEET_F)] + [r(f"v.embedding[{i + 1}]", f"x{8 + i}") for i in range(64)])
-    + " FROM tweet_f f JOIN tweets t USING (tweet_id) JOIN embeddings v ON v.vec_id = t.event_id % 500")
+    + " FROM tweet_f f JOIN tweets t USING (tweet_id) JOIN embeddings v ON v.vec_id = t.event_id % (SELECT count(*) FROM embeddings)")
 
 # --- features ---------------------------------------------------------------------------------
 

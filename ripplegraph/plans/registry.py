@@ -217,7 +217,7 @@ def cascade_label(spark, sf_dir):
 @query
 def node_table(spark, sf_dir):
     ordered, _ = _ordered(spark, sf_dir)
-    return cascades.node_table(ordered, cascades.graph_table(adapters.tweets(spark, sf_dir)))
+    return cascades.node_table(ordered, cascades.graphs_of(ordered))
 
 
 @query
@@ -308,9 +308,8 @@ def sequential_chain(spark, sf_dir):
 
 
 def _all_edges(spark, sf_dir, patterns: DataFrame | None) -> DataFrame:
-    ordered, hot = _ordered(spark, sf_dir)
-    graphs = cascades.graph_table(adapters.tweets(spark, sf_dir))
-    return edges.all_edges(ordered, adapters.edges(spark, sf_dir), graphs, hot, patterns)
+    ordered, hot = build.stored_order(adapters.tweets(spark, sf_dir))
+    return edges.all_edges(ordered, adapters.edges(spark, sf_dir), cascades.graphs_of(ordered), hot, patterns)
 
 
 @query
@@ -337,12 +336,13 @@ def user_interaction(spark, sf_dir):
 
 @query
 def text_lookup(spark, sf_dir):
-    """Texts for every node; tweets with an event id divisible by 17 are missing from the text table."""
+    """Texts for every node; in the text table some tweets go by another id."""
     tweets = adapters.tweets(spark, sf_dir)
     ordered, _ = _ordered(spark, sf_dir)
-    nodes = cascades.node_table(ordered, cascades.graph_table(tweets))
-    known = tweets.where(F.substring_index("tweet_id", "_t", -1).cast("long") % 17 != 0)
-    return text.text_lookup(nodes, known)
+    nodes = cascades.node_table(ordered, cascades.graphs_of(ordered))
+    renamed = F.substring_index("tweet_id", "_t", -1).cast("long") % 17 == 0
+    other = F.when(renamed, F.concat(F.lit("lost_"), "tweet_id")).otherwise(F.col("tweet_id"))
+    return text.text_lookup(nodes, tweets.withColumn("tweet_id", other))
 
 
 @query

@@ -109,6 +109,11 @@ def salted_join(
     return salted.join(copied, [*on, "_salt"], how).drop("_salt")
 
 
+def is_unique(df: DataFrame, keys: list[str]) -> bool:
+    """Whether no key occurs twice."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").isEmpty()
+
+
 def is_small(df: DataFrame) -> bool:
     """Whether a table may be broadcast, by a bounded count."""
     return df.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS

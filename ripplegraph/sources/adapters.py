@@ -110,7 +110,7 @@ def edges_noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Level sizes of the cascades of even hours, by the coarseness of their event ids."""
+    """Level sizes of every cascade, by the coarseness of its event ids."""
     e = F.col("event_id")
     level = F.when(e % 64 == 0, 0).when(e % 16 == 0, 1).when(e % 4 == 0, 2).otherwise(3)
 
@@ -119,7 +119,6 @@ def patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return (
         table(spark, sf_dir, "events")
-        .where(F.hour("ts") % 2 == 0)
         .select(_news_id().alias("pattern_id"), (F.dayofmonth("ts") % 2 == 1).alias("is_fake"), level.alias("level"))
         .groupBy("pattern_id", "is_fake")
         .agg(F.count(F.lit(1)).alias("num_nodes"), size(0), size(1), size(2))
@@ -242,11 +241,13 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A vector per tweet, from the embeddings table."""
+    """A vector per tweet: the embeddings are dealt out in turn."""
+    embeddings = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    dealt = F.col("event_id") % embeddings.agg(F.count(F.lit(1))).scalar()
     events = table(spark, sf_dir, "events").select(
-        _news_id().alias("news_id"), _tweet_id().alias("tweet_id"), (F.col("event_id") % 500).alias("vec_id")
+        _news_id().alias("news_id"), _tweet_id().alias("tweet_id"), dealt.alias("vec_id")
     )
-    return events.join(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id").drop("vec_id")
+    return events.join(embeddings, "vec_id").drop("vec_id")
 
 
 def big_cascades(spark: SparkSession, sf_dir: str) -> DataFrame:

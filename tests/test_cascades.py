@@ -125,7 +125,9 @@ def test_draws_match_their_probabilities(spark):
 
 def test_small_cascades_are_dropped(spark):
     tweets = tweets_of(spark, [("a_t0", "u1", "a", 0, 0), ("b_t0", "u1", "b", 1, 0), ("b_t1", "u2", "b", 1, 0)])
-    assert [r.news_id for r in cascades.graph_table(tweets).collect()] == ["b"]
+    graphs = cascades.graph_table(tweets)
+    assert [r.news_id for r in graphs.collect()] == ["b"]
+    assert cascades.graphs_of(cascades.propagation_order(tweets)).collect() == graphs.collect()
     assert {r.news_id for r in cascades.propagation_order(tweets).collect()} == {"b"}
     assert cascades.min_users_filter(tweets).count() == 0 and cascades.user_index(tweets).count() == 0
     # Equal times: no duration, and a speed equal to the count.
