@@ -294,7 +294,7 @@ oracle("read_tweets", "tweets", f"""SELECT tweet_id, user_id, text, epoch_us(tim
     .replace(", round(CAST(user_bot_score AS DOUBLE), 6) + 0.0 AS user_bot_score", ""))
 oracle("read_edges", "edges", "SELECT source, target, epoch_us(timestamp) AS ts_us FROM edges")
 oracle("read_patterns", "patterns", "SELECT is_fake, num_nodes, level_0, level_1, level_2 FROM patterns")
-oracle("align_schema_cascade", "tweets", f"""SELECT tweet_id, {rs('user_followers')}, false AS user_verified,
+oracle("align_schema", "tweets", f"""SELECT tweet_id, {rs('user_followers')}, false AS user_verified,
     {rs('user_credibility')}, {r("CASE WHEN retweets % 2 = 0 THEN user_bot_score ELSE 0.1 END", 'user_bot_score')}, user_type FROM tweets""")
 oracle("align_schema_user", "tweets", f"""SELECT tweet_id, {r('user_followers', 'followers')}, 0.0::DOUBLE AS "following",
     user_verified AS verified, {r("CASE WHEN user_no % 3 <> 0 THEN user_credibility ELSE 0.5 END", 'credibility')},

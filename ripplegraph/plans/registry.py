@@ -34,12 +34,14 @@ def _plain(df: DataFrame) -> DataFrame:
     return df.select(*[shown(f) for f in df.schema.fields])
 
 
-def query(run: Query) -> Query:
+def query(run: Query, name: str | None = None) -> Query:
+    """Register a query under its function's name, or another."""
+
     @wraps(run)
     def rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _plain(run(spark, sf_dir))
 
-    QUERIES[run.__name__] = rounded
+    QUERIES[name or run.__name__] = rounded
     return run
 
 
@@ -104,8 +106,7 @@ def read_patterns(spark, sf_dir):
     return readers.read_patterns(spark, path, lines=True).drop("pattern_id")
 
 
-@query
-def align_schema_cascade(spark, sf_dir):
+def _aligned(spark, sf_dir):
     """Tweets without verified flags and with unknown scores, filled with the cascade defaults."""
     bare = adapters.tweets(spark, sf_dir).drop("user_verified").withColumn(
         "user_bot_score", F.when(F.col("retweets") % 2 == 0, F.col("user_bot_score"))
@@ -115,6 +116,9 @@ def align_schema_cascade(spark, sf_dir):
     )
 
 
+query(_aligned, "align_schema")
+
+
 @query
 def align_schema_user(spark, sf_dir):
     bare = adapters.user_tweets(spark, sf_dir).drop("following")
@@ -746,11 +750,7 @@ def graph_feature_importance(spark, sf_dir):
 
 
 def _on_predictions(name: str, run: Callable[[DataFrame], DataFrame], with_features: bool = False) -> None:
-    def evaluate(spark, sf_dir):
-        return run(adapters.predictions(spark, sf_dir, with_features))
-
-    evaluate.__name__ = name
-    query(evaluate)
+    query(lambda spark, sf_dir: run(adapters.predictions(spark, sf_dir, with_features)), name)
 
 
 _FEATURES = adapters.SCORED_FEATURES
