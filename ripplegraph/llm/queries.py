@@ -2,12 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplegraph.llm import jaccard, suffixes
+from ripplegraph.llm import decontam, jaccard, langid, packing, quality, rules, shards, suffixes, urls, warc
 from ripplegraph.llm.common import read
 
+RULES = [
+    ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"), ("block", "net", "/fr/"),
+]
+
+
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def _fold(folds: int) -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds, F.lit(0))
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archived_pages(spark, read(spark, sf_dir, "pages"))
+    return records.select(
+        F.col("id").cast("long").alias("page_id"), F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
+        "record_type", F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.tokenized(read(spark, sf_dir, "documents"), vocabulary())
+    crc = F.crc32("ids").alias("ids_crc32")
+    return packing.packed_with(pieces.select("doc_id", "piece", "start", "length", crc))
+
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = suffixes.without_repeats(read(spark, sf_dir, "documents"))
@@ -16,9 +45,85 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held = _fold(3) == 1
+    found = langid.predict(docs, langid.fit(docs.where(~held)))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.drop("hits", "text_hash")
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rules.judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_suffix_dedup, op7_jaccard_join)}
-ORACLE: dict[str, str] = {}
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(read(spark, sf_dir, "pages"), RULES)
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = _fold(4) == 2
+    found = quality.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").where(~held))
+    return found.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = shards.placed(read(spark, sf_dir, "documents"))
+    return found.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_warc, op2_best_fit_packing, op3_suffix_dedup, op4_language_id, op5_decontamination, op6_quality_rules, op7_jaccard_join,
+        op8_url_filters, op9_quality_classifier, op10_sharding,
+    )
+}
+_DUCK_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+_DUCK_FITS = "((host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '{1}'))"
+
+ORACLE: dict[str, str] = {
+    "op5_decontamination": f"""
+        WITH d AS (SELECT doc_id, {_DUCK_WORDS} AS ws FROM documents),
+        b AS (SELECT item_id, {_DUCK_WORDS} AS ws FROM benchmark),
+        starts AS (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS p FROM b WHERE len(ws) > 0),
+        win AS (SELECT DISTINCT item_id, list_slice(ws, p, p + 9) AS win FROM starts),
+        single AS (SELECT DISTINCT win, len(win) AS n FROM win),
+        every_word AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS p FROM d),
+        hits AS (SELECT doc_id, p, single.n, single.win
+                 FROM every_word, (SELECT DISTINCT n FROM single) AS sizes, single
+                 WHERE single.n = sizes.n AND list_slice(ws, p, p + sizes.n - 1) = single.win),
+        words AS (SELECT doc_id, count(DISTINCT w) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS w FROM hits) GROUP BY doc_id),
+        met AS (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits JOIN win USING (win)),
+        items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM met GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+    """,
+    # the pages of the test tables have neither canonical links nor refreshes, so no aliases
+    "op8_url_filters": f"""
+        WITH parts AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
+                              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                              regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+        ruled AS (SELECT *, CASE WHEN {_DUCK_FITS.format('www.example.com', '/en/')} THEN 'www.example.com/en/'
+                                 WHEN {_DUCK_FITS.format('example.com', '/en/')} THEN 'example.com/en/'
+                                 WHEN {_DUCK_FITS.format('net', '/es/')} THEN 'net/es/'
+                                 WHEN {_DUCK_FITS.format('net', '/fr/')} THEN 'net/fr/'
+                                 WHEN {_DUCK_FITS.format('com', '/')} THEN 'com/' END AS rule FROM parts)
+        SELECT page_id, host, path, rule,
+               CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' ELSE 'allow' END AS verdict
+        FROM ruled
+    """,
+}

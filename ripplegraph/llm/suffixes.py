@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ripplegraph.llm import common
 
@@ -134,9 +136,9 @@ class _Pieces:
 
     def __init__(self, table: pa.Table, length: int):
         seed, width = length // 2, length - length // 2 + 1
-        self.table = common.ordered(table.select(["block", "doc_id", "text"]))
-        self.texts, self.length = common.as_bytes(self.table["text"]), length
-        self.ids = self.table["doc_id"].to_pylist()
+        table = common.ordered(table)
+        self.texts, self.length = common.as_bytes(table["text"]), length
+        self.ids = table["doc_id"].to_pylist()
         # 0xFF ends a text: it doesn't occur in UTF-8
         self.buf = np.frombuffer(b"".join(t + b"\xff" for t in self.texts), np.uint8)
         sizes = np.fromiter(map(len, self.texts), np.int64, len(self.texts))
@@ -380,48 +382,57 @@ def _answers(length: int):
     return answer
 
 
-def _cleaned(length: int, buckets: int):
+def _cleaned(length: int, buckets: int, extra: int, as_text: bool):
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    kinds = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", span)]
+    kinds.append(("kept", pa.string() if as_text else pa.binary()))
+
     def clean(docs: pa.Table, replies: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return common.arrow_table([], kinds + [(f"x{k}", pa.null()) for k in range(extra)])
+        docs = common.ordered(docs)
+        pieces = _Pieces(docs, length)
+        known = replies.filter(pc.is_valid(replies["classes"]))
+        different, some, number = pieces.repeated(known, buckets)
+        bounds, bits = common.bucket_bounds(pieces.key[different], buckets), np.zeros(len(different), np.uint64)
+        for b, data in zip(replies["bucket"].to_pylist(), replies["bits"].to_pylist()):
+            if data is not None:
+                bits[bounds[b] : bounds[b + 1]] = np.frombuffer(data, np.uint64)
+        # a piece in a greater document than the smallest of the block repeats as a whole
+        ids = np.array([0 if d is None else d for d in pieces.ids], np.int64)[pieces.doc]
+        smallest = ids[some] == ids[different][number]
+        n = pieces.windows[some]
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        gone = (np.repeat(bits[number], n) >> inside.astype(np.uint64)) & np.uint64(1) > 0
+        gone |= np.repeat(~smallest, n)
+        at = (np.repeat(pieces.place[some], n) + inside)[gone]
+        count = np.bincount(at, minlength=len(pieces.buf) + length + 1).astype(np.int32)
+        count[length:] -= np.bincount(at, minlength=len(pieces.buf) + 1)[: len(count) - length].astype(np.int32)
+        cut = np.cumsum(count[: len(pieces.buf)]) > 0
         rows = []
-        if docs.num_rows:
-            pieces = _Pieces(docs, length)
-            known = replies.filter(pa.compute.is_valid(replies["classes"]))
-            different, some, number = pieces.repeated(known, buckets)
-            bounds, bits = common.bucket_bounds(pieces.key[different], buckets), np.zeros(len(different), np.uint64)
-            for b, data in zip(replies["bucket"].to_pylist(), replies["bits"].to_pylist()):
-                if data is not None:
-                    bits[bounds[b] : bounds[b + 1]] = np.frombuffer(data, np.uint64)
-            # a piece in a greater document than the smallest of the block repeats as a whole
-            ids = np.array([0 if d is None else d for d in pieces.ids], np.int64)[pieces.doc]
-            smallest = ids[some] == ids[different][number]
-            n = pieces.windows[some]
-            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            gone = (np.repeat(bits[number], n) >> inside.astype(np.uint64)) & np.uint64(1) > 0
-            gone |= np.repeat(~smallest, n)
-            at = (np.repeat(pieces.place[some], n) + inside)[gone]
-            steps = np.zeros(len(pieces.buf) + length + 1, np.int32)
-            np.add.at(steps, at, 1)
-            np.add.at(steps, at + length, -1)
-            cut = np.cumsum(steps[: len(pieces.buf)]) > 0
-            for doc_id, text, start in zip(pieces.ids, pieces.texts, pieces.starts):
-                own = cut[start : start + len(text)]
+        for doc_id, text, start in zip(pieces.ids, pieces.texts, pieces.starts):
+            own = cut[start : start + len(text)]
+            kept, spans = text, []
+            if own.any():
                 edges = np.flatnonzero(np.diff(np.concatenate(([0], own.view(np.int8), [0]))))
                 spans = [{"start": int(a), "end": int(b)} for a, b in zip(edges[::2], edges[1::2])]
-                kept = np.frombuffer(text, np.uint8)[~own].tobytes() if spans else text
-                rows.append((doc_id, len(text), int(own.sum()), spans, kept))
-        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        kinds = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", span), ("kept", pa.binary())]
-        return common.arrow_table(rows, kinds)
+                kept = np.frombuffer(text, np.uint8)[~own].tobytes()
+            rows.append((doc_id, len(text), int(own.sum()), spans, kept.decode("utf-8", "ignore") if as_text else kept))
+        out = common.arrow_table(rows, kinds)
+        for k in range(extra):
+            out = out.append_column(f"x{k}", docs[f"x{k}"])
+        return out
 
     return clean
 
 
-def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """Documents without the bytes of ``length``-byte strings that also start in a document with a smaller doc_id.
 
-    ``docs`` has doc_id and text; other columns are ignored. Returns doc_id, n_bytes, n_removed, spans (the removed runs,
-    as byte offsets) and kept (the remaining bytes). Strings are judged on the texts as given and never cross
-    documents; overlapping strings all count. A null text is empty; texts shorter than ``length`` stay whole; repeats
+    ``docs`` has doc_id and text. Returns doc_id, n_bytes, n_removed, spans (the removed runs, as byte offsets), kept (the
+    remaining bytes; ``as_text``: as a string, without characters that lost some of their bytes) and the columns
+    named in ``keep``; other columns are ignored. Strings are judged on the texts as given and never cross documents;
+    overlapping strings all count. A null text is empty; texts shorter than ``length`` stay whole; repeats
     within one document, or between rows with the same doc_id, stay; rows without a doc_id stay whole and make no
     other text shorter; an empty table gives no rows.
     """
@@ -430,12 +441,18 @@ def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     common.prepare(docs.sparkSession)
     total = common.text_bytes(docs)
     blocks, buckets = common.parts_for(total, BLOCK_BYTES, 4), common.parts_for(total, BUCKET_BYTES, 4)
-    dealt = common.in_blocks(docs, blocks)
+    slim = docs.select("doc_id", "text", *[F.col(c).alias(f"x{k}") for k, c in enumerate(keep)])
+    dealt = common.in_blocks(slim, blocks, *slim.columns[2:])
     hashes = dealt.groupBy("block").applyInArrow(_offer_hashes(length, buckets), common.OFFERS)
     shared = hashes.groupBy("bucket").applyInArrow(common.count_classes, common.REPLIES)
     pieces = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_offer_pieces(length, buckets), _PIECES)
     bits = pieces.groupBy("bucket").applyInArrow(_answers(length), "bucket int, block int, bits binary")
     none = F.lit(None).cast("binary")
     told = shared.withColumn("bits", none).unionByName(bits.select("bucket", "block", none.alias("classes"), "bits"))
-    schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary"
-    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_cleaned(length, buckets), schema)
+    schema = StructType.fromDDL(
+        f"doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept {'string' if as_text else 'binary'}"
+    )
+    for field in slim.schema[2:]:
+        schema = schema.add(field.name, field.dataType)
+    found = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_cleaned(length, buckets, len(keep), as_text), schema)
+    return found.withColumnsRenamed({f"x{k}": c for k, c in enumerate(keep)})
