@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
+from collections.abc import Iterator
 from functools import cache
-from math import ceil
+from math import ceil, sqrt
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -248,3 +250,25 @@ def count_classes(table: pa.Table) -> pa.Table:
     cuts = np.cumsum(sizes)[:-1]
     rows = [(k, b, c.tobytes()) for k, b, c in zip([table["bucket"][0].as_py()] * len(blocks), blocks, np.split(out, cuts))]
     return arrow_table(rows, [("bucket", pa.int32()), ("block", pa.int32()), ("classes", pa.binary())])
+
+
+def partition_sums(rows: DataFrame, make) -> np.ndarray | None:
+    """The sum over all rows of what ``make`` gives for a batch (a fixed-size array), added within partitions first."""
+    groups = max(1, ceil(sqrt(rows.rdd.getNumPartitions())))
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                part = make(batch)
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"grp": pa.array([TaskContext.get().partitionId() % groups], pa.int32()), "data": [total.tobytes()]})
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x) for x in table["data"].to_pylist())
+        return pa.table({"data": [total.tobytes()]})
+
+    added = rows.mapInArrow(local, "grp int, data binary").groupBy("grp").applyInArrow(add, "data binary")
+    found = [np.frombuffer(r["data"]) for r in added.toLocalIterator()]
+    return sum(found) if found else None

@@ -81,7 +81,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
     met_items = hits.select(*key, "win").distinct().join(hint(pairs, few and is_small(pairs)), "win").select(*key, "item_id").distinct()
     names = F.sort_array(F.collect_list(F.col("item_id").cast("string")))
     items = met_items.groupBy(*key).agg(F.count("item_id").alias("n_items"), F.concat_ws(",", names).alias("names"))
-    found = places.join(items, key).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "n_hit", "hits", "n_items", "names")
+    named = items.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "n_items", "names")
+    met_rows = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))
+    found = places.join(named, met_rows).select("d", "h", "n_hit", "hits", "n_items", "names")
     every = docs.select(*row, F.size(words_of("text")).cast("long").alias("n_words"))
     joined = every.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
     return joined.select(

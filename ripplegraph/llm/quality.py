@@ -9,11 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,28 +63,6 @@ def pooled(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.repeat([b[0] for b in blocks], [int(b[2]) for b in blocks])
 
 
-def _partition_sums(rows: DataFrame, make) -> np.ndarray | None:
-    """The sum over all rows of what ``make`` gives for a batch (a fixed-size array), added within partitions first."""
-    groups = max(1, ceil(sqrt(rows.rdd.getNumPartitions())))
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            if batch.num_rows:
-                part = make(batch)
-                total = part if total is None else total + part
-        if total is not None:
-            yield pa.RecordBatch.from_pydict({"grp": pa.array([TaskContext.get().partitionId() % groups], pa.int32()), "data": [total.tobytes()]})
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x) for x in table["data"].to_pylist())
-        return pa.table({"data": [total.tobytes()]})
-
-    added = rows.mapInArrow(local, "grp int, data binary").groupBy("grp").applyInArrow(add, "data binary")
-    found = [np.frombuffer(r["data"]) for r in added.toLocalIterator()]
-    return sum(found) if found else None
-
-
 def fit(labelled: DataFrame, seed: int = 5) -> QualityModel | None:
     """A model from all rows of ``labelled``: the statistics and ``quality`` (0 or 1). None without rows."""
     d = 9
@@ -95,7 +71,7 @@ def fit(labelled: DataFrame, seed: int = 5) -> QualityModel | None:
         x = inputs(_counts(batch))
         return np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)])
 
-    found = _partition_sums(labelled, moments)
+    found = common.partition_sums(labelled, moments)
     if found is None:
         return None
     n, mean = found[0], found[1 : 1 + d] / found[0]
@@ -111,7 +87,7 @@ def fit(labelled: DataFrame, seed: int = 5) -> QualityModel | None:
         z, y = lifted(inputs(_counts(batch)), plain), batch["quality"].to_numpy(zero_copy_only=False).astype(float)
         return np.concatenate([(z.T @ z).ravel(), z.T @ y])
 
-    sums = _partition_sums(labelled, normal)
+    sums = common.partition_sums(labelled, normal)
     gram, right = sums[: size * size].reshape(size, size), sums[size * size :]
     weights = np.linalg.solve(gram + RIDGE * n * np.eye(size) / size, right)
     solved = QualityModel(plain.mean, plain.spread, plain.waves, plain.shifts, weights, none, none)
@@ -121,7 +97,7 @@ def fit(labelled: DataFrame, seed: int = 5) -> QualityModel | None:
         y = batch["quality"].to_numpy(zero_copy_only=False).astype(float)
         return np.concatenate([np.bincount(at, minlength=BINS), np.bincount(at, y, minlength=BINS)])
 
-    seen = _partition_sums(labelled, classes)
+    seen = common.partition_sums(labelled, classes)
     count, good = seen[:BINS], seen[BINS:]
     filled = np.flatnonzero(count)
     levels = pooled(good[filled] / count[filled], count[filled])

@@ -101,10 +101,10 @@ ORACLE: dict[str, str] = {
         starts AS (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS p FROM b WHERE len(ws) > 0),
         win AS (SELECT DISTINCT item_id, list_slice(ws, p, p + 9) AS win FROM starts),
         single AS (SELECT DISTINCT win, len(win) AS n FROM win),
-        every_word AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS p FROM d),
-        hits AS (SELECT doc_id, p, single.n, single.win
-                 FROM every_word, (SELECT DISTINCT n FROM single) AS sizes, single
-                 WHERE single.n = sizes.n AND list_slice(ws, p, p + sizes.n - 1) = single.win),
+        place AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM d),
+        next AS (SELECT doc_id, p, list(w) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS ten FROM place),
+        cut AS (SELECT doc_id, p, n, list_slice(ten, 1, n) AS win FROM next, (SELECT DISTINCT n FROM single)),
+        hits AS (SELECT doc_id, p, single.n, win FROM cut JOIN single USING (win)),
         words AS (SELECT doc_id, count(DISTINCT w) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS w FROM hits) GROUP BY doc_id),
         met AS (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits JOIN win USING (win)),
         items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM met GROUP BY doc_id)

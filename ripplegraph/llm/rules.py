@@ -1,6 +1,7 @@
 """Quality rules: fixed limits on word statistics, and an isolation forest for documents that are odd in a combination.
 
-Trees split a bounded sample of the statistics at random places. A document that ends after few splits is an anomaly. The
+Trees split a bounded sample of the statistics at random places, more often by the statistics in which labelled good and bad
+rows differ. A document that ends after few splits is an anomaly. The
 limit is calibrated on labelled rows: it lies where at most ``loss`` of the good documents would be rejected and
 rejected labelled documents are mostly bad ones.
 """
@@ -53,9 +54,13 @@ def _mean_path(n: float) -> float:
     return 0.0 if n < 2 else 1.0 if n == 2 else 2.0 * (np.log(n - 1) + np.euler_gamma) - 2.0 * (n - 1) / n
 
 
-def grow(rows: np.ndarray, trees: int = TREES, each: int = LEAF_SAMPLE, seed: int = 7) -> Forest:
-    """An isolation forest on ``rows``. The same rows in the same order give the same forest."""
+def grow(rows: np.ndarray, weights: np.ndarray | None = None, trees: int = TREES, each: int = LEAF_SAMPLE, seed: int = 7) -> Forest:
+    """An isolation forest on ``rows``, of which the columns are split as often as ``weights`` say.
+
+    The same rows in the same order give the same forest.
+    """
     rng = np.random.default_rng(seed)
+    weights = np.ones(rows.shape[1]) if weights is None else weights
     each = min(each, len(rows))
     limit = int(np.ceil(np.log2(max(each, 2))))
     nodes: list[list[tuple]] = []
@@ -68,7 +73,7 @@ def grow(rows: np.ndarray, trees: int = TREES, each: int = LEAF_SAMPLE, seed: in
             low, high = (part.min(axis=0), part.max(axis=0)) if len(part) else (np.zeros(1), np.zeros(1))
             wide = np.flatnonzero(high > low)
             if depth < limit and len(part) > 1 and len(wide):
-                f = int(rng.choice(wide))
+                f = int(rng.choice(wide, p=weights[wide] / weights[wide].sum()))
                 value = rng.uniform(low[f], high[f])
                 below = part[:, f] <= value
                 own[at] = (f, value, build(part[below], depth + 1), build(part[~below], depth + 1), 0.0)
@@ -98,6 +103,20 @@ def anomaly(forest: Forest, rows: np.ndarray) -> np.ndarray:
     return 2.0 ** (-total / len(forest.feature) / forest.norm)
 
 
+def separation(sums: np.ndarray) -> np.ndarray:
+    """How far the two qualities lie apart in each column: squared distance of the means over the variance.
+
+    ``sums`` has a row for each quality: number, sums and sums of squares. Equal weights where a quality is absent.
+    """
+    columns = (sums.shape[1] - 1) // 2
+    if (sums[:, 0] == 0).any():
+        return np.ones(columns)
+    mean = sums[:, 1 : 1 + columns] / sums[:, :1]
+    spread = sums[:, 1 + columns :] / sums[:, :1] - mean**2
+    found = (mean[0] - mean[1]) ** 2 / np.maximum(spread.mean(axis=0), 1e-12)
+    return found / max(found.sum(), 1e-12) + 1e-3
+
+
 def calibrated(labelled: DataFrame, loss: float = LOSS) -> int:
     """The smallest class of ``anomaly`` from which rejecting loses at most the share ``loss`` of rows with quality 1.
 
@@ -153,8 +172,17 @@ def fit(counted: DataFrame, labels: DataFrame, loss: float = LOSS) -> Rules:
     sample = passed.orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id", *names).limit(SAMPLE).select(*names).toPandas()
     if sample.empty:
         return Rules(None, BINS + 1)
-    forest = grow(rates({n: sample[n].to_numpy() for n in names}))
     known = labels.where("quality in (0, 1)").select("doc_id", "quality")
+    labelled = materialise(passed.join(known, "doc_id").select("quality", *names), "labelled")
+
+    def moments(batch: pa.RecordBatch) -> np.ndarray:
+        x, quality = rates(_counts(batch)), batch["quality"].to_numpy(zero_copy_only=False)
+        parts = [x[quality == q] for q in (0, 1)]
+        return np.concatenate([np.concatenate([[len(p)], p.sum(axis=0), (p * p).sum(axis=0)]) for p in parts])
+
+    sums = common.partition_sums(labelled, moments)
+    weights = None if sums is None else separation(sums.reshape(2, -1))
+    forest = grow(rates({n: sample[n].to_numpy() for n in names}), weights)
     shared = counted.sparkSession.sparkContext.broadcast(forest)  # TREES times at most 2 * LEAF_SAMPLE nodes
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +190,6 @@ def fit(counted: DataFrame, labels: DataFrame, loss: float = LOSS) -> Rules:
             found = anomaly(shared.value, rates(_counts(batch)))
             yield pa.RecordBatch.from_arrays([pa.array(found), batch["quality"].cast(pa.int64())], ["anomaly", "quality"])
 
-    labelled = passed.join(known, "doc_id").select("quality", *names)
     return Rules(forest, calibrated(labelled.mapInArrow(score, "anomaly double, quality long"), loss))
 
 

@@ -179,7 +179,9 @@ class _Pieces:
         """The distinct hashes, and 2 for those in several documents, else 1."""
         order = np.argsort(self.key, kind="stable")
         key, doc = self.key[order], self.doc[order]
-        fresh = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        if not len(key):
+            return key, np.zeros(0, np.int64)
+        fresh = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         last = np.append(fresh[1:], len(key)) - 1
         return key[fresh], 1 + (doc[fresh] != doc[last])
 
