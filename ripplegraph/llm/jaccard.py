@@ -163,9 +163,8 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     )
     in_group = nodes.select("grp", "node", "tokens").groupBy("grp").applyInArrow(_labels_in_group(percent), "node binary, grp long, component binary")
     labels = materialise(in_group, "labels")
-    opened = materialise(_qualifying(nodes, percent), "opened")
     for every in (False, True):
-        links = materialise(_open_groups(nodes, opened, labels, percent, every), "links")
+        links = materialise(_open_groups(nodes, labels, percent, every), "links")
         higher = components(links).select(F.col("node").alias("component"), F.col("component").alias("top"))
         labels = labels.join(higher, "component", "left").select("node", "grp", F.coalesce("top", "component").alias("component"))
         labels = materialise(labels, "labels")
@@ -175,24 +174,34 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     return linked.unionByName(sets.where("sig is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def _qualifying(nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (node, group) that the token-group matrix lets through."""
-    matrix = nodes.select(F.explode("prefix").alias("token"), "grp", "n").groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    queries = nodes.select(F.explode("prefix").alias("token"), "node", "n", F.col("grp").alias("home"))
-    fits = (F.col("grp") != F.col("home")) & (F.col("high") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("low") * percent)
-    return queries.join(matrix, "token").where(fits).select("node", "grp").distinct()
+def _qualifying(nodes: DataFrame, labels: DataFrame, percent: int, every: bool) -> DataFrame:
+    """Who is to ask which group (grp, node, component): what the token-group matrix lets through.
 
-
-def _open_groups(nodes: DataFrame, opened: DataFrame, labels: DataFrame, percent: int, every: bool) -> DataFrame:
-    """Links found by opening groups: for one node per (component, group), or for ``every`` node left to compare."""
+    The matrix has a row per shingle and group, with the sizes of the members that have the shingle, and the smallest and
+    largest component in the group: a group that is all of one component isn't opened for that component. Asks are
+    for ``every`` node, or for one node of each component, in which case components meet the matrix as a whole.
+    """
     held = labels.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    asks = (
-        opened.join(labels.select("node", "component"), "node")
-        .join(held, "grp")
-        .where((F.col("lo") != F.col("component")) | (F.col("hi") != F.col("component")))
-    )
-    asks = asks.select("grp", "node", "component") if every else asks.groupBy("grp", "component").agg(F.min("node").alias("node"))
-    asks = materialise(asks.select("grp", "node", "component"), "asks")
+    told = labels.join(held, "grp").select("node", "component", "lo", "hi")
+    prefixes = nodes.select("node", "grp", "n", "prefix").join(told, "node").select("node", "grp", "n", "component", "lo", "hi", F.explode("prefix").alias("token"))
+    matrix = prefixes.groupBy("token", "grp", "lo", "hi").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    asks = ["node", "component", "home", "least", "most"]
+    if every:
+        queries = prefixes.select("token", "node", "component", F.col("grp").alias("home"), F.col("n").alias("least"), F.col("n").alias("most"))
+    else:
+        whole = [F.min("node").alias("node"), F.min("n").alias("least"), F.max("n").alias("most")]
+        queries = prefixes.groupBy("token", "component", F.col("grp").alias("home")).agg(*whole).select("token", *asks)
+    fits = (F.col("grp") != F.col("home")) & (F.col("high") * 100 >= F.col("least") * percent) & (F.col("most") * 100 >= F.col("low") * percent)
+    other = (F.col("lo") != F.col("component")) | (F.col("hi") != F.col("component"))
+    pairs = queries.join(matrix, "token").where(fits & other)
+    if every:
+        return pairs.select("grp", "node", "component").distinct()
+    return pairs.groupBy("grp", "component").agg(F.min("node").alias("node"))
+
+
+def _open_groups(nodes: DataFrame, labels: DataFrame, percent: int, every: bool) -> DataFrame:
+    """Links found by opening groups: for one node per (component, group), or for ``every`` node left to compare."""
+    asks = materialise(_qualifying(nodes, labels, percent, every).select("grp", "node", "component"), "asks")
     tokens = nodes.select("node", "tokens")
     # toDF gives the columns an identity of their own, apart from those of the members
     asked = asks.join(tokens, "node").select("grp", "component", "tokens").toDF("grp", "component", "tokens")
