@@ -7,8 +7,11 @@ rounds, again best-fit, with fewer tasks each round. A bin travels with its list
 
 from __future__ import annotations
 
+import base64
+from array import array
 from collections.abc import Iterator
 from math import ceil
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +27,23 @@ ROUND_ITEMS, FIRST_ITEMS = 50_000, 100_000
 CACHE = 300_000
 
 
+def _from_ranks(path: Path):
+    """An encoder of single words from a file of ranks."""
+    import public_tokenizers
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, path.open("rb"))}
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return lambda word: array("I", own.encode_ordinary(word)).tobytes()
+
+
 class _Words:
     """Ids of texts, with the ids of words remembered.
 
     A byte-level tokenizer splits before each single space, so the ids of a text are those of its words, each
     with the space before it. Texts where white space is followed by a space at an end or in a run are encoded whole.
+    Where the vocabulary lies beside the tokenizer as ranks too, single words are encoded from these, which is faster
+    and gives the same ids.
     """
 
     def __init__(self, path: str):
@@ -40,6 +55,8 @@ class _Words:
         self.tokenizer.encode_special_tokens = True
         self.runs = re.compile(r"\s (?:\s|$)|[\x1c-\x1f\x85]")
         self.known: dict[str, bytes] = {}
+        ranks = Path(path).with_suffix(".tiktoken")
+        self.word = _from_ranks(ranks) if ranks.exists() else None
 
     def encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -58,7 +75,8 @@ class _Words:
             if len(known) + len(missing) > CACHE:
                 known.clear()
                 missing = list(set(words))
-            known.update(zip(missing, self.encode([" " + w for w in missing])))
+            spaced = [" " + w for w in missing]
+            known.update(zip(missing, self.encode(spaced) if self.word is None else map(self.word, spaced)))
             out = [known[w] for w in words]
         out[0] = self.encode([first])[0] if first else b""
         return b"".join(out)
