@@ -131,6 +131,11 @@ def user_interaction(tweets: DataFrame, users: DataFrame, edges: DataFrame) -> D
 
     Here the source id's prefix alone tells an edge's cascade, also where the edges name one.
     """
+    # A missing user id is one user of its cascade; the mark keeps it apart from any id.
+    def known(df: DataFrame) -> DataFrame:
+        return df.withColumn("user_id", F.coalesce(F.concat(F.lit("="), "user_id"), F.lit("")))
+
+    tweets, users = known(tweets), known(users)
     hot_users = hot_keys(tweets, ["news_id", "user_id"])
     # A user's tweets in one cascade may be many, so the index lookup is spread as well.
     indexed = salted_join(

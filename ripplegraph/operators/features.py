@@ -195,7 +195,10 @@ def user_matrix(users: DataFrame, news: DataFrame, features: DataFrame, text: bo
 
     kept = news.join(users.where(F.col("user_idx") == 1).select("news_id"), "news_id", "left_semi")
     top_rows = kept.select("news_id", F.lit(0).cast("long").alias("node_idx"), F.lit(0).alias("node_type"), *numbered(tops))
-    user_rows = users.join(features, ["news_id", "user_id"]).select(
+    # A missing user id is one user of its cascade, with an index and features as any other.
+    own = features.withColumnsRenamed({"news_id": "_news", "user_id": "_user"})
+    same = (F.col("news_id") == F.col("_news")) & F.col("user_id").eqNullSafe(F.col("_user"))
+    user_rows = users.join(own, same).select(
         "news_id", F.col("user_idx").alias("node_idx"), F.lit(1).alias("node_type"), *numbered(rows)
     )
     return top_rows.unionByName(user_rows)

@@ -222,7 +222,8 @@ def linear_layer(
         return _linear_batches(df, keep, inputs, weight, layer.offsets(), names, relu)
     outputs = []
     for row, offset, name in zip(weight, layer.offsets(), names):
-        value = _weighted(inputs, row) + F.lit(float(offset))
+        # A null among the inputs makes the outputs NaN, as in the product of batches.
+        value = F.coalesce(_weighted(inputs, row) + F.lit(float(offset)), F.lit(float("nan")))
         outputs.append((F.greatest(value, F.lit(0.0)) if relu else value).alias(name))
     return df.select(*keep, *outputs)
 

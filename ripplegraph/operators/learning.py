@@ -101,8 +101,9 @@ def predict_graphs(model: PipelineModel, graphs: DataFrame, name: str) -> DataFr
     )
     return scored.withColumns(
         {
-            "log_p_real": F.log("p_real"),
-            "log_p_fake": F.log("p_fake"),
+            # the smallest double in place of 0, of which there is no logarithm
+            "log_p_real": F.log(F.greatest("p_real", F.lit(5e-324))),
+            "log_p_fake": F.log(F.greatest("p_fake", F.lit(5e-324))),
             "pred": F.when(F.col("p_fake") > F.col("p_real"), 1).otherwise(0),
         }
     )

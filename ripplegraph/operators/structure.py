@@ -126,10 +126,13 @@ def reply_retweet_count(tweets: DataFrame, links: DataFrame) -> DataFrame:
 def local_influence(tweets: DataFrame, links: DataFrame) -> DataFrame:
     """Reach within two hops: a tweet's children plus the children of each child.
 
-    In a forest, which repost edges form, this is the number of descendants within two hops. It is the sum of
-    per-node counts, so descendants are never listed pair by pair.
+    This is the number of distinct descendants within two hops, without the tweet itself. Where every tweet has one
+    parent and no two are each other's parent, it is a sum of per-node counts, so descendants aren't listed.
     """
-    distinct = links.select("news_id", "source", "target").distinct()
+    distinct = links.select("news_id", "source", "target").where("source <> target").distinct()
+    back = distinct.select("news_id", F.col("target").alias("source"), F.col("source").alias("target"))
+    if not is_unique(distinct, ["news_id", "target"]) or not distinct.join(back, ["news_id", "source", "target"]).isEmpty():
+        return _listed_influence(tweets, distinct)
     children = distinct.groupBy("news_id", F.col("source").alias("tweet_id")).agg(F.count(F.lit(1)).alias("children"))
     below = children.select("news_id", F.col("tweet_id").alias("target"), F.col("children").alias("below"))
     hot = hot_keys(distinct, ["news_id", "target"])
@@ -146,6 +149,16 @@ def local_influence(tweets: DataFrame, links: DataFrame) -> DataFrame:
     return rows.groupBy("news_id", "tweet_id").agg(F.sum("n").alias("local_influence"))
 
 
+def _listed_influence(tweets: DataFrame, distinct: DataFrame) -> DataFrame:
+    onward = distinct.select("news_id", F.col("source").alias("target"), F.col("target").alias("below"))
+    hot = hot_keys(distinct, ["news_id", "target"])
+    second = salted_join(distinct, onward, ["news_id", "target"], hot, ["source"]).select("news_id", "source", F.col("below").alias("target"))
+    reached = distinct.unionByName(second).where("source <> target").distinct()
+    counted = reached.groupBy("news_id", F.col("source").alias("tweet_id")).agg(F.count(F.lit(1)).alias("local_influence"))
+    found = tweets.select("news_id", "tweet_id").distinct().join(counted, ["news_id", "tweet_id"], "left")
+    return found.select("news_id", "tweet_id", F.coalesce("local_influence", F.lit(0).cast("long")).alias("local_influence"))
+
+
 def branching_by_level(depths: DataFrame) -> DataFrame:
     """Tweets per (cascade, depth), for the tweets that a root leads to."""
     return (

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +11,6 @@ from pyspark.sql import functions as F
 HOT_ROWS = 2_000_000
 # Hot keys that are fetched and broadcast; more of them stay a distributed table.
 MAX_BROADCAST_KEYS = 50_000
-MAX_SALTS = 1_024
 # Rows up to which a lookup table is broadcast, after they were counted.
 MAX_BROADCAST_ROWS = 200_000
 
@@ -32,8 +30,9 @@ class HotKeys:
         return self.table is None
 
     @property
-    def salts(self) -> int:
-        return min(MAX_SALTS, max(2, ceil(self.largest / self.limit) * 2))
+    def salts(self) -> Column:
+        """Parts that a key's rows are split into: its own rows decide, whatever other keys have."""
+        return F.greatest(F.lit(2), F.ceil(F.col("hot_rows") / self.limit) * 2).cast("int")
 
 
 def hot_keys(df: DataFrame, keys: list[str], limit: int | None = None) -> HotKeys:
@@ -101,11 +100,11 @@ def salted_join(
     if hot.empty:
         return left.join(right, on, how)
     keys = list(hot.keys)
-    marks = hot.table.select(*keys, F.lit(True).alias("_hot"))
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(hot.salts)).cast("int")).otherwise(F.lit(0))
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(hot.salts - 1))).otherwise(F.array(F.lit(0)))
-    salted = left.join(marks, keys, "left").withColumn("_salt", salt).drop("_hot")
-    copied = right.join(marks, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    marks = hot.table.select(*keys, hot.salts.alias("_salts"))
+    salt = F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_salts")).cast("int"), F.lit(0))
+    copies = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
+    salted = left.join(marks, keys, "left").withColumn("_salt", salt).drop("_salts")
+    copied = right.join(marks, keys, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
     return salted.join(copied, [*on, "_salt"], how).drop("_salt")
 
 

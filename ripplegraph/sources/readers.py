@@ -8,13 +8,19 @@ from pyspark.sql import functions as F
 from ripplegraph import schema
 
 
+# Quotes within a field are doubled, and a field may hold line breaks. Such a file can't be split over tasks, so large data
+# belongs in Parquet. A row that doesn't fit the header raises instead of being dropped.
+CSV = {"header": True, "quote": '"', "escape": '"', "multiLine": True, "mode": "FAILFAST"}
+
+
 def _scan(spark: SparkSession, path: str, types: dict[str, str], fmt: str) -> DataFrame:
     if fmt != "csv":
-        return spark.read.format(fmt).load(path)
+        found = spark.read.format(fmt).load(path)
+        return found.withColumns({n: F.col(n).cast(types[n]) for n in found.columns if n in types})
     # The header decides which optional columns exist, the declared types how to read them.
-    header = spark.read.option("header", True).csv(path).columns
+    header = spark.read.options(**CSV).csv(path).columns
     declared = ", ".join(f"`{name}` {types.get(name, 'string')}" for name in header)
-    return spark.read.option("header", True).schema(declared).csv(path)
+    return spark.read.options(**CSV).schema(declared).csv(path)
 
 
 def read_tweets(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:

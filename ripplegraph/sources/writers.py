@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 GRAPH_TABLES = ("nodes", "edges", "graphs")
+MARK = "complete"
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -14,8 +15,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def graphs_stored(spark: SparkSession, path: str) -> bool:
-    """Whether a finished set is there: the table written last has its success mark."""
-    return _exists(spark, f"{path}/{GRAPH_TABLES[-1]}/_SUCCESS")
+    """Whether a finished set is there: the mark that is written after all its tables."""
+    return _exists(spark, f"{path}/{MARK}/_SUCCESS")
 
 
 def read_graphs(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -26,8 +27,12 @@ def write_graphs(tables: dict[str, DataFrame], path: str, overwrite: bool = Fals
     """Store the nodes, edges and graphs tables as Parquet and read them back; stored graphs are re-used."""
     spark = tables["graphs"].sparkSession
     if overwrite or not graphs_stored(spark, path):
+        # An overwrite that breaks off must not leave older tables looking complete.
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{MARK}")
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
         for name in GRAPH_TABLES:
             tables[name].write.mode("overwrite").parquet(f"{path}/{name}")
+        spark.range(1).write.mode("overwrite").parquet(f"{path}/{MARK}")
     return read_graphs(spark, path)
 
 
@@ -39,7 +44,7 @@ def save_bucketed(df: DataFrame, table: str, buckets: int, key: str = "news_id")
 
 def write_csv(df: DataFrame, path: str) -> None:
     # The default format would cut timestamps to milliseconds.
-    options = {"header": True, "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
+    options = {"header": True, "escape": '"', "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
     df.write.mode("overwrite").options(**options).csv(path)
 
 

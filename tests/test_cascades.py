@@ -332,3 +332,12 @@ def test_text_vectors(spark, one_cascade):
     both = text.feature_concat(features.tweet_features(one_cascade), own, ["tweet_id"], features.TWEET_FEATURES)
     row = both.where("tweet_id = 'c1_t4'").first()
     assert row.features == pytest.approx([1, 1, 0, 7, 0, 0.3, 0.1, 0, 8, 1])
+
+
+def test_local_influence_counts_each_descendant_once(spark):
+    from ripplegraph.operators.structure import local_influence
+
+    tweets = spark.createDataFrame([("n", t) for t in "ABCDEF"], "news_id string, tweet_id string")
+    links = [("n", "A", "B"), ("n", "A", "C"), ("n", "B", "D"), ("n", "C", "D"), ("n", "E", "F"), ("n", "F", "E")]
+    found = local_influence(tweets, spark.createDataFrame(links, "news_id string, source string, target string"))
+    assert {r["tweet_id"]: r["local_influence"] for r in found.collect()} == {"A": 3, "B": 1, "C": 1, "D": 0, "E": 1, "F": 1}

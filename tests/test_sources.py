@@ -1,3 +1,4 @@
+import pytest
 """Reading and writing."""
 
 import json
@@ -107,3 +108,30 @@ def test_scratch_is_the_shared_folder(spark):
     stored = materialise(spark.range(3))
     assert stored.count() == 3 and spark.conf.get("spark.checkpoint.dir") in stored.inputFiles()[0]
     assert materialise(spark.range(0)).count() == 0
+
+
+def test_csv_keeps_line_breaks_quotes_and_commas(spark, tmp_path):
+    import csv
+
+    from ripplegraph.sources.readers import read_tweets
+    from ripplegraph.sources.writers import write_csv
+
+    texts = ['two\nlines, "quoted"', 'plain', 'ends with "', "a,b\r\nc"]
+    with open(tmp_path / "tweets.csv", "w", newline="") as file:
+        out = csv.writer(file)
+        out.writerow(["tweet_id", "user_id", "text", "timestamp", "label", "news_id"])
+        out.writerows([f"t{i}", "u", text, "2024-01-01 00:00:00", 1, "n1"] for i, text in enumerate(texts))
+    read = read_tweets(spark, str(tmp_path / "tweets.csv"))
+    assert [r["text"].replace("\r\n", "\n") for r in read.orderBy("tweet_id").collect()] == [t.replace("\r\n", "\n") for t in texts]
+    write_csv(read, str(tmp_path / "again"))
+    again = read_tweets(spark, str(tmp_path / "again"))
+    assert sorted(r["text"].replace("\r\n", "\n") for r in again.collect()) == sorted(t.replace("\r\n", "\n") for t in texts)
+    assert {(r["label"], r["news_id"]) for r in again.collect()} == {(1, "n1")}
+
+
+def test_csv_row_that_does_not_fit_raises(spark, tmp_path):
+    from ripplegraph.sources.readers import read_edges
+
+    (tmp_path / "edges.csv").write_text("source,target,timestamp\na,b,not a time\n")
+    with pytest.raises(Exception, match="MALFORMED|Malformed|FAILFAST"):
+        read_edges(spark, str(tmp_path / "edges.csv")).collect()
