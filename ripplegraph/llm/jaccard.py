@@ -7,8 +7,9 @@
    their shared shingles, large groups being split by a hash. Members of a group are compared within it.
 3. The token-group matrix holds, per shingle, the groups whose union has it, with the sizes of the members that have it.
    Only the rarest fifth of a set is kept there (two similar sets must meet in it). A query document is bound by
-   the matrix to the groups that its rarest shingles hit in fitting sizes, and only these groups are opened: first for
-   one document per (component, group), then for every document let in, where the group still has other components.
+   the matrix to the groups that its rarest shingles hit in fitting sizes, and only these groups are opened: first
+   each shingle's first and last group, for one document per component, which connects large groups of copies; then every
+   group let in, for every document, where the group still has other components.
 
 Only comparisons inside a component that is already connected are left out.
 """
@@ -30,6 +31,8 @@ BLOCK_BYTES = 8 << 20
 # Shingles are about as many as a sixth of the bytes of a text.
 BUCKET_BYTES = 16 << 20
 GROUP = 1_024
+# Asks that one task compares with a group.
+OPENED = 2_048
 _SETS = "doc_id long, n_shingles long, sig binary, tokens binary, prefix array<long>, least long, splits int"
 
 
@@ -163,8 +166,8 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     )
     in_group = nodes.select("grp", "node", "tokens").groupBy("grp").applyInArrow(_labels_in_group(percent), "node binary, grp long, component binary")
     labels = materialise(in_group, "labels")
-    for every in (False, True):
-        links = materialise(_open_groups(nodes, labels, percent, every), "links")
+    for hub in ("min", "max", None):
+        links = materialise(_open_groups(nodes, labels, percent, hub), "links")
         higher = components(links).select(F.col("node").alias("component"), F.col("component").alias("top"))
         labels = labels.join(higher, "component", "left").select("node", "grp", F.coalesce("top", "component").alias("component"))
         labels = materialise(labels, "labels")
@@ -174,36 +177,40 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     return linked.unionByName(sets.where("sig is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def _qualifying(nodes: DataFrame, labels: DataFrame, percent: int, every: bool) -> DataFrame:
+def _qualifying(nodes: DataFrame, labels: DataFrame, percent: int, hub: str | None) -> DataFrame:
     """Who is to ask which group (grp, node, component): what the token-group matrix lets through.
 
     The matrix has a row per shingle and group, with the sizes of the members that have the shingle, and the smallest and
-    largest component in the group: a group that is all of one component isn't opened for that component. Asks are
-    for ``every`` node, or for one node of each component, in which case components meet the matrix as a whole.
+    largest component in the group: a group that is all of one component isn't opened for that component. Every node
+    asks all groups that its shingles hit, or, with ``hub`` (min or max), one node of each component asks only the first or
+    last group of each shingle, so that the groups that share a shingle are connected without pairs of groups.
     """
     held = labels.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     told = labels.join(held, "grp").select("node", "component", "lo", "hi")
     prefixes = nodes.select("node", "grp", "n", "prefix").join(told, "node").select("node", "grp", "n", "component", "lo", "hi", F.explode("prefix").alias("token"))
     matrix = prefixes.groupBy("token", "grp", "lo", "hi").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     asks = ["node", "component", "home", "least", "most"]
-    if every:
+    if hub is None:
         queries = prefixes.select("token", "node", "component", F.col("grp").alias("home"), F.col("n").alias("least"), F.col("n").alias("most"))
     else:
+        matrix = matrix.groupBy("token").agg(getattr(F, hub)(F.struct("grp", "lo", "hi", "low", "high")).alias("one")).select("token", "one.*")
         whole = [F.min("node").alias("node"), F.min("n").alias("least"), F.max("n").alias("most")]
         queries = prefixes.groupBy("token", "component", F.col("grp").alias("home")).agg(*whole).select("token", *asks)
     fits = (F.col("grp") != F.col("home")) & (F.col("high") * 100 >= F.col("least") * percent) & (F.col("most") * 100 >= F.col("low") * percent)
     other = (F.col("lo") != F.col("component")) | (F.col("hi") != F.col("component"))
     pairs = queries.join(matrix, "token").where(fits & other)
-    if every:
+    if hub is None:
         return pairs.select("grp", "node", "component").distinct()
     return pairs.groupBy("grp", "component").agg(F.min("node").alias("node"))
 
 
-def _open_groups(nodes: DataFrame, labels: DataFrame, percent: int, every: bool) -> DataFrame:
-    """Links found by opening groups: for one node per (component, group), or for ``every`` node left to compare."""
-    asks = materialise(_qualifying(nodes, labels, percent, every).select("grp", "node", "component"), "asks")
+def _open_groups(nodes: DataFrame, labels: DataFrame, percent: int, hub: str | None) -> DataFrame:
+    """Links found by opening groups to those who ask; a group with many asks is opened in several tasks."""
+    asks = materialise(_qualifying(nodes, labels, percent, hub).select("grp", "node", "component"), "asks")
+    tasks = asks.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(OPENED)).alias("tasks"))
+    dealt = materialise(asks.join(tasks, "grp").withColumn("task", F.pmod(F.xxhash64("node"), F.col("tasks"))).drop("tasks"), "dealt")
     tokens = nodes.select("node", "tokens")
     # toDF gives the columns an identity of their own, apart from those of the members
-    asked = asks.join(tokens, "node").select("grp", "component", "tokens").toDF("grp", "component", "tokens")
-    members = labels.join(asks.select("grp").distinct(), "grp", "left_semi").join(tokens, "node").select("grp", "component", "tokens")
-    return members.groupBy("grp").cogroup(asked.groupBy("grp")).applyInArrow(_links_to_queries(percent), "a binary, b binary")
+    asked = dealt.join(tokens, "node").select("grp", "task", "component", "tokens").toDF("grp", "task", "component", "tokens")
+    members = labels.join(dealt.select("grp", "task").distinct(), "grp").join(tokens, "node").select("grp", "task", "component", "tokens")
+    return members.groupBy("grp", "task").cogroup(asked.groupBy("grp", "task")).applyInArrow(_links_to_queries(percent), "a binary, b binary")
