@@ -9,7 +9,7 @@
    Only the rarest fifth of a set is kept there (two similar sets must meet in it). A query document is bound by
    the matrix to the groups that its rarest shingles hit in fitting sizes, and only these groups are opened: first
    each shingle's first and last group, for one document per component, which connects large groups of copies; then every
-   group let in, for every document, where the group still has other components.
+   group let in, for every document, where the group has members of a larger component.
 
 Only comparisons inside a component that is already connected are left out.
 """
@@ -180,25 +180,32 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
 def _qualifying(nodes: DataFrame, labels: DataFrame, percent: int, hub: str | None) -> DataFrame:
     """Who is to ask which group (grp, node, component): what the token-group matrix lets through.
 
-    The matrix has a row per shingle and group, with the sizes of the members that have the shingle, and the smallest and
-    largest component in the group: a group that is all of one component isn't opened for that component. Every node
-    asks all groups that its shingles hit, or, with ``hub`` (min or max), one node of each component asks only the first or
-    last group of each shingle, so that the groups that share a shingle are connected without pairs of groups.
+    The matrix has a row per shingle, group and component in it, with the sizes of the members that have the shingle and
+    the most shingles that one of them has from there on, in order of rarity: the first common shingle bounds the overlap
+    by these. A node asks all such groups of larger components (by documents, then by name; the others ask back).
+    With ``hub`` (min or max), one node of each component asks only the first or last group of each shingle, so that
+    the groups that share a shingle are connected without pairs of groups.
     """
-    held = labels.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    told = labels.join(held, "grp").select("node", "component", "lo", "hi")
-    prefixes = nodes.select("node", "grp", "n", "prefix").join(told, "node").select("node", "grp", "n", "component", "lo", "hi", F.explode("prefix").alias("token"))
-    matrix = prefixes.groupBy("token", "grp", "lo", "hi").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    asks = ["node", "component", "home", "least", "most"]
+    mass = labels.groupBy("component").agg(F.count("*").alias("mass"))
+    told = labels.join(mass, "component").select("node", "component", "mass")
+    rest = F.size("prefix") + F.ceil(F.col("n") * percent / 100) - 1 - F.col("pos")
+    held = nodes.select("node", "grp", "n", "prefix").join(told, "node")
+    prefixes = held.select("*", F.posexplode("prefix").alias("pos", "token")).select("token", "node", "grp", "n", "component", "mass", rest.alias("rest"))
+    matrix = prefixes.groupBy("token", "grp", F.col("component").alias("there"), F.col("mass").alias("weight")).agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("tail")
+    )
     if hub is None:
-        queries = prefixes.select("token", "node", "component", F.col("grp").alias("home"), F.col("n").alias("least"), F.col("n").alias("most"))
+        queries = prefixes.select("token", "node", "component", "mass", F.col("grp").alias("home"), F.col("n").alias("least"), F.col("n").alias("most"), "rest")
+        other = F.struct("mass", "component") < F.struct(F.col("weight").alias("mass"), F.col("there").alias("component"))
     else:
-        matrix = matrix.groupBy("token").agg(getattr(F, hub)(F.struct("grp", "lo", "hi", "low", "high")).alias("one")).select("token", "one.*")
-        whole = [F.min("node").alias("node"), F.min("n").alias("least"), F.max("n").alias("most")]
-        queries = prefixes.groupBy("token", "component", F.col("grp").alias("home")).agg(*whole).select("token", *asks)
+        one = F.struct("grp", "there", "low", "high", "tail")
+        matrix = matrix.groupBy("token").agg(getattr(F, hub)(one).alias("one")).select("token", "one.*")
+        whole = [F.min("node").alias("node"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest")]
+        queries = prefixes.groupBy("token", "component", F.col("grp").alias("home")).agg(*whole)
+        other = F.col("component") != F.col("there")
     fits = (F.col("grp") != F.col("home")) & (F.col("high") * 100 >= F.col("least") * percent) & (F.col("most") * 100 >= F.col("low") * percent)
-    other = (F.col("lo") != F.col("component")) | (F.col("hi") != F.col("component"))
-    pairs = queries.join(matrix, "token").where(fits & other)
+    enough = F.least("rest", "tail") * (100 + percent) >= (F.col("least") + F.col("low")) * percent
+    pairs = queries.join(matrix, "token").where(fits & enough & other)
     if hub is None:
         return pairs.select("grp", "node", "component").distinct()
     return pairs.groupBy("grp", "component").agg(F.min("node").alias("node"))
