@@ -166,12 +166,12 @@ def fit_candidates(
     return found
 
 
-def best_candidate(train: DataFrame, candidates: list[Candidate], patience: int = PATIENCE) -> Candidate | None:
-    """The candidate kept by :func:`select_by_val_f1`, every one of them checked."""
+def best_candidate(train: DataFrame, candidates: list[Candidate], patience: int = PATIENCE) -> Candidate:
+    """The candidate kept by :func:`select_by_val_f1`, every one of them checked; the first if all have a validation F1 of 0."""
     spark = train.sparkSession
     table = spark.createDataFrame([("run", c.step, c.val_f1) for c in candidates], "run string, step int, val_f1 double")
     kept = select_by_val_f1(table, patience, check_every=1).first()
-    return next((c for c in candidates if kept is not None and c.step == kept.best_step), None)
+    return next((c for c in candidates if kept is not None and c.step == kept.best_step), candidates[0])
 
 
 def split_sizes(split: DataFrame) -> DataFrame:

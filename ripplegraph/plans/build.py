@@ -18,11 +18,11 @@ def stored_order(tweets: DataFrame):
     return materialise(cascades.propagation_order(features.slim_tweets(tweets), hot=hot), "ordered"), hot
 
 
-def recorded_graph(tweets: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Stored node matrix, and stored news and cascade edges, without drawn edges."""
-    ordered, _ = stored_order(tweets)
+def whole_graph(tweets: DataFrame, links: DataFrame, patterns: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Stored node matrix, and stored edges of all kinds: news, cascade and drawn ones."""
+    ordered, hot = stored_order(tweets)
     nodes = features.node_matrix(ordered, features.news_features(ordered))
-    joined = edges.news_edges(ordered).unionByName(edges.cascade_edges(ordered, links))
+    joined = edges.all_edges(ordered, links, cascades.graphs_of(ordered), hot, patterns)
     return materialise(nodes, "nodes"), materialise(joined, "edges")
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from ripplegraph.operators.text import SPACE, WORD
-
 ORACLE: dict[str, str] = {}
 
+# Fixed classes: white space, and letters, digits and the underscore.
+SPACE = r"\t\n\x0B\f\r\x1C-\x1F \x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+WORD = r"\p{L}\p{N}_"
 # Fixed class: capitals, including letters used as numbers and in circles or squares.
 UPPER = r"\p{Lu}\x{2160}-\x{216F}\x{24B6}-\x{24CF}\x{1F130}-\x{1F149}\x{1F150}-\x{1F169}\x{1F170}-\x{1F189}"
 
@@ -164,8 +165,12 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         UNION ALL
         SELECT o.news_id, o.node_idx, f.likes, f.retweets, f.is_root, f.followers, f.verified, f.credibility, f.bot_score, f.emotional
         FROM ordered o JOIN tweet_f f USING (tweet_id)"""),
-    "graph_e": (("news_e", "cascade_e"), """
-        SELECT news_id, src_idx, dst_idx FROM news_e UNION ALL SELECT news_id, src_idx, dst_idx FROM cascade_e"""),
+    "all_e": (("news_e", "cascade_e", "level1_e", "level2_e", "star_e", "chain_e", "graphs"), """
+        SELECT * FROM news_e
+        UNION ALL SELECT * FROM cascade_e UNION ALL SELECT * FROM level1_e UNION ALL SELECT * FROM level2_e
+        UNION ALL SELECT * FROM star_e WHERE news_id IN (SELECT news_id FROM graphs WHERE is_fake)
+        UNION ALL SELECT * FROM chain_e WHERE news_id IN (SELECT news_id FROM graphs WHERE NOT is_fake)"""),
+    "graph_e": (("all_e",), "SELECT news_id, src_idx, dst_idx FROM all_e"),
     "looped": (("nodes", "graph_e"), """
         SELECT * FROM graph_e UNION ALL SELECT news_id, node_idx, node_idx FROM nodes"""),
     "degrees": (("looped",), "SELECT news_id, dst_idx AS node_idx, count(*) AS d FROM looped GROUP BY 1, 2"),
@@ -357,10 +362,7 @@ oracle("pattern_level1", "level1_e", "SELECT * FROM level1_e")
 oracle("pattern_level2", "level2_e", "SELECT * FROM level2_e")
 oracle("popular_star", "star_e", "SELECT * FROM star_e")
 oracle("sequential_chain", "chain_e", "SELECT * FROM chain_e")
-oracle("all_edges", "news_e cascade_e level1_e level2_e star_e chain_e graphs", """SELECT * FROM news_e
-    UNION ALL SELECT * FROM cascade_e UNION ALL SELECT * FROM level1_e UNION ALL SELECT * FROM level2_e
-    UNION ALL SELECT * FROM star_e WHERE news_id IN (SELECT news_id FROM graphs WHERE is_fake)
-    UNION ALL SELECT * FROM chain_e WHERE news_id IN (SELECT news_id FROM graphs WHERE NOT is_fake)""")
+oracle("all_edges", "all_e", "SELECT * FROM all_e")
 oracle("all_edges_lookback", "news_e cascade_e heuristic_e", """SELECT * FROM news_e
     UNION ALL SELECT * FROM cascade_e UNION ALL SELECT * FROM heuristic_e""")
 oracle("user_star", "user_idx", """SELECT news_id, 0 AS src_idx, user_idx AS dst_idx, 'news' AS kind FROM user_idx

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from functools import wraps
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,8 +64,8 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The stored node matrix, and the news and cascade edges, of every graph."""
-    return build.recorded_graph(adapters.tweets(spark, sf_dir), adapters.edges(spark, sf_dir))
+    """The stored node matrix and all edges of every graph."""
+    return build.whole_graph(adapters.tweets(spark, sf_dir), adapters.edges(spark, sf_dir), adapters.patterns(spark, sf_dir))
 
 
 # --- sources, sinks, schema -------------------------------------------------------------------
@@ -131,7 +132,8 @@ def align_schema_user(spark, sf_dir):
 def write_graphs(spark, sf_dir):
     """Nodes, edges and graphs stored and read back: their sizes per graph."""
     stored = build.build_graphs(
-        adapters.tweets(spark, sf_dir), adapters.edges(spark, sf_dir), scratch_path(spark, "graphs"), drawn=False
+        adapters.tweets(spark, sf_dir), adapters.edges(spark, sf_dir), scratch_path(spark, "graphs"),
+        adapters.patterns(spark, sf_dir),
     )
     return build.sizes(stored)
 
@@ -543,7 +545,9 @@ def gcn_norm(spark, sf_dir):
 
 @query
 def gcn_propagate(spark, sf_dir):
-    return graph.gcn_propagate(*_graph(spark, sf_dir), MATRIX, rounds=2)
+    """Two rounds. Sums that end in an exact half of the last shown place are put back on it first."""
+    state = graph.gcn_propagate(*_graph(spark, sf_dir), MATRIX, rounds=2)
+    return state.withColumns({n: F.round(n, 9) for n in MATRIX})
 
 
 @query
@@ -697,14 +701,13 @@ def fit_structure(spark, sf_dir):
 
 @query
 def fit_structure_text(spark, sf_dir):
-    """The same on structure features followed by the graph's mean text vector."""
+    """The same on structure features followed by the text vector of the graph's tweets."""
     pooled, names = _pooled(spark, sf_dir)
     tweets = adapters.tweets(spark, sf_dir)
-    vectors = text.text_embedding(tweets, text.fit_idf(tweets, 64), ["news_id"], per_row=False, dimensions=64)
-    both = graph.spread_array(vectors, ["news_id"], "embedding", 64, "t").join(pooled, "news_id")
-    wide = names + [f"t{i}" for i in range(64)]
+    vectors = text.text_embedding(tweets, text.fit_idf(tweets), ["news_id"], per_row=False)
+    both = pooled.join(vectors.select("news_id", array_to_vector("embedding").alias("embedding")), "news_id")
     parts = _parts(spark, sf_dir, both)
-    model = learning.fit_structure(parts["train"], wide)
+    model = learning.fit_structure_text(parts["train"], names, "embedding", width=text.DIMENSIONS)
     return metrics.metric_records(learning.predict_graphs(model, parts["test"], B), "fit")
 
 
@@ -719,7 +722,7 @@ def save_load_model(spark, sf_dir):
     pooled, names = _pooled(spark, sf_dir)
     parts = _parts(spark, sf_dir, pooled)
     found = learning.fit_candidates(parts["train"], parts["val"], names, [learning.logistic(n) for n in (1, 5, 20)])
-    best = learning.best_candidate(parts["train"], found) or found[-1]
+    best = learning.best_candidate(parts["train"], found)
     path = scratch_path(spark, "model")
     learning.save_model(best.model, path)
     return learning.predict_graphs(learning.load_model(path), parts["test"], A).select("news_id", "label", "p_fake", "pred")
