@@ -547,7 +547,7 @@ def gcn_norm(spark, sf_dir):
 def gcn_propagate(spark, sf_dir):
     """Two rounds. Sums that end in an exact half of the last shown place are put back on it first."""
     state = graph.gcn_propagate(*_graph(spark, sf_dir), MATRIX, rounds=2)
-    return state.withColumns({n: F.round(n, 9) for n in MATRIX})
+    return state.withColumns({n: F.round(n, 12) for n in MATRIX})
 
 
 @query
