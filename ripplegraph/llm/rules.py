@@ -169,7 +169,11 @@ def fit(counted: DataFrame, labels: DataFrame, loss: float = LOSS) -> Rules:
     """
     names = stats.COUNTS + stats.MORE
     passed = counted.where("not (n_words < 50 or 100 * n_repeat_words > 50 * n_words)")
-    sample = passed.orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id", *names).limit(SAMPLE).select(*names).toPandas()
+    place = F.xxhash64(F.lit(11), "doc_id")
+    # Hashes are even, so about twice the sample lies below this bound: without it each task would send a whole sample.
+    bound = -(1 << 63) + int(min(1.0, 2.0 * SAMPLE / max(passed.count(), 1)) * (1 << 64))
+    near = passed.where(place < F.lit(bound)) if bound < 1 << 63 else passed
+    sample = near.orderBy(place, "doc_id", *names).limit(SAMPLE).select(*names).toPandas()
     if sample.empty:
         return Rules(None, BINS + 1)
     known = labels.where("quality in (0, 1)").select("doc_id", "quality")
