@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Iterator
+from itertools import count as numbers
 from math import ceil
 from pathlib import Path
 
@@ -146,11 +147,11 @@ def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return bins
 
 
-_ITEMS = "array<struct<doc_id: long, piece: int, length: long>>"
+_KINDS = {"doc_id": ("long", pa.int64()), "piece": ("int", pa.int32()), "id": ("long", pa.int64()), "length": ("long", pa.int64())}
 
 
-def _packer(capacity: int):
-    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("length", pa.int64())]))
+def _packer(capacity: int, names: list[str]):
+    kind = pa.list_(pa.struct([(n, _KINDS[n][1]) for n in names]))
 
     def pack(table: pa.Table) -> pa.Table:
         sizes, items = table["fill"].to_numpy(), table["items"].combine_chunks()
@@ -174,11 +175,18 @@ def packed(pieces: DataFrame, capacity: int = 2048, full: float = 0.99) -> DataF
     end when one task holds what is left, or when a round saves less than one bin in a hundred.
     A piece that is there twice is packed twice; a null doc_id is packed like any other; no pieces give no rows.
     """
+    return _placed(pieces, ["doc_id", "piece"], capacity, full)
+
+
+def _placed(pieces: DataFrame, names: list[str], capacity: int, full: float = 0.99) -> DataFrame:
+    """As ``packed``, with the columns ``names`` to tell the pieces by."""
     common.prepare(pieces.sparkSession)
+    names = [*names, "length"]
     length = F.when(F.col("length").between(1, capacity), F.col("length")).otherwise(
         F.raise_error(F.lit("a piece must have from 1 to capacity tokens")).cast("long")
     )
-    item = F.struct("doc_id", F.col("piece").cast("int").alias("piece"), length.alias("length"))
+    item = F.struct(*[(length if n == "length" else F.col(n)).cast(_KINDS[n][0]).alias(n) for n in names])
+    items = f"array<struct<{', '.join(f'{n}: {_KINDS[n][0]}' for n in names)}>>"
     rest = pieces.select(length.alias("fill"), F.array(item).alias("items"))
     whole = materialise(rest.where(F.col("fill") == capacity), "whole")
     rest = materialise(rest.where(F.col("fill") < capacity), "items")
@@ -186,7 +194,7 @@ def packed(pieces: DataFrame, capacity: int = 2048, full: float = 0.99) -> DataF
     while count:
         tasks = ceil(count / each)
         dealt = rest.repartition(tasks, F.xxhash64("items")).withColumn("task", F.spark_partition_id())
-        bins = materialise(dealt.groupBy("task").applyInArrow(_packer(capacity), f"fill long, items {_ITEMS}"), "bins")
+        bins = materialise(dealt.groupBy("task").applyInArrow(_packer(capacity, names), f"fill long, items {items}"), "bins")
         final = F.lit(True) if tasks == 1 else F.col("fill") >= int(full * capacity)
         done.append(bins.where(final))
         rest = bins.where(~final)
@@ -204,14 +212,15 @@ def packed(pieces: DataFrame, capacity: int = 2048, full: float = 0.99) -> DataF
         lambda seen, n: F.concat(seen, F.array(F.element_at(seen, -1) + n)),
     )
     rows = every.select("sequence_id", F.explode(F.arrays_zip(F.col("items"), F.slice(sums, 1, F.size("items")).alias("offset"))).alias("x"))
-    return rows.select("x.items.doc_id", "x.items.piece", "x.items.length", "sequence_id", F.col("x.offset").alias("offset"))
+    return rows.select(*[f"x.items.{n}" for n in names], "sequence_id", F.col("x.offset").alias("offset"))
 
 
 def packed_with(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
-    """Pieces with all their columns, stored once, and the sequence and offset of each; (doc_id, piece) must be unique."""
-    stored = materialise(pieces, "pieces")
-    places = packed(stored, capacity).select(
-        F.col("doc_id").alias("_doc"), F.col("piece").alias("_piece"), "sequence_id", "offset"
-    )
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("piece") == F.col("_piece"))
-    return stored.join(places, same).drop("_doc", "_piece")
+    """Pieces with all their columns, stored once, and the sequence and offset of each.
+
+    Each stored row has a number of its own, by which it meets its place: rows may share doc_id and piece, or have none.
+    """
+    own = next(n for n in map("_row{}".format, numbers()) if n not in pieces.columns)
+    stored = materialise(pieces.withColumn(own, F.monotonically_increasing_id()), "pieces")
+    places = _placed(stored.select(F.col(own).alias("id"), "length"), ["id"], capacity)
+    return stored.join(places.select(F.col("id").alias(own), "sequence_id", "offset"), own).drop(own)

@@ -14,6 +14,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ripplegraph.llm import components, decontam, jaccard, langid, packing, quality, rules, shards, stats, suffixes, urls, warc
@@ -130,6 +131,19 @@ def test_packing_odd_texts(spark, odd, none):
         packing.packed(spark.createDataFrame([(1, 0, 3000)], "doc_id long, piece int, length long")).collect()
 
 
+def test_packing_places_each_of_many_rows_with_one_id(spark, odd):
+    pieces = packing.tokenized(odd, vocabulary()).withColumn("_row0", F.lit("x"))
+    found = rows_of(packing.packed_with(pieces))
+    kinds = lambda rows: Counter((r["doc_id"], r["piece"], r["length"], bytes(r["ids"]), r["_row0"]) for r in rows)
+    assert kinds(found) == kinds(rows_of(pieces)) and max(kinds(found).values()) == 2
+    bins = {}
+    for r in found:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in bins.values():
+        own.sort()
+        assert [at for at, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 2048
+
+
 @given(st.lists(st.text(alphabet=" \n\tab.é'1s\x1c\xa0", max_size=12), max_size=8))
 @settings(max_examples=150, deadline=None)
 def test_words_give_the_ids_of_the_text(parts):
