@@ -42,7 +42,8 @@ class _Words:
     """Ids of texts, with the ids of words remembered.
 
     A byte-level tokenizer splits before each single space, so the ids of a text are those of its words, each
-    with the space before it. Texts where white space is followed by a space at an end or in a run are encoded whole.
+    with the space before it. Texts where white space is followed by a space at an end or in a run are encoded whole, as are
+    those that hold one of the tokenizer's added tokens, which it takes out before it splits.
     Where the vocabulary lies beside the tokenizer as ranks too, single words are encoded from these, which is faster
     and gives the same ids.
     """
@@ -53,7 +54,7 @@ class _Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.runs = re.compile(r"\s (?:\s|$)|[\x1c-\x1f\x85]")
         self.known: dict[str, bytes] = {}
         ranks = Path(path).with_suffix(".tiktoken")
@@ -64,7 +65,7 @@ class _Words:
         return [np.array(e.ids, np.uint32).tobytes() for e in found]
 
     def ids(self, text: str) -> bytes:
-        if self.runs.search(text):
+        if self.runs.search(text) or any(t in text for t in self.added):
             return self.encode([text])[0]
         words = text.split(" ")
         known = self.known

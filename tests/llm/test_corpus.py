@@ -153,6 +153,15 @@ def test_words_give_the_ids_of_the_text(parts):
     assert words.ids(text) == words.encode([text])[0]
 
 
+def test_words_keep_added_tokens_as_the_tokenizer_does():
+    from tokenizers import Tokenizer
+
+    tokenizer, words = Tokenizer.from_file(vocabulary()), packing._Words(vocabulary())
+    for text in ("see <|endoftext|> here", "<|endoftext|>", "a<|endoftext|>b c", "end <|endoftext|>", "<|endoftext| >", "x <|endoftext|><|endoftext|> y"):
+        assert np.frombuffer(words.ids(text), np.uint32).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert 50256 in np.frombuffer(words.ids("see <|endoftext|> here"), np.uint32)
+
+
 def test_packing_rounds_of_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(packing, "FIRST_ITEMS", 300)
     monkeypatch.setattr(packing, "ROUND_ITEMS", 200)
