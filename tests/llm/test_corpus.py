@@ -412,6 +412,33 @@ def test_url_aliases(spark):
     assert urls.judged(spark.createDataFrame([], "page_id long, url string, html string"), RULES).count() == 0
 
 
+def test_url_aliases_of_relative_links(spark):
+    from urllib.parse import urljoin
+
+    links = [
+        "page2.html", "../x", "../../../x", "./", "..", ".", "?id=3", "#top", "a/./b/../c?q=../d", "/p/../q", "/.hidden/..x", "mailto:me", "",
+        "//H.net/z", "a&amp;b", "?x=1&amp;y=2&#38;z=3&#x2F;&copy;&lt;&none;&#1114112;&", "&#233;", "&amp;amp;x",
+    ]
+    plain = {"a&amp;b": "a&b", links[15]: "?x=1&y=2&z=3/\xa9<&none;&#1114112;&", "&#233;": "\xe9", "&amp;amp;x": "&amp;x"}
+    address = lambda u: re.sub(r"^\w+://([^/?#]*)([^#]*).*", lambda m: m[1].lower() + m[2], u)
+    rows, wanted = [], set()
+    for tag in ('<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'):
+        for folder in ("", '<base href="../n/m">'):
+            for k, link in enumerate(links):
+                url = f"http://h{len(rows)}.net/a/b/c?d#e"
+                rows.append((url, folder + tag.format(link)))
+                to = urljoin(urljoin(url, "../n/m") if folder else url, plain.get(link, link))
+                if link not in ("", "mailto:me") and address(to) != address(url):
+                    wanted.add((address(url), address(to)))
+    assert {(r["a"], r["b"]) for r in rows_of(urls.alias_links(spark.createDataFrame(rows, "url string, html string")))} == wanted
+    pages = [
+        (1, "http://a.org/d/x", '<link rel="canonical" href="../fr/1">'), (2, "http://a.org/fr/1", '<link rel="canonical" href="//shop.net/fr/?a=1&amp;b=2">'),
+        (3, "http://a.org", '<meta http-equiv="refresh" content="0; url=d/x">'), (4, "http://b.org", '<link rel="canonical" href="">'),
+    ]
+    found = rows_of(urls.judged(spark.createDataFrame(pages, "page_id long, url string, html string"), RULES))
+    assert sorted((r["page_id"], r["verdict"]) for r in found) == [(1, "block"), (2, "block"), (3, "block"), (4, "allow")]
+
+
 # ---- 9
 
 def test_quality_classifier(spark):
