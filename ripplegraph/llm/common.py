@@ -205,14 +205,18 @@ def ordered(table: pa.Table) -> pa.Table:
 OFFERS, REPLIES = "bucket int, block int, ids binary, counts binary", "bucket int, block int, classes binary"
 
 
+# Counts in a byte: as they are up to 127, then in eighths of doublings, rounded up.
+_COUNTS = np.append(np.arange(128), np.ceil(127 * 2 ** (np.arange(1, 129) / 8))).astype(np.int64)
+
+
 def offers(block: int, hashes: np.ndarray, counts: np.ndarray, buckets: int) -> pa.Table:
-    """A block's sorted distinct hashes and in how many of its documents each is (255: or more), by bucket."""
+    """A block's sorted distinct hashes and in how many of its documents each is (nearly, as a byte of ``_COUNTS``), by bucket."""
     bounds, rows = bucket_bounds(hashes, buckets), []
     for b in range(buckets):
         lo, hi = bounds[b], bounds[b + 1]
         if hi > lo:
             low, order = within(hashes[lo:hi])
-            rows.append((b, block, packed(low), np.minimum(counts[lo:hi][order], 255).astype(np.uint8).tobytes()))
+            rows.append((b, block, packed(low), np.searchsorted(_COUNTS[:-1], counts[lo:hi][order]).astype(np.uint8).tobytes()))
     return arrow_table(rows, [("bucket", pa.int32()), ("block", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary())])
 
 
@@ -237,13 +241,13 @@ def arrow_table(rows: list[tuple], fields: list[tuple]) -> pa.Table:
 def count_classes(table: pa.Table) -> pa.Table:
     """For each hash offered to a bucket, the doubling class of the number of documents that hold it: 0 for one."""
     blocks, ids = table["block"].to_pylist(), [unpacked(x) for x in table["ids"].to_pylist()]
-    counts = np.concatenate([np.frombuffer(x, np.uint8) for x in table["counts"].to_pylist()])
+    counts = _COUNTS[np.concatenate([np.frombuffer(x, np.uint8) for x in table["counts"].to_pylist()])]
     sizes = [len(x) for x in ids]
     ids = np.concatenate(ids)
     order = np.argsort(ids, kind="stable")
     sorted_ids = ids[order]
     fresh = np.flatnonzero(np.append(True, sorted_ids[1:] != sorted_ids[:-1]))
-    total = np.add.reduceat(counts[order].astype(np.int64), fresh)
+    total = np.add.reduceat(counts[order], fresh)
     classes = np.ceil(np.log2(total)).astype(np.uint8)
     out = np.empty(len(ids), np.uint8)
     out[order] = np.repeat(classes, np.diff(np.append(fresh, len(ids))))

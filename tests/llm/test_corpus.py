@@ -17,7 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ripplegraph.llm import components, decontam, jaccard, langid, packing, quality, rules, shards, stats, suffixes, urls, warc
+from ripplegraph.llm import common, components, decontam, jaccard, langid, packing, quality, rules, shards, stats, suffixes, urls, warc
 from ripplegraph.llm.queries import ORACLE, QUERIES, RULES, vocabulary
 
 ROOT = Path(__file__).resolve().parents[2]
@@ -363,6 +363,16 @@ def test_jaccard_join_over_many_groups(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == plain_components(rows)
 
 
+def test_counts_of_a_block_are_not_capped():
+    hashes = np.arange(6, dtype=np.uint64) << np.uint64(3)
+    counts = np.array([1, 2, 127, 300, 5_000, 90_000])
+    found = common.count_classes(common.pa.concat_tables([common.offers(b, hashes, counts, 1) for b in range(3)]))
+    assert found["block"].to_pylist() == [0, 1, 2]
+    for data in found["classes"].to_pylist():
+        exact = np.log2(3 * counts)
+        assert ((np.frombuffer(data, np.uint8) >= exact) & (np.frombuffer(data, np.uint8) < exact + 1.2)).all()
+
+
 def test_jaccard_join_odd_texts(odd, none):
     found = rows_of(jaccard.similar_documents(odd))
     assert sorted((r["doc_id"], r["component_id"]) for r in found if r["doc_id"] is not None) == sorted(
