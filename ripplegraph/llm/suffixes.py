@@ -7,6 +7,8 @@ its 25-byte strings. Neighbouring windows with the same smallest hash travel as
 2. Blocks send the different pieces that have such a hash, each with the smallest document holding it. In a bucket, pieces
    with one hash are concatenated, their suffixes are sorted by ``suffix_order``, and runs of suffixes that agree in 50
    bytes give, per window, the smallest document it starts in.
+   Pieces of a hash with more than 2^HOT different ones are sent as single windows instead, each by the hash of its own 50
+   bytes: equal windows still meet, but a string that many documents have in differing surroundings meets in no one task.
 3. Blocks learn by a bit per window whether a smaller document has it, and remove the bytes covered.
 
 The exchange of texts into blocks is made once and read by each of the three passes.
@@ -26,6 +28,8 @@ from ripplegraph.llm import common
 BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
 # Bytes of pieces whose suffixes are sorted at once; more only for pieces with one hash.
 SORT_BYTES = 1 << 20
+# Doubling class of the number of pieces with one hash from which they are parted into windows.
+HOT = 14
 _CHUNK = 1 << 16
 
 
@@ -176,20 +180,50 @@ class _Pieces:
         self.doc = np.repeat(np.arange(len(self.texts)), counts)
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct hashes, and 2 for those in several documents, else 1."""
+        """The distinct hashes, and the number of different pieces (at least 2) for those in several documents, else 1."""
         order = np.argsort(self.key, kind="stable")
         key, doc = self.key[order], self.doc[order]
         if not len(key):
             return key, np.zeros(0, np.int64)
         fresh = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         last = np.append(fresh[1:], len(key)) - 1
-        return key[fresh], 1 + (doc[fresh] != doc[last])
-
-    def repeated(self, replies: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The different pieces that may repeat (as an example of each), the smallest text of each, and each piece's number."""
-        keys, _ = self.hashes()
+        several = doc[fresh] != doc[last]
+        counts = np.where(several, 2, 1)
+        many = several & (last - fresh > 1)
+        number = np.repeat(np.arange(len(fresh)), last - fresh + 1)
+        which = np.flatnonzero(many[number])
+        some, number = order[which], number[which]
+        by_place = np.argsort(some)
+        some, number = some[by_place], number[by_place]
+        content = _overlapping_hashes(self.buf, self.place[some], self.place[some] + self.length - 1 + self.windows[some])
+        ranked = np.lexsort((content, number))
+        number, content = number[ranked], content[ranked]
+        other = np.append(True, (number[1:] != number[:-1]) | (content[1:] != content[:-1]))[: len(number)]
+        return key[fresh], np.maximum(counts, np.bincount(number[other], minlength=len(fresh)))
+
+    def _part(self, hot: np.ndarray) -> None:
+        """Each window of the pieces marked becomes a piece of its own, with the hash of its bytes."""
+        parts = np.where(hot, self.windows, 1)
+        inside = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        single = np.repeat(hot, parts)
+        self.place, self.doc, self.key = np.repeat(self.place, parts) + inside, np.repeat(self.doc, parts), np.repeat(self.key, parts)
+        self.windows = np.where(single, 1, np.repeat(self.windows, parts))
+        place = self.place[single]
+        self.key[single] = common.mix(_overlapping_hashes(self.buf, place, place + self.length))
+
+    def repeated(self, replies: pa.Table, buckets: int, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The different pieces that may repeat (as an example of each), the smallest text of each, and each piece's number.
+
+        Pieces whose hash has the class ``hot`` or a higher one are parted first.
+        """
+        keys = np.unique(self.key)
         classes = common.classes_of(keys, replies, buckets)
-        some = np.flatnonzero(classes[np.searchsorted(keys, self.key)] > 0) if len(keys) else np.zeros(0, np.int64)
+        own = classes[np.searchsorted(keys, self.key)] if len(keys) else np.zeros(0, np.uint8)
+        if (own >= hot).any():
+            windows = self.windows
+            self._part(own >= hot)
+            own = np.repeat(own, np.where(own >= hot, windows, 1))
+        some = np.flatnonzero(own > 0)
         ends = self.place[some] + self.length - 1 + self.windows[some]
         content = _overlapping_hashes(self.buf, self.place[some], ends)
         order = np.lexsort((self.doc[some], content, self.key[some]))
@@ -224,12 +258,12 @@ def _offer_hashes(length: int, buckets: int):
     return offer
 
 
-def _offer_pieces(length: int, buckets: int):
+def _offer_pieces(length: int, buckets: int, hot: int):
     def offer(docs: pa.Table, replies: pa.Table) -> pa.Table:
         rows = []
         if docs.num_rows:
             pieces = _Pieces(docs, length)
-            different, _, _ = pieces.repeated(replies, buckets)
+            different, _, _ = pieces.repeated(replies, buckets, hot)
             bounds = common.bucket_bounds(pieces.key[different], buckets)
             ids = np.array([0 if d is None else d for d in pieces.ids], np.int64)
             block = docs["block"][0].as_py()
@@ -267,11 +301,12 @@ def _seeds(buf: np.ndarray, place: np.ndarray, windows: np.ndarray, length: int)
 
 
 def _first_docs(
-    buf: np.ndarray, place: np.ndarray, windows: np.ndarray, docs: np.ndarray, seeds: np.ndarray, length: int
+    buf: np.ndarray, place: np.ndarray, windows: np.ndarray, docs: np.ndarray, seeds: np.ndarray, groups: np.ndarray, length: int
 ) -> np.ndarray:
     """For pieces of one or more hashes, the smallest document of each window, by the suffix array of their concatenation.
 
-    A seed (where known: not -1) is one symbol there, since all pieces with one hash have the same. The result has
+    A seed (where known: not -1) is one symbol there, since all pieces with one hash (of one group) have the same; each
+    group has a symbol of its own, or windows of another group could come between equal ones. The result has
     the windows piece by piece.
     """
     seed = length // 2
@@ -284,7 +319,8 @@ def _first_docs(
     after = (own >= 0) & (inside > own)
     offset = np.where(after, inside + seed - 1, inside)
     symbols = buf[np.minimum(place[piece] + offset, len(buf) - 1)].astype(np.int64) + 1
-    symbols[(own >= 0) & (inside == own)] = 257
+    folds = (own >= 0) & (inside == own)
+    symbols[folds] = 257 + groups[piece[folds]] - groups.min()
     symbols[begin + folded - 1] = 0
     order = np.array(suffix_order(symbols.tolist()), np.int64)
     order = order[inside[order] < windows[piece[order]]]  # those that start a window: a seed is in all windows
@@ -369,7 +405,7 @@ def _answers(length: int):
             while to < len(open_) and group[to] == group[to - 1]:
                 to += 1
             some = open_[at:to]
-            found = _first_docs(buf, place[head[some]], windows[some], least_doc[some], seeds[at:to], length)
+            found = _first_docs(buf, place[head[some]], windows[some], least_doc[some], seeds[at:to], group[at:to], length)
             w = windows[some]
             first[np.repeat(begin[some] - np.cumsum(w) + w, w) + np.arange(w.sum())] = found
             at = to
@@ -384,7 +420,7 @@ def _answers(length: int):
     return answer
 
 
-def _cleaned(length: int, buckets: int, extra: int, as_text: bool):
+def _cleaned(length: int, buckets: int, hot: int, extra: int, as_text: bool):
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     kinds = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", span)]
     kinds.append(("kept", pa.string() if as_text else pa.binary()))
@@ -395,7 +431,7 @@ def _cleaned(length: int, buckets: int, extra: int, as_text: bool):
         docs = common.ordered(docs)
         pieces = _Pieces(docs, length)
         known = replies.filter(pc.is_valid(replies["classes"]))
-        different, some, number = pieces.repeated(known, buckets)
+        different, some, number = pieces.repeated(known, buckets, hot)
         bounds, bits = common.bucket_bounds(pieces.key[different], buckets), np.zeros(len(different), np.uint64)
         for b, data in zip(replies["bucket"].to_pylist(), replies["bits"].to_pylist()):
             if data is not None:
@@ -447,7 +483,7 @@ def without_repeats(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = (
     dealt = common.in_blocks(slim, blocks, *slim.columns[2:])
     hashes = dealt.groupBy("block").applyInArrow(_offer_hashes(length, buckets), common.OFFERS)
     shared = hashes.groupBy("bucket").applyInArrow(common.count_classes, common.REPLIES)
-    pieces = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_offer_pieces(length, buckets), _PIECES)
+    pieces = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_offer_pieces(length, buckets, HOT), _PIECES)
     bits = pieces.groupBy("bucket").applyInArrow(_answers(length), "bucket int, block int, bits binary")
     none = F.lit(None).cast("binary")
     told = shared.withColumn("bits", none).unionByName(bits.select("bucket", "block", none.alias("classes"), "bits"))
@@ -456,5 +492,5 @@ def without_repeats(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = (
     )
     for field in slim.schema[2:]:
         schema = schema.add(field.name, field.dataType)
-    found = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_cleaned(length, buckets, len(keep), as_text), schema)
+    found = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_cleaned(length, buckets, HOT, len(keep), as_text), schema)
     return found.withColumnsRenamed({f"x{k}": c for k, c in enumerate(keep)})

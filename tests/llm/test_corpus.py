@@ -209,6 +209,34 @@ def test_suffix_dedup_odd_texts(odd, none):
     assert suffixes.without_repeats(none).count() == 0
 
 
+def boilerplate(n):
+    line = "Licensed under the terms that are printed at the end of this text by its author, "
+    return [(i, f"{i * 7919} start {i * 104729} " + line + f"name {i % 40 * 7} and date {i * 31} " + "ab" * (i % 60)) for i in range(n)]
+
+
+def test_suffix_dedup_with_hot_hashes(spark, texts, monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT", 2)
+    rows = [*boilerplate(60), *((1000 + i, t) for i, t in list(texts.items())[:60])]
+    wanted = plain_removal(rows)
+    for r in rows_of(suffixes.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"))):
+        n, gone, spans, kept = wanted.pop(r["doc_id"])
+        assert (r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["kept"])) == (n, gone, spans, kept)
+    assert not wanted
+
+
+def test_suffix_dedup_parts_hot_hashes():
+    pa, rows = common.pa, boilerplate(4_000)
+    block = lambda b: pa.table({"block": pa.array([b] * 2_000, pa.int32()), "doc_id": [r[0] for r in rows[b::2]], "text": [r[1] for r in rows[b::2]]})
+    blocks, hot = [block(0), block(1)], (8,) if hasattr(suffixes, "HOT") else ()
+    shared = common.count_classes(pa.concat_tables([suffixes._offer_hashes(50, 1)(t) for t in blocks]))
+    most = Counter()
+    for b, t in enumerate(blocks):
+        sent = suffixes._offer_pieces(50, 1, *hot)(t, shared.filter(common.pa.compute.equal(shared["block"], b)))
+        for keys in sent["keys"].to_pylist():
+            most.update(np.frombuffer(keys, np.uint32).tolist())
+    assert 1 < max(most.values()) <= 1 << 7
+
+
 @given(st.lists(st.lists(st.integers(1, 3), max_size=9), min_size=1, max_size=4))
 @settings(max_examples=300, deadline=None)
 def test_suffix_order(pieces):
