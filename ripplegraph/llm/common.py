@@ -238,6 +238,11 @@ def arrow_table(rows: list[tuple], fields: list[tuple]) -> pa.Table:
     return pa.table({n: pa.array(list(c), t) for (n, t), c in zip(fields, columns)})
 
 
+def arrow_batch(rows: list[tuple], fields: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [[] for _ in fields]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for (_, t), c in zip(fields, columns)], names=[n for n, _ in fields])
+
+
 def count_classes(table: pa.Table) -> pa.Table:
     """For each hash offered to a bucket, the doubling class of the number of documents that hold it: 0 for one."""
     blocks, ids = table["block"].to_pylist(), [unpacked(x) for x in table["ids"].to_pylist()]

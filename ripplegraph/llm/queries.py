@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplegraph.llm import decontam, jaccard, langid, packing, quality, rules, shards, suffixes, urls, warc
+from ripplegraph.llm import bpe, decontam, fim, jaccard, langid, packing, phrases, quality, rules, shards, suffixes, urls, warc
 from ripplegraph.llm.common import read
 
 RULES = [
@@ -81,17 +81,34 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary("word_bpe_49k.json")
+    found = bpe.decoded(bpe.encoded(read(spark, sf_dir, "documents"), path), path)
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fim.transformed(read(spark, sf_dir, "documents"))
+    digests = [F.sha2(c, 256).alias(n) for c, n in ((F.col("output"), "output_sha256"), (fim.restored(), "restored_sha256"))]
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_warc, op2_best_fit_packing, op3_suffix_dedup, op4_language_id, op5_decontamination, op6_quality_rules, op7_jaccard_join,
-        op8_url_filters, op9_quality_classifier, op10_sharding,
+        op8_url_filters, op9_quality_classifier, op10_sharding, op11_bpe, op12_phrases, op13_fill_in_middle,
     )
 }
 _DUCK_WORDS = (
     "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
     "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 )
+_DUCK_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _DUCK_FITS = "((host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '{1}'))"
 
 ORACLE: dict[str, str] = {
@@ -126,4 +143,39 @@ ORACLE: dict[str, str] = {
                CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' ELSE 'allow' END AS verdict
         FROM ruled
     """,
+    "op12_phrases": f"""
+        WITH piece AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_DUCK_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents),
+        worded AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS ws FROM piece),
+        gram AS (SELECT lang, list_slice(ws, i, i + k - 1) AS g, k FROM (
+            SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM worded, (VALUES (1), (2), (3)) AS v(k))),
+        f AS (SELECT lang, g, k, count(*)::HUGEINT AS a FROM gram GROUP BY ALL),
+        total AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+        cand AS (SELECT * FROM f WHERE k > 1 AND a >= 10),
+        longer AS (SELECT lang, g, max(a) AS most FROM (
+            SELECT lang, g[1:2] AS g, a FROM cand WHERE k = 3 UNION ALL SELECT lang, g[2:3], a FROM cand WHERE k = 3) GROUP BY ALL),
+        kept AS (SELECT cand.* FROM cand LEFT JOIN longer USING (lang, g) WHERE k = 3 OR most IS NULL OR 100 * most < 50 * a),
+        cut AS (SELECT lang, g, k, a, unnest(range(1, k)) AS c FROM kept),
+        way AS (SELECT cut.lang, cut.g, cut.a, c, l.a AS l, r.a AS r, (1000000 * cut.a * cut.a) // (l.a * r.a) AS score
+                FROM cut JOIN f l ON l.lang = cut.lang AND l.g = cut.g[1:c] JOIN f r ON r.lang = cut.lang AND r.g = cut.g[c + 1:cut.k]),
+        least AS (SELECT * FROM way QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, c) = 1),
+        best AS (SELECT *, array_to_string(g, ' ') AS phrase,
+                        row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM least)
+        SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+        FROM best JOIN total USING (lang) WHERE rank <= 2000
+    """,
+    "op13_fill_in_middle": """
+        WITH drawn AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        units AS (SELECT doc_id, t, regexp_extract_all(t, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS u,
+                         [('0x' || substr(h, 8 * i + 1, 8))::BIGINT for i in range(4)] AS h FROM drawn),
+        formed AS (SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 50 THEN 'plain'
+                                  WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form,
+                          least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS low, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS high FROM units),
+        cut AS (SELECT *, coalesce(array_to_string(u[1:low], ''), '') AS p, coalesce(array_to_string(u[low + 1:high], ''), '') AS m,
+                       coalesce(array_to_string(u[high + 1:], ''), '') AS s FROM formed)
+        SELECT doc_id, CAST(len(u) AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                                ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+        FROM cut
+    """,
 }
