@@ -6,6 +6,7 @@ import tempfile
 import zipfile
 from collections.abc import Iterator
 from functools import cache
+from itertools import count, islice
 from math import ceil, sqrt
 from pathlib import Path
 
@@ -44,6 +45,17 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def quoted(name: str) -> str:
+    """A column name as an expression, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def free_names(df: DataFrame, n: int) -> list[str]:
+    """Column names that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    return list(islice((name for name in map("_own{}".format, count()) if name not in taken), n))
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Bytes of all texts, for choosing numbers of partitions."""
     return docs.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]

@@ -16,7 +16,7 @@ Only comparisons inside a component that is already connected are left out.
 
 from __future__ import annotations
 
-from hashlib import blake2b
+from hashlib import blake2b, md5
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplegraph.llm import common
+from ripplegraph.llm.common import free_names, quoted
 from ripplegraph.llm.components import components
+from ripplegraph.plans.skew import is_small
 from ripplegraph.session import materialise
 
 BLOCK_BYTES = 8 << 20
@@ -33,7 +35,7 @@ BUCKET_BYTES = 16 << 20
 GROUP = 1_024
 # Asks that one task compares with a group.
 OPENED = 2_048
-_SETS = "doc_id long, n_shingles long, sig binary, tokens binary, prefix array<long>, least long, splits int"
+_SETS = "doc_id long, text_key binary, n_shingles long, sig binary, tokens binary, prefix array<long>, least long, splits int"
 
 
 def _block_tokens(table: pa.Table, width: int) -> tuple[pa.Table, list[np.ndarray], np.ndarray, np.ndarray]:
@@ -55,7 +57,7 @@ def _offers(buckets: int, width: int):
     return offer
 
 
-def _judged(buckets: int, width: int, percent: int):
+def _judged(buckets: int, width: int, percent: int, nameless: bool):
     """The documents of a block with their set sizes; sets only of those that may have a partner."""
 
     def judge(docs: pa.Table, replies: pa.Table) -> pa.Table:
@@ -63,20 +65,20 @@ def _judged(buckets: int, width: int, percent: int):
         if docs.num_rows:
             table, sets, tokens, _ = _block_tokens(docs, width)
             classes = common.classes_of(tokens, replies, buckets)
-            for doc_id, own in zip(table["doc_id"].to_pylist(), sets):
-                n = len(own)
+            for doc_id, text, own in zip(table["doc_id"].to_pylist(), common.as_bytes(table["text"]), sets):
+                n, text_key = len(own), md5(text).digest()
                 need = -(-percent * n // 100)
                 rare = classes[np.searchsorted(tokens, own)]
                 shared = int((rare > 0).sum())
-                if doc_id is None or n == 0 or shared < need:
-                    out.append((doc_id, n, None, None, None, None, None))
+                if (doc_id is None and not nameless) or n == 0 or shared < need:
+                    out.append((doc_id, text_key, n, None, None, None, None, None))
                     continue
                 order = np.lexsort((own, rare))[n - shared : n - need + 1]
                 least = int(np.flatnonzero(rare > 0)[0])
                 splits = 1 << max(0, int(rare[least]) - GROUP.bit_length() + 1)
                 sig = blake2b(own.tobytes(), digest_size=16).digest()
-                out.append((doc_id, n, sig, own.tobytes(), own[order].view(np.int64), int(own[least].view(np.int64)), splits))
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int32()]
+                out.append((doc_id, text_key, n, sig, own.tobytes(), own[order].view(np.int64), int(own[least].view(np.int64)), splits))
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int32()]
         return common.arrow_table(out, list(zip([f.split()[0] for f in _SETS.split(", ")], kinds)))
 
     return judge
@@ -135,27 +137,22 @@ def _links_to_queries(percent: int):
     return link
 
 
-def shingle_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Every document with its number of distinct shingles, and the set itself where a partner is possible."""
+def shingle_sets(docs: DataFrame, width: int, percent: int, nameless: bool = False) -> DataFrame:
+    """Every document with its number of distinct shingles, and the set itself where a partner is possible.
+
+    Documents without a doc_id take part only with ``nameless``. ``text_key`` is the MD5 digest of the text.
+    """
     common.prepare(docs.sparkSession)
     total = common.text_bytes(docs)
     blocks, buckets = common.parts_for(total, BLOCK_BYTES, 4), common.parts_for(total, BUCKET_BYTES, 4)
     dealt = common.in_blocks(docs, blocks)
     offers = dealt.groupBy("block").applyInArrow(_offers(buckets, width), common.OFFERS)
     replies = offers.groupBy("bucket").applyInArrow(common.count_classes, common.REPLIES)
-    return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_judged(buckets, width, percent), _SETS)
+    return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_judged(buckets, width, percent, nameless), _SETS)
 
 
-def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Documents with the size of their shingle set and the component of similar documents they belong to.
-
-    ``docs`` has doc_id and text; other columns are ignored. Words lie between ASCII white space, A-Z lower-cased; a
-    text with fewer than ``width`` words has all of them as one shingle. Two documents link when
-    100 * intersection >= percent * union. The component is named by its smallest doc_id.
-    Null and empty texts have no shingles and link with nothing; a null doc_id links with nothing and has no component;
-    each of several rows with one doc_id is judged by its own text; an empty table gives no rows.
-    """
-    sets = materialise(shingle_sets(docs, width, percent), "sets")
+def _placed(sets: DataFrame, percent: int) -> DataFrame:
+    """The rows of the stored ``sets`` that have a set, with the component that each is in."""
     kept = sets.where("sig is not null")
     # One node for each different set: exact copies are merged before any exchange of sets.
     merged = kept.groupBy("sig").agg(*[F.first(c).alias(c) for c in ("n_shingles", "tokens", "prefix", "least", "splits")])
@@ -171,12 +168,53 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
         higher = components(links).select(F.col("node").alias("component"), F.col("component").alias("top"))
         labels = labels.join(higher, "component", "left").select("node", "grp", F.coalesce("top", "component").alias("component"))
         labels = materialise(labels, "labels")
-    placed = kept.select("doc_id", "n_shingles", "sig").join(labels.select(F.col("node").alias("sig"), "component"), "sig")
+    return kept.select("doc_id", "text_key", "n_shingles", "sig").join(labels.select(F.col("node").alias("sig"), "component"), "sig")
+
+
+def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """Documents with the size of their shingle set and the component of similar documents they belong to.
+
+    ``docs`` has doc_id and text; other columns are ignored. Words lie between ASCII white space, A-Z lower-cased; a
+    text with fewer than ``width`` words has all of them as one shingle. Two documents link when
+    100 * intersection >= percent * union. The component is named by its smallest doc_id.
+    Null and empty texts have no shingles and link with nothing; a null doc_id links with nothing and has no component;
+    each of several rows with one doc_id is judged by its own text; an empty table gives no rows.
+    """
+    sets = materialise(shingle_sets(docs, width, percent), "sets")
+    placed = _placed(sets, percent)
     smallest = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     linked = placed.join(smallest, "component").select("doc_id", "n_shingles", "component_id")
     return linked.unionByName(sets.where("sig is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` with all their columns, one of each component of similar texts.
+
+    Rows are told apart by doc_id and text, never by doc_id alone: rows that share a doc_id are judged each by its own
+    text, and rows without a doc_id are linked like others. Of a component the row with the smallest doc_id stays, among equal
+    ids that with the smallest digest of its text; a row without a doc_id stays only where no member has one. Of rows
+    with the same doc_id and text one stays, any of them. Null and empty texts, and texts without words, all stay.
+    """
+    sets = materialise(shingle_sets(docs, width, percent, nameless=True), "sets")
+    placed = _placed(sets, percent)
+    counted = placed.groupBy("component", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("copies"))
+    member = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key", "copies")
+    counted = materialise(counted.select("component", member.alias("member")), "members")
+    first = counted.groupBy("component").agg(F.min("member").alias("first"))
+    # all but the first go; of the first too, if it is there several times, to come back once
+    told = counted.join(first, "component").withColumn("stays", F.col("member") == F.col("first"))
+    told = told.where(~F.col("stays") | (F.col("member.copies") > 1))
+    marked = told.select(F.col("member.doc_id").alias("doc_id"), F.lower(F.hex("member.text_key")).alias("text_key"), "stays")
+    own_id, own_key, stays = free_names(docs, 3)
+    marked = materialise(marked.toDF(own_id, own_key, stays), "marked")
+    if is_small(marked):  # rows of some 50 bytes; otherwise the documents meet them in a shuffle
+        marked = F.broadcast(marked)
+    same = F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.md5(F.col("text").cast("binary")) == F.col(own_key))
+    rest = docs.join(marked, same, "left_anti")
+    once = docs.join(marked.where(stays), same).groupBy(own_id, own_key).agg(F.first(F.struct(*[F.col(quoted(c)) for c in docs.columns])).alias(stays))
+    return rest.unionByName(once.select(f"{stays}.*"))
+
+
 def _qualifying(nodes: DataFrame, labels: DataFrame, percent: int, hub: str | None) -> DataFrame:
     """Who is to ask which group (grp, node, component): what the token-group matrix lets through.
 

@@ -173,7 +173,7 @@ def packed(pieces: DataFrame, capacity: int = 2048, full: float = 0.99) -> DataF
 
     ``pieces`` has doc_id, piece and length (from 1 to ``capacity``; a longer one is an error, since it fits nowhere);
     other columns are ignored. Bins filled to the share ``full`` are final after each round. Rounds
-    end when one task holds what is left, or when a round saves less than one bin in a hundred.
+    end when one task holds what is left, or when a round saves no bin.
     A piece that is there twice is packed twice; a null doc_id is packed like any other; no pieces give no rows.
     """
     return _placed(pieces, ["doc_id", "piece"], capacity, full)
@@ -200,7 +200,7 @@ def _placed(pieces: DataFrame, names: list[str], capacity: int, full: float = 0.
         done.append(bins.where(final))
         rest = bins.where(~final)
         before, count, each = count, (0 if tasks == 1 else rest.count()), ROUND_ITEMS
-        if count > 0.99 * before:
+        if count >= before:
             done.append(rest)
             break
     every = done[0]

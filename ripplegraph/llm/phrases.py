@@ -397,11 +397,16 @@ def collocations(docs: DataFrame, least: int = 10, share: int = 50, top: int = 2
 
 
 def _best(scored: DataFrame, top: int) -> DataFrame:
-    """The first rows of each language: first among shares of its rows by hash, then among the best of these."""
+    """The first rows of each language: first among shares of its rows by hash, then among the best of these, until the
+    rest fits one task or no longer shrinks by half, having many languages."""
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    shares = common.parts_for(scored.count(), RANKED)
-    if shares > 1:
-        scored = scored.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(shares)))
+    each, left = max(RANKED, 4 * top), scored.count()
+    while left > each:
+        share = F.pmod(F.xxhash64("phrase", F.lit(left)), F.lit(common.parts_for(left, each)))
         within = F.row_number().over(Window.partitionBy("lang", "share").orderBy(*order))
-        scored = scored.withColumn("rank", within).where(F.col("rank") <= top).drop("rank", "share")
+        scored = scored.withColumn("share", share).withColumn("place", within).where(F.col("place") <= top)
+        scored = materialise(scored.drop("place", "share"), "best")
+        before, left = left, scored.count()
+        if 2 * left > before:
+            break
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)

@@ -224,6 +224,8 @@ def filtered(docs: DataFrame, labels: DataFrame, loss: float = LOSS) -> DataFram
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(shared.value.kept(stats.text_statistics(common.as_bytes(batch["text"])))))
+            yield batch.filter(pa.array(shared.value.kept(stats.text_statistics(common.as_bytes(batch[text])))))
 
-    return docs.mapInArrow(keep, docs.schema)
+    # under plain names: a task takes no columns with dots in their names
+    text, plain = f"x{docs.columns.index('text')}", docs.toDF(*[f"x{k}" for k in range(len(docs.columns))])
+    return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)

@@ -469,7 +469,7 @@ def without_repeats(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = (
 
     ``docs`` has doc_id and text. Returns doc_id, n_bytes, n_removed, spans (the removed runs, as byte offsets), kept (the
     remaining bytes; ``as_text``: as a string, without characters that lost some of their bytes) and the columns
-    named in ``keep``; other columns are ignored. Strings are judged on the texts as given and never cross documents;
+    named in ``keep``, with underscores before names that the result has already; other columns are ignored. Strings are judged on the texts as given and never cross documents;
     overlapping strings all count. A null text is empty; texts shorter than ``length`` stay whole; repeats
     within one document, or between rows with the same doc_id, stay; rows without a doc_id stay whole and make no
     other text shorter; an empty table gives no rows.
@@ -479,7 +479,7 @@ def without_repeats(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = (
     common.prepare(docs.sparkSession)
     total = common.text_bytes(docs)
     blocks, buckets = common.parts_for(total, BLOCK_BYTES, 4), common.parts_for(total, BUCKET_BYTES, 4)
-    slim = docs.select("doc_id", "text", *[F.col(c).alias(f"x{k}") for k, c in enumerate(keep)])
+    slim = docs.select("doc_id", "text", *[F.col(common.quoted(c)).alias(f"x{k}") for k, c in enumerate(keep)])
     dealt = common.in_blocks(slim, blocks, *slim.columns[2:])
     hashes = dealt.groupBy("block").applyInArrow(_offer_hashes(length, buckets), common.OFFERS)
     shared = hashes.groupBy("bucket").applyInArrow(common.count_classes, common.REPLIES)
@@ -493,4 +493,9 @@ def without_repeats(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = (
     for field in slim.schema[2:]:
         schema = schema.add(field.name, field.dataType)
     found = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_cleaned(length, buckets, HOT, len(keep), as_text), schema)
-    return found.withColumnsRenamed({f"x{k}": c for k, c in enumerate(keep)})
+    names = found.columns[: len(found.columns) - len(keep)]
+    for c in keep:
+        while c in names:
+            c = f"_{c}"
+        names.append(c)
+    return found.toDF(*names)

@@ -98,7 +98,6 @@ def test_packing(spark, texts):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(vocabulary())
-    tokenizer.encode_special_tokens = True
     ids = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for i, t in texts.items()}
     rows = rows_of(QUERIES["op2_best_fit_packing"](spark, SMALL))
     pieces, bins = {}, {}
@@ -268,11 +267,69 @@ def test_language_id_odd_texts(odd, none):
 
 
 def test_backing_off():
-    model = langid.LanguageModel(["a", "b"], {"one": (-1.0, -3.0)}, {"tw": (-2.0, -1.0), "t": (-9.0, -9.0)})
-    assert langid.word_scores(model, "one") == (-1.0, -3.0)
-    assert langid.word_scores(model, "two") == (-2.0, -1.0)
-    assert langid.word_scores(model, "xtx") == (-9.0, -9.0)
-    assert langid.word_scores(model, "xyz") == (0.0, 0.0)
+    unseen = {0: (-8.0, -8.0), 2: (-7.0, -7.0), 1: (-9.0, -9.0)}
+    model = langid.LanguageModel(["a", "b"], unseen, {0: {"one": ((0, 7.0), (1, 5.0))}, 2: {"tw": ((0, 5.0), (1, 6.0)), "wo": ((1, 2.0),)}, 1: {"t": ()}})
+    assert langid.word_scores(model, "one") == (0, ((0, 7.0), (1, 5.0)))
+    assert langid.word_scores(model, "two") == (2, ((0, 2.5), (1, 4.0)))
+    assert langid.word_scores(model, "xtx") == (1, ())
+    assert langid.word_scores(model, "xyz") == (None, ())
+
+
+def plain_languages(rows, texts, most_words, most_grams):
+    """Predictions by plain counting: rates with half an occurrence added, the commonest entries of each language."""
+    from math import exp, log
+
+    counts = {}
+    for lang, text in rows:
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            counts.setdefault(0, {}).setdefault(lang, Counter())[w] += 1
+            for n in (5, 4, 3, 2, 1):
+                for i in range(len(w) + 3 - n):
+                    counts.setdefault(n, {}).setdefault(lang, Counter())[f"^{w}$"[i : i + n]] += 1
+    langs = sorted({lang for own in counts.values() for lang in own})
+    kept, rate = {}, {}
+    for kind, own in counts.items():
+        most = most_grams if kind else most_words
+        kept[kind] = {e for c in own.values() for e, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:most]}
+        every = len({e for c in own.values() for e in c})
+        for lang in langs:
+            c = own.get(lang, Counter())
+            rate[kind, lang] = {e: log((c[e] + 0.5) / (sum(c.values()) + 0.5 * every)) for e in kept[kind]}
+    out = []
+    for text in texts:
+        words = re.findall(r"[^\W\d_]+", (text or "").lower())
+        sums = dict.fromkeys(langs, 0.0)
+        for w in words:
+            if w in kept[0]:
+                for lang in langs:
+                    sums[lang] += rate[0, lang][w]
+                continue
+            for n in (5, 4, 3, 2, 1):
+                known = [g for i in range(len(w) + 3 - n) if (g := f"^{w}$"[i : i + n]) in kept[n]]
+                if known:
+                    for lang in langs:
+                        sums[lang] += sum(rate[n, lang][g] for g in known) / len(known)
+                    break
+        best = min(langs, key=lambda lang: (-sums[lang], lang))
+        out.append((best, 1 / sum(exp((sums[lang] - sums[best]) / len(words)) for lang in langs)) if words else ("und", 0.0))
+    return out
+
+
+@pytest.mark.parametrize("most", [(10_000, 5_000), (40, 25)])
+def test_language_id_by_plain_counting(spark, monkeypatch, most):
+    """The whole fit and every score; with few entries kept, most words are backed off."""
+    monkeypatch.setattr(langid, "WORDS", most[0])
+    monkeypatch.setattr(langid, "GRAMS", most[1])
+    monkeypatch.setattr(langid, "COUNTED", 500)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("doc_id < 120")
+    rare = spark.createDataFrame([(1000, "zyx wvu zyx", "rare"), (1001, "x" * 30_000 + " zyxwvu", "rare")], "doc_id long, text string, lang string")
+    docs = docs.select("doc_id", "text", "lang").unionByName(rare).repartition(5)
+    rows = sorted((r["doc_id"], r["lang"], r["text"]) for r in docs.collect())
+    found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in rows_of(langid.predict(docs, langid.fit(docs)))}
+    wanted = plain_languages([(lang, t) for _, lang, t in rows], [t for *_, t in rows], *most)
+    for (i, *_), (lang, score) in zip(rows, wanted):
+        assert found[i][0] == lang and abs(found[i][1] - score) < 1e-9
+    assert found[1000][0] == "rare"
 
 
 # ---- 5
