@@ -1,4 +1,8 @@
-"""Preparing a corpus in five stages. Each takes the documents that the stage before it left."""
+"""Preparing a corpus in five stages. Each takes the documents that the stage before it left.
+
+Rows are told apart by doc_id and text together, so that rows with one doc_id, or with none, neither hide nor remove one
+another. Tables may have any further columns, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -6,40 +10,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplegraph.llm import decontam, jaccard, packing, rules, suffixes
-from ripplegraph.llm.common import prepare, read
+from ripplegraph.llm.common import free_names, prepare, quoted, read
 from ripplegraph.llm.queries import vocabulary
 from ripplegraph.session import materialise
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep; null and empty texts have no words and go. Rows are judged one by one."""
     return rules.filtered(docs, read(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the smallest doc_id; rows without a doc_id stay."""
-    found = jaccard.similar_documents(docs)
-    gone = materialise(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of similar texts: the smallest doc_id, a missing one last. Texts without words stay."""
+    return jaccard.one_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without strings of 50 bytes that a document with a smaller doc_id has; n_chars is counted anew."""
+    """Texts without strings of 50 bytes that a document with a smaller doc_id has; n_chars, if there, is counted anew.
+
+    A null text becomes empty; rows with one doc_id take nothing from each other, and rows without a doc_id stay whole.
+    """
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    cleaned = suffixes.without_repeats(docs, 50, tuple(others), as_text=True).withColumnRenamed("kept", "text")
-    return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    slim = docs.select("doc_id", "text", *[F.col(quoted(c)).alias(f"x{k}") for k, c in enumerate(others)])
+    cleaned = suffixes.without_repeats(slim, 50, tuple(slim.columns[2:]), as_text=True)
+    made = {"doc_id": F.col("doc_id"), "text": F.col("kept")} | {c: F.col(f"x{k}") for k, c in enumerate(others)}
+    if "n_chars" in docs.columns:
+        made["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
+    return cleaned.select(*[made[c].alias(c) for c in docs.columns])
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
-    found = decontam.contamination(docs, read(spark, sf_dir, "benchmark"))
-    hit = materialise(found.where("contaminated").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")), "contaminated")
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("h"))
-    return docs.join(hit, same, "left_anti").select(*docs.columns)
+    """Rows in whose text no window of a benchmark item occurs; null and empty texts stay, rows with one doc_id are judged apart."""
+    found = decontam.contamination(docs.select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    doc_id, text_hash = free_names(docs, 2)
+    hit = materialise(found.where("contaminated").select("doc_id", "text_hash").distinct().toDF(doc_id, text_hash), "contaminated")
+    same = F.col("doc_id").eqNullSafe(F.col(doc_id)) & (F.xxhash64("text") == F.col(text_hash))
+    return docs.join(hit, same, "left_anti")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents' ids, with the sequence that each is in and its place there."""
+    """The pieces of the documents' ids, with the sequence that each is in and its place there.
+
+    A null text counts as empty and gives one piece; repeated rows and rows without a doc_id are packed each on its own.
+    """
     pieces = packing.tokenized(docs, vocabulary())
     return packing.packed_with(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
