@@ -341,10 +341,10 @@ def gnn_infer(
             both = pooled.join(told, "news_id")
             pooled = linear_layer(both, ["news_id"], inputs + _names("n", net.news.outputs), net.joined, "g", relu=True)
             inputs = _names("g", net.joined.outputs)
-    return _classify(linear_layer(pooled, ["news_id"], inputs, net.classifier, "z"))
+    return classify(linear_layer(pooled, ["news_id"], inputs, net.classifier, "z"))
 
 
-def _classify(scores: DataFrame) -> DataFrame:
+def classify(scores: DataFrame) -> DataFrame:
     """Log-softmax of the two scores; equal scores give class 0."""
     top = F.greatest("z0", "z1")
     norm = top + F.log(F.exp(F.col("z0") - top) + F.exp(F.col("z1") - top))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import IDF, HashingTF, IDFModel, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from ripplegraph.functions.scalars import literal_count
 from ripplegraph.plans.ordering import position
 from ripplegraph.plans.skew import hot_keys, salted_join
+from ripplegraph.session import materialise
 
 # Fixed character classes in the sense of Unicode: white space (as characters and as a class) and word characters.
 BLANKS = (
@@ -189,14 +191,27 @@ def encode_texts(
 ) -> DataFrame:
     """Vectors from a caller's batch encoder (a list of texts in, a 2-D array out), one Arrow batch at a time."""
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = batch[keys].copy()
-            out["embedding"] = [[float(v) for v in row] for row in encoder(batch["text"].tolist())]
-            yield out
+            if batch.num_rows:
+                rows = np.ascontiguousarray(encoder(batch["text"].to_pylist()), np.float32)
+                ends = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1], pa.int32())
+                vectors = pa.ListArray.from_arrays(ends, pa.array(rows.ravel()))
+                yield pa.RecordBatch.from_arrays([*[batch[k] for k in keys], vectors], names=[*keys, "embedding"])
 
     rows = df.select(*keys, _text("text").alias("text"))
-    return rows.mapInPandas(encode, f"{key_schema}, embedding array<float>")
+    return rows.mapInArrow(encode, f"{key_schema}, embedding array<float>")
+
+
+def node_vectors(nodes: DataFrame, tweets: DataFrame, names: list[str], dimensions: int = DIMENSIONS) -> DataFrame:
+    """Every node's ``state``: its columns ``names`` followed by the vector of its text.
+
+    Texts are looked up by tweet id; the news node's text names the article. Inverse document frequencies are those of these texts.
+    """
+    texts = materialise(text_lookup(nodes, tweets), "texts")
+    key = ["news_id", "node_idx"]
+    vectors = text_embedding(texts, fit_idf(texts, dimensions), key, dimensions=dimensions)
+    return feature_concat(nodes, vectors, key, names).select(*key, F.col("features").alias("state"))
 
 
 def feature_concat(structural: DataFrame, vectors: DataFrame, on: list[str], names: list[str]) -> DataFrame:

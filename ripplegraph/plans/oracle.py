@@ -474,6 +474,7 @@ oracle("rank_features", "importance", f"SELECT model, {_RANK}, feature FROM impo
 
 oracle("gcn_norm", "weights", f"SELECT news_id, src_idx, dst_idx, {rs('weight')} FROM weights")
 oracle("gcn_propagate", "round2", f"SELECT news_id, node_idx, {rs(*X)} FROM round2")
+oracle("gcn_propagate_arrays", "round2", f"SELECT news_id, node_idx, {', '.join(r(f'round({x}, 12)', x) for x in X)} FROM round2")
 oracle("sage_mean", "nodes graph_e", f"""SELECT n.news_id, n.node_idx, {', '.join(r(f'any_value(n.{x})', x) for x in X)},
     {', '.join(r(f'coalesce(avg(s.{x}), 0)', f'mean_{x}') for x in X)} FROM nodes n
     LEFT JOIN graph_e e ON e.news_id = n.news_id AND e.dst_idx = n.node_idx
@@ -547,6 +548,7 @@ def _classes(scores: str) -> str:
 
 
 oracle("gnn_infer_small", "scores", _classes("scores"))
+oracle("gnn_infer_arrays", "scores", _classes("scores"))
 oracle("gnn_infer_simple", "simple_scores", _classes("simple_scores"))
 oracle("graph_embeddings_small", "conv2 graphs", f"""SELECT c.news_id, any_value(g.label) AS label, {', '.join(r(f'avg(c.{h})', h) for h in H)}
     FROM conv2 c JOIN graphs g USING (news_id) GROUP BY 1""")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ripplegraph.operators import analysis, cascades, checks, edges, features, graph, learning, metrics, structure, text
+from ripplegraph.operators import analysis, cascades, checks, edges, features, graph, learning, metrics, structure, text, vectors
 from ripplegraph.plans import build
 from ripplegraph.plans.ordering import union_all
 from ripplegraph.plans.skew import HotKeys
@@ -657,6 +657,33 @@ def gnn_infer_news(spark, sf_dir):
     return first.join(graph.gnn_infer(nodes, joined, MATRIX, simple).select("news_id", "p_fake", "pred"), "news_id")
 
 
+def _text_nodes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Nodes with structure features and text vectors in one array, and all edges."""
+    nodes, joined = _graph(spark, sf_dir)
+    return materialise(text.node_vectors(nodes, adapters.tweets(spark, sf_dir), MATRIX), "vectors"), joined
+
+
+@query
+def gnn_infer_text(spark, sf_dir):
+    """The forward pass on structure features and text vectors, 392 numbers per node."""
+    return vectors.vector_infer(*_text_nodes(spark, sf_dir), pooled_network(len(MATRIX) + text.DIMENSIONS))
+
+
+@query
+def gnn_infer_arrays(spark, sf_dir):
+    """The small forward pass with node states in arrays."""
+    nodes, joined = _graph(spark, sf_dir)
+    return vectors.vector_infer(nodes.select(*graph.NODE, F.array(*MATRIX).alias("state")), joined, small_network())
+
+
+@query
+def gcn_propagate_arrays(spark, sf_dir):
+    """Two rounds on node states in arrays; no state travels between them."""
+    nodes, joined = _graph(spark, sf_dir)
+    state = vectors.vector_propagate(nodes.select(*graph.NODE, F.array(*MATRIX).alias("state")), joined, rounds=2)
+    return graph.spread_array(state, graph.NODE, "state", len(MATRIX)).withColumns({n: F.round(n, 12) for n in MATRIX})
+
+
 @query
 def graph_embeddings(spark, sf_dir):
     graphs = cascades.graph_table(adapters.tweets(spark, sf_dir))
@@ -699,15 +726,17 @@ def fit_structure(spark, sf_dir):
     return metrics.metric_records(learning.predict_graphs(model, parts["test"], A), "fit")
 
 
+def _text_pooled(spark, sf_dir) -> DataFrame:
+    """Graphs by node states of structure and text, propagated twice: mean and maximum as one vector."""
+    pooled = vectors.vector_pool(vectors.vector_propagate(*_text_nodes(spark, sf_dir), rounds=2))
+    return pooled.select("news_id", array_to_vector("state").alias("pooled"))
+
+
 @query
 def fit_structure_text(spark, sf_dir):
-    """The same on structure features followed by the text vector of the graph's tweets."""
-    pooled, names = _pooled(spark, sf_dir)
-    tweets = adapters.tweets(spark, sf_dir)
-    vectors = text.text_embedding(tweets, text.fit_idf(tweets), ["news_id"], per_row=False)
-    both = pooled.join(vectors.select("news_id", array_to_vector("embedding").alias("embedding")), "news_id")
-    parts = _parts(spark, sf_dir, both)
-    model = learning.fit_structure_text(parts["train"], names, "embedding", width=text.DIMENSIONS)
+    """The same with a text vector on every node next to its structure features."""
+    parts = _parts(spark, sf_dir, _text_pooled(spark, sf_dir))
+    model = learning.fit_structure_text(parts["train"], [], "pooled", width=2 * (len(MATRIX) + text.DIMENSIONS))
     return metrics.metric_records(learning.predict_graphs(model, parts["test"], B), "fit")
 
 
