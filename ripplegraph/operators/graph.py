@@ -12,10 +12,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ripplegraph.plans.skew import HotKeys, hot_key_sets, hot_keys, salted_join
+from ripplegraph.plans.skew import HotKeys, hot_key_sets, hot_keys, salted_join, split_hot
 from ripplegraph.session import materialise
 
 NODE = ["news_id", "node_idx"]
@@ -131,29 +131,40 @@ def _weighted(names: list[str], weights) -> Column:
     return sum((F.col(n) * F.lit(float(w)) for n, w in zip(names, weights)), F.lit(0.0))
 
 
+def _leaky(value: Column) -> Column:
+    return F.when(value > 0, value).otherwise(value * F.lit(LEAK))
+
+
+def _attended(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Weighted means per target of rows that know the target's part ``_d`` and its largest source part ``_top``."""
+    share = F.exp(_leaky(F.col("_s") + F.col("_d")) - _leaky(F.col("_top") + F.col("_d")))
+    summed = rows.withColumn("_w", share).groupBy("news_id", F.col("dst_idx").alias("node_idx")).agg(
+        F.sum("_w").alias("_total"), *[F.sum(F.col("_w") * F.col(n)).alias(n) for n in names]
+    )
+    return summed.select(*NODE, *[(F.col(n) / F.col("_total")).alias(n) for n in names])
+
+
 def _gat_round(
     state: DataFrame, links: DataFrame, names: list[str], attention, hot: HotKeys, hot_targets: HotKeys
 ) -> DataFrame:
     """The leaky score grows with its argument, so the largest score of a target follows from the largest
-    source part: one grouping finds it, and no exponential can overflow.
+    source part, and no exponential can overflow. A target's own part comes with its link to itself.
+
+    The rows sent to a target are exchanged once: largest part, own part and sums are all taken where they have met.
+    Only targets with very many links get a grouping that combines before its exchange, and a join back.
     """
     scored = state.select(
         *NODE, *names, _weighted(names, attention[0]).alias("_s"), _weighted(names, attention[1]).alias("_t")
     )
-
-    def leaky(value: Column) -> Column:
-        return F.when(value > 0, value).otherwise(value * F.lit(LEAK))
-
     sent = salted_join(links, _as_source(scored, "_s", "_t", *names), ["news_id", "src_idx"], hot, ["dst_idx"])
-    targets = sent.groupBy("news_id", "dst_idx").agg(
-        F.max("_s").alias("_top"), F.max(F.when(F.col("own"), F.col("_t"))).alias("_d")
-    )
-    met = salted_join(sent, targets, ["news_id", "dst_idx"], hot_targets, ["src_idx"])
-    share = F.exp(leaky(F.col("_s") + F.col("_d")) - leaky(F.col("_top") + F.col("_d")))
-    summed = met.withColumn("_w", share).groupBy("news_id", F.col("dst_idx").alias("node_idx")).agg(
-        F.sum("_w").alias("_total"), *[F.sum(F.col("_w") * F.col(n)).alias(n) for n in names]
-    )
-    return summed.select(*NODE, *[(F.col(n) / F.col("_total")).alias(n) for n in names])
+    own = F.when(F.col("own"), F.col("_t"))
+    met, many = (sent, None) if hot_targets.empty else split_hot(sent, hot_targets)
+    here = Window.partitionBy("news_id", "dst_idx")
+    found = _attended(met.withColumns({"_top": F.max("_s").over(here), "_d": F.max(own).over(here)}), names)
+    if many is None:
+        return found
+    targets = many.groupBy("news_id", "dst_idx").agg(F.max("_s").alias("_top"), F.max(own).alias("_d"))
+    return found.unionByName(_attended(salted_join(many, targets, ["news_id", "dst_idx"], hot_targets, ["src_idx"]), names))
 
 
 def gat_attention(
@@ -301,8 +312,7 @@ def node_states(
             both = Layer(np.hstack([net.neighbours.weight, layer.weight]), net.neighbours.offsets())
             state = linear_layer(heard, keep, [f"m_{n}" for n in inputs] + inputs, both, "h", relu)
         elif net.convolution == "gat":
-            # The round reads its input twice.
-            mapped = materialise(linear_layer(state, keep, inputs, Layer(layer.weight), "h"))
+            mapped = linear_layer(state, keep, inputs, Layer(layer.weight), "h")
             hot_targets = hot_keys(edges, ["news_id", "dst_idx"])
             summed = _gat_round(mapped, links, names_out, net.attention, hot, hot_targets)
             state = _biased(summed, keep, names_out, layer.offsets(), relu)

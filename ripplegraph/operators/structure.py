@@ -66,34 +66,80 @@ def node_degree(tweets: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
+def _anchors(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """For every tweet the nearest ancestor, itself included, that doesn't have just one source, and the hops from there.
+
+    Columns ``news_id, tweet_id, anchor, hops, kind``: the kind of the anchor is ``root`` (nobody's target) or ``many``
+    (several sources). A tweet below a circle of single sources has none. Pointers to the single source double until they meet
+    an anchor: round k settles the tweets up to 2**k hops below theirs, so the rounds grow with the logarithm of the depth.
+    A tree has tweets at all its depths, so a round that settles nothing leaves circles only.
+    """
+    key = ["news_id", "tweet_id"]
+    ups = links.groupBy("news_id", F.col("target").alias("tweet_id")).agg(F.min("source").alias("up"), F.max("source").alias("other"))
+    kind = F.when(F.col("up").isNull(), "root").when(F.col("up") != F.col("other"), "many")
+    marked = materialise(nodes.distinct().join(ups, key, "left").select(*key, "up", kind.alias("kind")), "pointers")
+    settled = marked.where(F.col("kind").isNotNull()).select(*key, F.col("tweet_id").alias("anchor"), F.lit(0).alias("hops"), "kind")
+    done, left = [settled], None
+    # where each tweet points, how far that is, and the kind if that is an anchor
+    pointed = marked.select(*key, F.coalesce(F.when(F.col("kind").isNull(), F.col("up")), "tweet_id").alias("anchor"),
+                            F.when(F.col("kind").isNull(), 1).otherwise(0).alias("hops"), "kind")
+    open_ = pointed.where(F.col("kind").isNull())
+    while True:
+        ahead = pointed.select("news_id", F.col("tweet_id").alias("anchor"), F.col("anchor").alias("_to"), F.col("hops").alias("_more"), F.col("kind").alias("_kind"))
+        moved = open_.drop("kind").join(ahead, ["news_id", "anchor"])
+        moved = materialise(moved.select(*key, F.col("_to").alias("anchor"), (F.col("hops") + F.col("_more")).alias("hops"), F.col("_kind").alias("kind")), "pointers")
+        done.append(moved.where(F.col("kind").isNotNull()))
+        open_ = moved.where(F.col("kind").isNull())
+        before, left = left, open_.count()
+        if left == 0 or left == before:
+            return union_all(done)
+        # settled tweets are looked up too: those who point at them go on to their anchors
+        pointed = union_all([*done, open_])
+
+
+def _many_source_depths(links: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Depth of the tweets with several sources that a root leads to: ``news_id, anchor, depth``.
+
+    Chains of single sources are contracted to one link each, as long as the chain; the least sum of lengths is passed on from the
+    tweets whose depth fell in the round before.
+    """
+    ends = anchors.where("kind = 'many' and hops = 0").select("news_id", F.col("tweet_id").alias("target"))
+    above = anchors.select("news_id", F.col("tweet_id").alias("source"), F.col("anchor").alias("origin"), "hops", "kind")
+    into = links.join(ends, ["news_id", "target"]).join(above, ["news_id", "source"])
+    length = F.min(F.col("hops") + 1).alias("length")
+    contracted = materialise(into.groupBy("news_id", "origin", "kind", F.col("target").alias("anchor")).agg(length), "contracted")
+    key = ["news_id", "anchor"]
+    depths = materialise(contracted.where("kind = 'root'").groupBy(*key).agg(F.min("length").alias("depth")), "depths")
+    onward = contracted.where("kind = 'many'").select("news_id", "origin", "anchor", "length")
+    fresh = depths
+    while not fresh.isEmpty():
+        told = fresh.select("news_id", F.col("anchor").alias("origin"), "depth")
+        offered = onward.join(told, ["news_id", "origin"]).groupBy(*key).agg(F.min(F.col("depth") + F.col("length")).alias("offer"))
+        met = materialise(offered.join(depths, key, "left").where(F.col("depth").isNull() | (F.col("offer") < F.col("depth"))), "offers")
+        fresh = met.select(*key, F.col("offer").alias("depth"))
+        if not fresh.isEmpty():
+            depths = materialise(depths.join(fresh.select(*key), key, "left_anti").unionByName(fresh), "depths")
+    return depths
+
+
 def node_depth(tweets: DataFrame, links: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """Hops from the nearest root (a tweet that is nobody's target); null where no root leads.
+    """Hops from the nearest root (a tweet that is nobody's target); null where no root leads, or beyond ``max_depth``.
 
-    One join per level, each level stored, so a lost executor costs at most the current level. In a forest every
-    tweet is reached once and from no cycle; only where a tweet has several sources are the tweets reached before
-    taken out, which also ends the walk on cycles.
+    Pointers to single sources double, so a chain takes rounds by its logarithm, each stored: a lost executor costs at
+    most the current one. Only tweets with several sources are then searched from the roots, over contracted chains.
     """
     key = ["news_id", "tweet_id"]
     nodes = tweets.select(*key)
-    stored = links.select("news_id", "source", "target")
-    forest = is_unique(stored, ["news_id", "target"])
-    if not forest:
-        stored = materialise(stored.distinct(), "links")
-    hot = hot_keys(stored, ["news_id", "source"])
-    targets = stored.select("news_id", F.col("target").alias("tweet_id"))
-    level = materialise(nodes.join(targets, key, "left_anti").withColumn("depth", F.lit(0)), "level")
-    levels, depth = [level], 0
-    while not level.isEmpty() and (max_depth is None or depth < max_depth):
-        depth += 1
-        frontier = level.select("news_id", F.col("tweet_id").alias("source"))
-        reached = salted_join(stored, frontier, ["news_id", "source"], hot, ["target"])
-        fresh = reached.select("news_id", F.col("target").alias("tweet_id"))
-        if not forest:
-            seen = union_all(levels).select(*key)
-            fresh = fresh.distinct().join(seen, key, "left_anti")
-        level = materialise(fresh.withColumn("depth", F.lit(depth)), "level")
-        levels.append(level)
-    return nodes.join(union_all(levels), key, "left")
+    anchors = _anchors(nodes, links)
+    found = anchors.where("kind = 'root'").select(*key, F.col("hops").alias("depth"))
+    if not anchors.where("kind = 'many'").isEmpty():
+        anchors = materialise(anchors, "anchors")
+        below = anchors.where("kind = 'many'").join(_many_source_depths(links, anchors), ["news_id", "anchor"])
+        found = found.unionByName(below.select(*key, (F.col("depth") + F.col("hops")).alias("depth")))
+    depth = F.col("depth").cast("int")
+    if max_depth is not None:
+        depth = F.when(depth <= max_depth, depth)
+    return nodes.join(found, key, "left").withColumn("depth", depth)
 
 
 def cascade_depth(depths: DataFrame) -> DataFrame:
