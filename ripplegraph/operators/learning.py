@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from math import ceil
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ripplegraph.functions.scalars import coin
 from ripplegraph.operators.metrics import f1_binary
+from ripplegraph.session import materialise
 
 # Fixed values of the training set-up.
 TRAIN_SHARE = 0.8
@@ -20,19 +23,20 @@ VALIDATION_SHARE = 0.9
 HIDDEN = 64
 PATIENCE = 5
 CHECK_EVERY = 2
-# Hash slices per class: each is one task's share of a class.
-SLICES = 4_096
+# Rows of a hash slice of a class, ranked by one task.
+SLICE_ROWS = 100_000
 
 
 def stratified_split(graphs: DataFrame, seed: str = "42") -> DataFrame:
     """Assign ``train``, ``val`` or ``test`` in the ratio 80/10/10 within each label.
 
     A graph's place is its rank by hash within its label. As the hash is even, its leading bits cut a label
-    into slices of about equal size: rows are ranked within a slice, and slice sizes (a few thousand rows
-    in all) give the rank before it. So two labels do not end up in two tasks.
+    into slices of about equal size, as many as the table needs: rows are ranked within a slice, and slice sizes
+    give the rank before it. So two labels do not end up in two tasks, and the result doesn't depend on the slices.
     """
+    slices = ceil(graphs.count() / SLICE_ROWS) or 1
     drawn = graphs.select("news_id", "label", coin("news_id", F.lit("split"), seed=seed).alias("_draw")).withColumn(
-        "_slice", F.floor(F.col("_draw") * SLICES)
+        "_slice", F.floor(F.col("_draw") * slices)
     )
     earlier = Window.partitionBy("label").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     sizes = (
@@ -174,6 +178,72 @@ def best_candidate(train: DataFrame, candidates: list[Candidate], patience: int
     return next((c for c in candidates if kept is not None and c.step == kept.best_step), candidates[0])
 
 
+@dataclass(frozen=True)
+class Staged:
+    """A model fitted in stages: the one kept, its step (null if none had a validation F1 above 0, then the first is kept),
+    and the validation F1 of every step that was checked. ``stopped_at`` is null if the fit went on to the last step."""
+
+    model: PipelineModel
+    best_step: int | None
+    stopped_at: int | None
+    history: list[tuple[int, float]]
+
+
+def validation_f1(predictions: DataFrame) -> float:
+    found = f1_binary(predictions).first()
+    return found.f1 if found else 0.0
+
+
+def fit_staged(
+    train: DataFrame,
+    val: DataFrame,
+    names: list[str],
+    width: int | None = None,
+    steps: int = 30,
+    hidden: int = HIDDEN,
+    patience: int = PATIENCE,
+    check_every: int = CHECK_EVERY,
+    seed: int = 42,
+    score: Callable[[DataFrame], float] = validation_f1,
+) -> Staged:
+    """A perceptron trained on until its validation F1 no longer rises.
+
+    ``names`` are columns of numbers or vectors, ``width`` their numbers in all where that is more than the columns. The first
+    stage takes one step, later ones ``check_every`` each and start from the weights of the one before. After each stage the
+    validation part is scored; :func:`select_by_val_f1` says which step is kept and when to stop. Inputs are scaled by the
+    train part and stored once.
+    """
+    spark = train.sparkSession
+    assembler = VectorAssembler(inputCols=names, outputCol="raw", handleInvalid="error")
+    scaler = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True).fit(assembler.transform(train))
+    prepared = PipelineModel(stages=[assembler, scaler])
+    train_rows = materialise(prepared.transform(train).select("scaled", F.col("label").cast("double").alias("label")), "train")
+    val_rows = materialise(prepared.transform(val).select("news_id", "label", "scaled"), "val")
+    inputs = len(names) if width is None else width
+    models, history, weights, kept = {}, [], None, None
+    for step in range(0, steps, check_every):
+        classifier = perceptron(inputs, check_every if step else 1, hidden, seed)
+        if weights is not None:
+            classifier.setInitialWeights(weights)
+        models[step] = fitted = classifier.fit(train_rows)
+        weights = fitted.weights
+        history.append((step, float(score(predict_graphs(PipelineModel(stages=[fitted]), val_rows, "candidate")))))
+        table = spark.createDataFrame([("run", *row) for row in history], "run string, step int, val_f1 double")
+        kept = select_by_val_f1(table, patience, check_every).first()
+        if kept.stopped_at is not None:
+            break
+    best = models[0 if kept.best_step is None else kept.best_step]
+    return Staged(PipelineModel(stages=[assembler, scaler, best]), kept.best_step, kept.stopped_at, history)
+
+
+def staged_records(staged: Staged, model: str, run: str, spark: SparkSession) -> DataFrame:
+    """How a staged fit went, as records ``run, model, metric, value``: the step kept, its F1, the checks made."""
+    best = max([f1 for step, f1 in staged.history if step == staged.best_step], default=0.0)
+    found = {"kept_step": staged.best_step, "validation_f1": best, "checks": len(staged.history)}
+    rows = [(run, model, k, None if v is None else float(v)) for k, v in found.items()]
+    return spark.createDataFrame(rows, "run string, model string, metric string, value double")
+
+
 def split_sizes(split: DataFrame) -> DataFrame:
     """Graphs per label and part."""
     return split.groupBy("label", "split").agg(F.count(F.lit(1)).alias("graphs"))

@@ -717,13 +717,18 @@ def _parts(spark, sf_dir, pooled: DataFrame) -> dict[str, DataFrame]:
     return learning.labelled_parts(materialise(pooled.join(split, "news_id"), "pooled"))
 
 
+def _staged(spark, parts: dict[str, DataFrame], names: list[str], name: str, width: int | None = None) -> DataFrame:
+    """Test metrics of a perceptron fitted in stages, and how the fit went."""
+    staged = learning.fit_staged(parts["train"], parts["val"], names, width)
+    found = metrics.metric_records(learning.predict_graphs(staged.model, parts["test"], name), "fit")
+    return found.unionByName(learning.staged_records(staged, name, "fit", spark))
+
+
 @query
 def fit_structure(spark, sf_dir):
-    """Test metrics of a perceptron on propagated and pooled structure features."""
+    """A perceptron on propagated and pooled structure features, chosen by its validation F1."""
     pooled, names = _pooled(spark, sf_dir)
-    parts = _parts(spark, sf_dir, pooled)
-    model = learning.fit_structure(parts["train"], names)
-    return metrics.metric_records(learning.predict_graphs(model, parts["test"], A), "fit")
+    return _staged(spark, _parts(spark, sf_dir, pooled), names, A)
 
 
 def _text_pooled(spark, sf_dir) -> DataFrame:
@@ -732,12 +737,43 @@ def _text_pooled(spark, sf_dir) -> DataFrame:
     return pooled.select("news_id", array_to_vector("state").alias("pooled"))
 
 
+TEXT_WIDTH = 2 * (len(MATRIX) + text.DIMENSIONS)
+
+
 @query
 def fit_structure_text(spark, sf_dir):
     """The same with a text vector on every node next to its structure features."""
-    parts = _parts(spark, sf_dir, _text_pooled(spark, sf_dir))
-    model = learning.fit_structure_text(parts["train"], [], "pooled", width=2 * (len(MATRIX) + text.DIMENSIONS))
-    return metrics.metric_records(learning.predict_graphs(model, parts["test"], B), "fit")
+    return _staged(spark, _parts(spark, sf_dir, _text_pooled(spark, sf_dir)), ["pooled"], B, TEXT_WIDTH)
+
+
+def _fitted_predictions(spark, sf_dir) -> DataFrame:
+    """Both models fitted on one train part and scored on one test part, with the graphs' mean features."""
+    pooled, names = _pooled(spark, sf_dir)
+    parts = _parts(spark, sf_dir, pooled.join(_text_pooled(spark, sf_dir), "news_id"))
+    models = {A: learning.fit_structure(parts["train"], names, learning.logistic()),
+              B: learning.fit_structure_text(parts["train"], [], "pooled", learning.logistic())}
+    scored = union_all([learning.predict_graphs(model, parts["test"], name) for name, model in models.items()])
+    return materialise(scored, "predictions")
+
+
+@query
+def fitted_agreement(spark, sf_dir):
+    """How often the two fitted models agree on the test part, and which of them is right where they don't."""
+    found = _fitted_predictions(spark, sf_dir)
+    agreed = analysis.model_agreement(found, A, B).withColumn("model", F.lit(A))
+    sides = analysis.disagreement_direction(found, A, B).agg(F.coalesce(F.sum("a_right"), F.lit(0).cast("long")).alias("a_right"))
+    return agreed.join(sides.withColumn("model", F.lit(A)), "model").drop("model")
+
+
+@query
+def fitted_comparison(spark, sf_dir):
+    """Precision, recall and F1 of the two fitted models, and their sure cases and bands, side by side."""
+    found = _fitted_predictions(spark, sf_dir)
+    sure = analysis.high_confidence(found).agg(*[
+        F.max(F.when(F.col("model") == m, F.col(c)).cast("double")).alias(f"{s}_{c}") for s, m in (("a", A), ("b", B)) for c in ("sure_fake", "sure_real")
+    ])
+    rows = [F.struct(F.lit(c).alias("measure"), F.col(f"a_{c}").alias("a"), F.col(f"b_{c}").alias("b")) for c in ("sure_fake", "sure_real")]
+    return analysis.model_comparison(found, A, B).unionByName(sure.select(F.inline(F.array(*rows))))
 
 
 @query

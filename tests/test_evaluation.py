@@ -144,3 +144,92 @@ def test_fit_store_and_score(spark, tmp_path):
         learning.fit_structure_text(parts["train"], ["a"], "b")
     wide = learning.fit_structure_text(parts["train"], ["a"], "b", width=1)
     assert learning.predict_graphs(wide, parts["test"], "w").count() == parts["test"].count()
+
+
+# --- fitting in stages, and what a fitted model computes
+
+
+def _rows(spark, n=200, seed=3):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 3))
+    y = (x[:, 0] - 0.5 * x[:, 1] + 0.3 * rng.normal(size=n) > 0).astype(int)
+    return spark.createDataFrame([(f"g{i}", int(k), *map(float, r)) for i, (k, r) in enumerate(zip(y, x))], "news_id string, label int, a double, b double, c double")
+
+
+def _scaled(train, rows):
+    x = np.array([[r.a, r.b, r.c] for r in train.collect()])
+    return (np.array([[r.a, r.b, r.c] for r in rows]) - x.mean(axis=0)) / x.std(axis=0, ddof=1)
+
+
+def _perceptron_by_hand(model, x):
+    """Sigmoid, then softmax; weights are stored per layer, inputs by outputs column by column, then the offsets."""
+    layers, w, at = model.getLayers(), model.weights.toArray(), 0
+    for k, (i, o) in enumerate(zip(layers, layers[1:])):
+        weight = w[at : at + i * o].reshape(i, o).T
+        x = x @ weight.T + w[at + i * o : at + i * o + o]
+        at += i * o + o
+        x = 1 / (1 + np.exp(-x)) if k < len(layers) - 2 else np.exp(x) / np.exp(x).sum(axis=1, keepdims=True)
+    return x
+
+
+def test_staged_fit_keeps_the_best_step_and_stops(spark):
+    """F1 as given: five checks in a row without a better one end the fit, a later high is never seen."""
+    data = _rows(spark)
+    told = iter([0.1, 0.3, 0.2, 0.3, 0.2, 0.1, 0.0, 0.9])
+    found = learning.fit_staged(data, data, ["a", "b", "c"], hidden=4, score=lambda _: next(told))
+    assert found.best_step == 2 and found.stopped_at == 12
+    assert found.history == [(0, 0.1), (2, 0.3), (4, 0.2), (6, 0.3), (8, 0.2), (10, 0.1), (12, 0.0)]
+
+
+def test_staged_fit_without_any_hit(spark):
+    data = _rows(spark).withColumn("label", F.lit(0))
+    found = learning.fit_staged(data, data, ["a", "b", "c"], hidden=4)
+    assert found.best_step is None and found.stopped_at == 8 and [f1 for _, f1 in found.history] == [0.0] * 5
+    records = {r.metric: r.value for r in learning.staged_records(found, "m", "run", spark).collect()}
+    assert records == {"kept_step": None, "validation_f1": 0.0, "checks": 5.0}
+
+
+def test_staged_fit_goes_on_from_its_weights(spark):
+    """Each stage begins where the one before ended: with no step to take, nothing changes; with steps, the loss falls."""
+    data = _rows(spark).cache()
+    found = learning.fit_staged(data, data, ["a", "b", "c"], steps=12, hidden=4, patience=99)
+    assert [step for step, _ in found.history] == [0, 2, 4, 6, 8, 10] and found.stopped_at is None
+    assert max(f1 for _, f1 in found.history) == dict(found.history)[found.best_step] > 0.85
+    started = learning.perceptron(3, 1, 4)
+    first = started.fit(learning.PipelineModel(stages=found.model.stages[:2]).transform(data))
+    again = learning.perceptron(3, 1, 4).setInitialWeights(first.weights).fit(learning.PipelineModel(stages=found.model.stages[:2]).transform(data))
+    losses = [m.summary().objectiveHistory for m in (first, again)]
+    assert losses[1][0] == pytest.approx(losses[0][-1])
+
+
+def test_fitted_perceptron_by_hand(spark):
+    data = _rows(spark)
+    rows = data.orderBy("news_id").collect()
+    model = learning.fit_staged(data, data, ["a", "b", "c"], steps=6, hidden=5).model
+    wanted = _perceptron_by_hand(model.stages[-1], _scaled(data, rows))
+    found = learning.predict_graphs(model, data, "m").orderBy("news_id").collect()
+    assert [r.p_fake for r in found] == pytest.approx(wanted[:, 1].tolist())
+    assert [r.log_p_real for r in found] == pytest.approx(np.log(wanted[:, 0]).tolist())
+    assert [r.pred for r in found] == [int(p > 0.5) for p in wanted[:, 1]]
+
+
+def test_fitted_logistic_by_hand(spark, tmp_path):
+    """The fit is where the gradient vanishes; scores are the logistic function of its weights, also once loaded."""
+    data = _rows(spark)
+    rows = data.orderBy("news_id").collect()
+    model = learning.fit_structure(data, ["a", "b", "c"], learning.logistic(200))
+    x, fitted = _scaled(data, rows), model.stages[-1]
+    p = 1 / (1 + np.exp(-(x @ fitted.coefficients.toArray() + fitted.intercept)))
+    error = p - np.array([r.label for r in rows])
+    assert np.abs(error @ np.column_stack([x, np.ones(len(x))])).max() < 0.02
+    learning.save_model(model, str(tmp_path / "model"))
+    for used in (model, learning.load_model(str(tmp_path / "model"))):
+        found = learning.predict_graphs(used, data, "m").orderBy("news_id").collect()
+        assert [r.p_fake for r in found] == pytest.approx(p.tolist())
+
+
+def test_split_does_not_depend_on_slices(spark, monkeypatch):
+    graphs = spark.range(500).selectExpr("concat('g', id) AS news_id", "cast(id % 3 AS int) AS label")
+    whole = sorted(map(tuple, learning.stratified_split(graphs).collect()))
+    monkeypatch.setattr(learning, "SLICE_ROWS", 7)
+    assert sorted(map(tuple, learning.stratified_split(graphs).collect())) == whole
