@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from ripplegraph.operators.graph import NODE, Layer, Network, classify
 from ripplegraph.plans.skew import is_small
-from ripplegraph.session import materialise
+from ripplegraph.session import materialise, ship_package
 
 # Nodes of a block of a story.
 CELL = 4_096
@@ -65,6 +65,7 @@ def _mapped(df: DataFrame, keep: list[str], change: Callable[[pa.RecordBatch], n
                 kept = [batch.column(n) for n in keep]
                 yield pa.RecordBatch.from_arrays([*kept, arrays(change(batch))], names=[*keep, "state"])
 
+    ship_package(df.sparkSession)
     schema = T.StructType([*[df.schema[n] for n in keep], T.StructField("state", T.ArrayType(T.DoubleType()))])
     return df.mapInArrow(run, schema)
 
@@ -156,6 +157,7 @@ def vector_rounds(nodes: DataFrame, edges: DataFrame, steps: list[Step]) -> Data
 
     Loops among the edges give way to the link of every node to itself; equal edges count each.
     """
+    ship_package(nodes.sparkSession)
     links = edges.where(F.col("src_idx") != F.col("dst_idx")).groupBy("news_id", "src_idx", "dst_idx").agg(F.count(F.lit(1)).alias("n"))
     nodes = nodes.select("news_id", F.col("node_idx").cast("long").alias("node_idx"), F.col("state").cast("array<double>").alias("state"))
     links = links.select("news_id", F.col("src_idx").cast("long").alias("src_idx"), F.col("dst_idx").cast("long").alias("dst_idx"), "n")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from functools import cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +32,21 @@ def build_session(app: str = "ripplegraph", master: str | None = None, **conf: s
     return builder.getOrCreate()
 
 
+@cache
+def _shipped(application: str) -> None:
+    root = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="package-")) / f"{__package__}.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for path in sorted((root / __package__).rglob("*.py")):
+            archive.write(path, path.relative_to(root))
+    SparkSession.active().sparkContext.addPyFile(str(target))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, where it need not be installed; once per application."""
+    _shipped(spark.sparkContext.applicationId)
+
+
 @cache
 def _local_folder(application: str) -> str:
     return tempfile.mkdtemp(prefix=f"ripplegraph-{application}-")

@@ -6,26 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplegraph import schema
+from ripplegraph.sources.quoted import OPTIONS, quoted_csv
 
 
-# Quotes within a field are doubled, and a field may hold line breaks. Such a file can't be split over tasks, so large data
-# belongs in Parquet. A row that doesn't fit the header raises instead of being dropped.
-CSV = {"header": True, "quote": '"', "escape": '"', "multiLine": True, "mode": "FAILFAST"}
+# A row that doesn't fit the header raises instead of being dropped.
+CSV = OPTIONS | {"header": True}
 
 
-def _scan(spark: SparkSession, path: str, types: dict[str, str], fmt: str) -> DataFrame:
+def _scan(spark: SparkSession, path: str, types: dict[str, str], fmt: str, texts: bool = False) -> DataFrame:
+    """A table of declared types. Only tables with ``texts`` may have line breaks in quoted fields; all are read in splits."""
     if fmt != "csv":
         found = spark.read.format(fmt).load(path)
         return found.withColumns({n: F.col(n).cast(types[n]) for n in found.columns if n in types})
     # The header decides which optional columns exist, the declared types how to read them.
     header = spark.read.options(**CSV).csv(path).columns
     declared = ", ".join(f"`{name}` {types.get(name, 'string')}" for name in header)
-    return spark.read.options(**CSV).schema(declared).csv(path)
+    return quoted_csv(spark, path, declared) if texts else spark.read.options(**CSV).schema(declared).csv(path)
 
 
 def read_tweets(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """The tweets table; ids as strings, rows without a news id dropped."""
-    tweets = schema.string_ids(_scan(spark, path, schema.TWEETS, fmt), "tweet_id", "user_id", "news_id")
+    tweets = schema.string_ids(_scan(spark, path, schema.TWEETS, fmt, texts=True), "tweet_id", "user_id", "news_id")
     return tweets.withColumn("timestamp", F.col("timestamp").cast("timestamp")).where(F.col("news_id").isNotNull())
 
 
