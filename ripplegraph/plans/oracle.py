@@ -91,6 +91,9 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "links": (("tweets", "edges"), """
         SELECT s.news_id, e.source, e.target FROM edges e JOIN tweets s ON s.tweet_id = e.source
         JOIN tweets t ON t.tweet_id = e.target AND t.news_id = s.news_id"""),
+    "noisy_links": (("tweets", "noisy"), """
+        SELECT s.news_id, e.source, e.target FROM noisy e JOIN tweets s ON s.tweet_id = e.source
+        JOIN tweets t ON t.tweet_id = e.target AND t.news_id = s.news_id"""),
     "patterns": ((), f"""
         SELECT {_news('ts')} AS pattern_id, any_value(day(ts) % 2 = 1) AS is_fake, count(*) AS num_nodes,
                nullif(count(*) FILTER (event_id % 64 = 0), 0) AS level_0,
@@ -437,6 +440,10 @@ _REACH = """SELECT t.news_id, t.tweet_id, count(DISTINCT d.target) AS local_infl
       SELECT source, target FROM links
       UNION ALL SELECT a.source, b.target FROM links a JOIN links b ON b.source = a.target) d ON d.source = t.tweet_id GROUP BY 1, 2"""
 oracle("local_influence", "tweets links", _REACH)
+oracle("local_influence_noisy", "tweets noisy_links", """SELECT t.news_id, t.tweet_id, count(DISTINCT d.target) AS local_influence FROM tweets t LEFT JOIN (
+      SELECT source, target FROM noisy_links
+      UNION ALL SELECT a.source, b.target FROM noisy_links a JOIN noisy_links b ON b.source = a.target) d
+    ON d.source = t.tweet_id AND d.target <> t.tweet_id GROUP BY 1, 2""")
 oracle("branching_by_level", "depths", "SELECT news_id, depth, count(*) AS nodes FROM depths WHERE depth IS NOT NULL GROUP BY 1, 2")
 oracle("patterns_from_cascades", "depths graphs", """SELECT d.news_id AS pattern_id, any_value(g.is_fake) AS is_fake, count(*) AS num_nodes,
     nullif(count(*) FILTER (depth = 0), 0) AS level_0, nullif(count(*) FILTER (depth = 1), 0) AS level_1,

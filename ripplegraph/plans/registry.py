@@ -445,6 +445,14 @@ def local_influence(spark, sf_dir):
     return structure.local_influence(*_links(spark, sf_dir))
 
 
+@query
+def local_influence_noisy(spark, sf_dir):
+    """Reach within two hops where links are no forest: some are there twice, some lead back."""
+    tweets = adapters.tweets(spark, sf_dir)
+    links = materialise(structure.tweet_links(tweets, adapters.edges_noisy(spark, sf_dir)), "links")
+    return structure.local_influence(tweets, links)
+
+
 @query
 def branching_by_level(spark, sf_dir):
     return structure.branching_by_level(structure.node_depth(*_links(spark, sf_dir)))
