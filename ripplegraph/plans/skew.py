@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 HOT_ROWS = 2_000_000
 # Hot keys that are fetched and broadcast; more of them stay a distributed table.
 MAX_BROADCAST_KEYS = 50_000
+# Ranges of key hashes that rows are counted by before any key is counted itself.
+HASH_RANGES = 1 << 16
 # Rows up to which a lookup table is broadcast, after they were counted.
 MAX_BROADCAST_ROWS = 200_000
 
@@ -36,7 +38,7 @@ class HotKeys:
 
 
 def hot_keys(df: DataFrame, keys: list[str], limit: int | None = None) -> HotKeys:
-    """Count rows per key (combined on the map side) and keep the keys above ``limit``.
+    """The keys that own more than ``limit`` rows, with their exact numbers of rows.
 
     At most rows/limit keys can be hot. They are broadcast only when a bounded fetch shows that they are few;
     otherwise the counted table itself is joined.
@@ -44,16 +46,37 @@ def hot_keys(df: DataFrame, keys: list[str], limit: int | None = None) -> HotKey
     return hot_key_sets(df, [keys], limit)[0]
 
 
+def _hot_ranges(sided: DataFrame, limit: int) -> list:
+    """The hash ranges of each side that hold more than ``limit`` rows; the fetch is bounded by ``HASH_RANGES`` a side."""
+    counted = sided.groupBy("_side", "_range").agg(F.count(F.lit(1)).alias("_rows"))
+    return counted.where(F.col("_rows") > limit).select("_side", "_range").collect()
+
+
 def hot_key_sets(df: DataFrame, key_sets: list[list[str]], limit: int | None = None) -> list[HotKeys]:
-    """Hot keys of several column sets of the same types, counted in one pass over ``df``."""
+    """Hot keys of several column sets of the same types, found together.
+
+    A first pass counts rows per range of key hashes. It is combined before the shuffle to at most ``HASH_RANGES`` rows a task
+    and side, however many keys there are. A range holds at least the rows of each of its keys, so only keys in ranges
+    above ``limit`` can be hot: a second pass counts these keys exactly. Without such a range there is no second pass. Beyond about
+    ``HASH_RANGES * limit`` rows most ranges are above the limit and the second pass counts nearly all keys.
+    """
     limit = HOT_ROWS if limit is None else limit
     names = [f"_k{i}" for i in range(len(key_sets[0]))]
     sides = [
-        F.struct(F.lit(number).alias("_side"), *[F.col(k).alias(n) for k, n in zip(keys, names)])
+        F.struct(
+            F.lit(number).alias("_side"),
+            F.pmod(F.xxhash64(*keys), F.lit(HASH_RANGES)).cast("int").alias("_range"),
+            *[F.col(k).alias(n) for k, n in zip(keys, names)],
+        )
         for number, keys in enumerate(key_sets)
     ]
+    sided = df.select(F.inline(F.array(*sides)))
+    ranges = _hot_ranges(sided, limit)
+    if not ranges:
+        return [HotKeys(tuple(keys), limit) for keys in key_sets]
+    suspect = F.broadcast(df.sparkSession.createDataFrame(ranges, "_side int, _range int"))
     counted = (
-        df.select(F.inline(F.array(*sides)))
+        sided.join(suspect, ["_side", "_range"], "left_semi")
         .groupBy("_side", *names)
         .agg(F.count(F.lit(1)).alias("hot_rows"))
         .where(F.col("hot_rows") > limit)

@@ -102,3 +102,13 @@ def test_split_results_do_not_depend_on_partitions(tweets):
     a = cascades.propagation_order(tweets.repartition(1), hot=hot)
     b = cascades.propagation_order(tweets.repartition(13), hot=hot)
     assert same(a, b)
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 1 << 16])
+def test_hot_keys_in_any_number_of_ranges(tweets, monkeypatch, ranges):
+    """Keys that share a range with a hot key are not hot themselves; null is a key as any other."""
+    monkeypatch.setattr(skew, "HASH_RANGES", ranges)
+    some = tweets.selectExpr("if(news_id = 'viral', null, news_id) as news_id", "user_id")
+    found = {tuple(r) for r in hot_keys(some, ["news_id", "user_id"], 3).table.collect()}
+    assert found == {tuple(r) for r in some.groupBy("news_id", "user_id").count().where("count > 3").collect()}
+    assert [tuple(r) for r in hot_keys(some, ["news_id"], 50).table.collect()] == [(None, 200)]
