@@ -109,18 +109,45 @@ def sentiment_variance(tweets: DataFrame) -> DataFrame:
 
 
 def news_text_stats(tweets: DataFrame) -> DataFrame:
-    """Eight figures per cascade; means pass over unknown values."""
-    rows = tweets.where(F.col("news_id").isNotNull()).withColumn("_e", excitement())
-    stats = rows.groupBy("news_id").agg(
-        F.count(F.lit(1)).alias("n_tweets"),
-        F.count_distinct("user_id").alias("n_users"),
-        F.coalesce(F.sum(F.col("likes").cast("double")), F.lit(0.0)).alias("sum_likes"),
-        F.coalesce(F.sum(F.col("retweets").cast("double")), F.lit(0.0)).alias("sum_retweets"),
-        F.avg("likes").alias("mean_likes"),
-        F.avg("retweets").alias("mean_retweets"),
-        F.var_pop("_e").alias("variance"),
+    """Eight figures per cascade; means pass over unknown values.
+
+    One scan and one split of the texts: every text gives a row with its user and figures, and a row for each of its distinct words.
+    These are grouped by (cascade, user or word) with partial sums before the shuffle, then by cascade. The variance is put
+    together from the groups' own variances and means.
+    """
+    words = F.filter(_words("text"), lambda w: w != "")
+    rows = tweets.where(F.col("news_id").isNotNull()).select("news_id", "user_id", "likes", "retweets", words.alias("_words"), excitement().alias("_e"))
+    listed = F.concat(F.array(F.lit(None).cast("string")), F.array_distinct("_words"))
+    items = rows.select("*", F.size("_words").cast("long").alias("_size"), F.posexplode(listed).alias("_at", "_word"))
+    own = F.col("_at") == 0
+    figures = {"_e": "_e", "_likes": "likes", "_retweets": "retweets"}
+    grained = items.select(
+        "news_id",
+        own.alias("_own"),
+        F.when(own, F.col("user_id").cast("string")).otherwise(F.col("_word")).alias("_item"),
+        F.when(own, F.col("_size")).alias("_size"),
+        *[F.when(own, F.col(c).cast("double")).alias(n) for n, c in figures.items()],
+    )
+    partial = grained.groupBy("news_id", "_own", "_item").agg(
+        F.sum("_size").alias("_size"),
+        *[F.count(n).alias(f"{n}_n") for n in figures],
+        *[F.sum(n).alias(f"{n}_sum") for n in figures],
+        (F.var_pop("_e") * F.count("_e") + F.avg("_e") * F.sum("_e")).alias("_e_squares"),
+    )
+    total = {n: F.coalesce(F.sum(f"{n}_sum"), F.lit(0.0)) for n in figures}
+    number = {n: F.sum(f"{n}_n") for n in figures}
+    mean = {n: F.when(number[n] > 0, total[n] / number[n]) for n in figures}
+    total_words, unique_words = F.sum("_size"), F.count(F.when(~F.col("_own"), F.col("_item")))
+    return partial.groupBy("news_id").agg(
+        number["_e"].alias("n_tweets"),
+        F.count(F.when(F.col("_own"), F.col("_item"))).alias("n_users"),
+        total["_likes"].alias("sum_likes"),
+        total["_retweets"].alias("sum_retweets"),
+        mean["_likes"].alias("mean_likes"),
+        mean["_retweets"].alias("mean_retweets"),
+        F.greatest(F.sum("_e_squares") / number["_e"] - mean["_e"] * mean["_e"], F.lit(0.0)).alias("variance"),
+        (unique_words / (total_words + 1)).alias("diversity"),
     )
-    return stats.join(text_diversity(tweets).select("news_id", "diversity"), "news_id")
 
 
 def tweet_text_clean(df: DataFrame, name: str = "text") -> DataFrame:
