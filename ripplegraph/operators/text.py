@@ -241,6 +241,29 @@ def node_vectors(nodes: DataFrame, tweets: DataFrame, names: list[str], dimensio
     return feature_concat(nodes, vectors, key, names).select(*key, F.col("features").alias("state"))
 
 
+def user_vectors(
+    nodes: DataFrame, users: DataFrame, tweets: DataFrame, names: list[str], dimensions: int = DIMENSIONS
+) -> DataFrame:
+    """The ``state`` of every node of the graphs of users: the unit vector of its texts, as if joined, then its columns ``names``.
+
+    Texts are read once. Their word counts are summed per (cascade, user), a missing user id being one user; the news node's counts
+    are the sum of its users'. Inverse document frequencies are those of the users' joined texts. A node without words has a
+    vector of zeros.
+    """
+    rows = tweets.where(F.col("news_id").isNotNull()).select(F.col("news_id").alias("_news"), F.col("user_id").alias("_user"), "text")
+    summed = Summarizer.sum(F.col("_tf")).alias("_tf")
+    counts = _term_counts(rows, dimensions).groupBy("_news", "_user").agg(summed)
+    same = (F.col("news_id") == F.col("_news")) & F.col("user_id").eqNullSafe(F.col("_user"))
+    own = materialise(users.join(counts, same).select("news_id", F.col("user_idx").alias("node_idx"), "_tf"), "words")
+    news = own.groupBy("news_id").agg(summed).select("news_id", F.lit(0).cast("long").alias("node_idx"), "_tf")
+    weighted = IDF(inputCol="_tf", outputCol="_tfidf").fit(own).transform(news.unionByName(own))
+    unit = Normalizer(inputCol="_tfidf", outputCol="_unit").transform(weighted)
+    key = ["news_id", "node_idx"]
+    figures = F.array(*[F.col(n).cast("double") for n in names])
+    joined = nodes.select(*key, *names).join(unit.select(*key, vector_to_array("_unit").alias("_vector")), key)
+    return joined.select(*key, F.concat("_vector", figures).alias("state"))
+
+
 def feature_concat(structural: DataFrame, vectors: DataFrame, on: list[str], names: list[str]) -> DataFrame:
     """Structural columns followed by the node's vector, as one array."""
     both = structural.join(vectors, on)

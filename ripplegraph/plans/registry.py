@@ -677,6 +677,21 @@ def gnn_infer_text(spark, sf_dir):
     return vectors.vector_infer(*_text_nodes(spark, sf_dir), pooled_network(len(MATRIX) + text.DIMENSIONS))
 
 
+@query
+def user_states_text(spark, sf_dir):
+    """User graphs of the documents: the vector of every node's texts, followed by its figures."""
+    return build.user_states(adapters.document_tweets(spark, sf_dir))
+
+
+@query
+def gnn_infer_user_text(spark, sf_dir):
+    """The forward pass over graphs of users on text vectors and figures, 393 numbers per node."""
+    tweets = adapters.document_tweets(spark, sf_dir)
+    states = materialise(build.user_states(tweets), "states")
+    star = edges.user_star(cascades.user_index(tweets))
+    return vectors.vector_infer(states, materialise(star, "edges"), pooled_network(9 + text.DIMENSIONS))
+
+
 @query
 def gnn_infer_arrays(spark, sf_dir):
     """The small forward pass with node states in arrays."""
