@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 from itertools import count, islice
 from math import ceil, sqrt
@@ -179,20 +180,55 @@ def word_shingles(texts: list[bytes], width: int = 5) -> list[np.ndarray]:
 
 # ---- exchanging sets of hashes between blocks of texts and buckets of hashes
 
+# Rows that blocks and buckets exchange directly; beyond, teams of blocks and spans of buckets meet in between.
+DIRECT_ROWS = 1 << 20
+# Partitions that blocks are dealt to; beyond, a task has several blocks.
+MAX_TASKS = 1 << 16
+
+
+@dataclass(frozen=True)
+class Exchange:
+    """How many blocks and buckets there are, and in which teams and spans they meet: 0 where they meet directly."""
+
+    blocks: int
+    buckets: int
+    per_team: int = 0
+    per_span: int = 0
+
+    @property
+    def ranges(self) -> int:
+        """The equal ranges of hashes that a block gets its answers by."""
+        return self.buckets // self.per_span if self.per_span else self.buckets
+
+
+def exchange(total: int, block_bytes: int, bucket_bytes: int) -> Exchange:
+    """Blocks and buckets for so many bytes of text.
+
+    Directly, each block sends a row to each bucket: the square of the input. Above ``DIRECT_ROWS`` of them, each block sends a row
+    to each span of about as many buckets as there are spans, and each team of blocks one to each bucket: the input to the power 1.5.
+    """
+    blocks, buckets = parts_for(total, block_bytes, 4), parts_for(total, bucket_bytes, 4)
+    if blocks * buckets <= DIRECT_ROWS:
+        return Exchange(blocks, buckets)
+    per_span = ceil(sqrt(buckets))
+    return Exchange(blocks, ceil(buckets / per_span) * per_span, ceil(sqrt(blocks)), per_span)
+
+
 def packed(ids: np.ndarray) -> bytes:
-    """Sorted 32-bit numbers as differences, byte by byte, so that compression removes the high bytes."""
-    steps = np.diff(ids.astype(np.uint32), prepend=np.uint32(0))
-    return steps.view(np.uint8).reshape(-1, 4).T.tobytes()
+    """Sorted unsigned numbers as differences, byte by byte, so that compression removes the high bytes."""
+    steps = np.diff(ids, prepend=ids.dtype.type(0))
+    return steps.view(np.uint8).reshape(-1, ids.itemsize).T.tobytes()
 
 
-def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(4, -1).T
-    return np.cumsum(np.ascontiguousarray(planes).view(np.uint32).ravel(), dtype=np.uint32)
+def unpacked(data: bytes, kind: type = np.uint32) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T
+    return np.cumsum(np.ascontiguousarray(planes).view(kind).ravel(), dtype=kind)
 
 
-def bucket_bounds(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket begins in sorted 64-bit hashes: buckets are equal ranges of the upper 32 bits."""
-    edges = np.array([((b << 32) + buckets - 1) // buckets << 32 for b in range(buckets)], np.uint64)
+def bucket_bounds(hashes: np.ndarray, buckets: int, first: int = 0, number: int | None = None) -> np.ndarray:
+    """Where each bucket, or each of a run of them, begins in sorted 64-bit hashes: buckets are equal ranges of the upper 32 bits."""
+    run = np.arange(first, first + (buckets if number is None else number), dtype=np.uint64)
+    edges = ((run << np.uint64(32)) + np.uint64(buckets - 1)) // np.uint64(buckets) << np.uint64(32)
     return np.append(np.searchsorted(hashes, edges), len(hashes))
 
 
@@ -206,7 +242,7 @@ def within(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def in_blocks(docs: DataFrame, blocks: int, *columns: str) -> DataFrame:
     """Whole documents dealt out to blocks by their id; the exchange is read by each pass over the texts."""
     block = F.pmod(F.xxhash64(F.lit(17), "doc_id", F.octet_length("text")), F.lit(blocks)).cast("int")
-    return docs.select(block.alias("block"), "doc_id", "text", *columns).repartition(blocks, "block")
+    return docs.select(block.alias("block"), "doc_id", "text", *columns).repartition(min(blocks, MAX_TASKS), "block")
 
 
 def ordered(table: pa.Table) -> pa.Table:
@@ -215,36 +251,104 @@ def ordered(table: pa.Table) -> pa.Table:
 
 
 OFFERS, REPLIES = "bucket int, block int, ids binary, counts binary", "bucket int, block int, classes binary"
+SPAN_OFFERS = "span int, team int, block int, ids binary, counts binary"
+_OFFER_KINDS = [("bucket", pa.int32()), ("block", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary())]
+_REPLY_KINDS = [("bucket", pa.int32()), ("block", pa.int32()), ("classes", pa.binary())]
 
 
 # Counts in a byte: as they are up to 127, then in eighths of doublings, rounded up.
 _COUNTS = np.append(np.arange(128), np.ceil(127 * 2 ** (np.arange(1, 129) / 8))).astype(np.int64)
 
 
-def offers(block: int, hashes: np.ndarray, counts: np.ndarray, buckets: int) -> pa.Table:
-    """A block's sorted distinct hashes and in how many of its documents each is (nearly, as a byte of ``_COUNTS``), by bucket."""
-    bounds, rows = bucket_bounds(hashes, buckets), []
-    for b in range(buckets):
-        lo, hi = bounds[b], bounds[b + 1]
-        if hi > lo:
-            low, order = within(hashes[lo:hi])
-            rows.append((b, block, packed(low), np.searchsorted(_COUNTS[:-1], counts[lo:hi][order]).astype(np.uint8).tobytes()))
-    return arrow_table(rows, [("bucket", pa.int32()), ("block", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary())])
+def _in_byte(counts: np.ndarray) -> bytes:
+    return np.searchsorted(_COUNTS[:-1], counts).astype(np.uint8).tobytes()
+
+
+def _from_bytes(column: pa.ChunkedArray) -> np.ndarray:
+    return _COUNTS[np.concatenate([np.frombuffer(x, np.uint8) for x in column.to_pylist()])]
 
 
-def classes_of(hashes: np.ndarray, replies: pa.Table, buckets: int) -> np.ndarray:
+def filled(bounds: np.ndarray) -> list[int]:
+    """The ranges that hold something."""
+    return np.flatnonzero(np.diff(bounds)).tolist()
+
+
+def offers(block: int, hashes: np.ndarray, counts: np.ndarray, buckets: int, first: int = 0, number: int | None = None) -> pa.Table:
+    """A block's sorted distinct hashes and in how many of its documents each is (nearly, as a byte of ``_COUNTS``), by bucket.
+
+    The hashes may be those of a run of buckets only.
+    """
+    bounds, rows = bucket_bounds(hashes, buckets, first, number), []
+    for b in filled(bounds):
+        low, order = within(hashes[bounds[b] : bounds[b + 1]])
+        rows.append((first + b, block, packed(low), _in_byte(counts[bounds[b] : bounds[b + 1]][order])))
+    return arrow_table(rows, _OFFER_KINDS)
+
+
+def classes_of(hashes: np.ndarray, replies: pa.Table, buckets: int, first: int = 0, number: int | None = None) -> np.ndarray:
     """What the buckets answered about a block's sorted distinct hashes.
 
     Buckets know hashes by 32 bits, about one in a thousand shares them with another: a count may then be too high, never
     too low.
     """
-    bounds, classes = bucket_bounds(hashes, buckets), np.zeros(len(hashes), np.uint8)
+    bounds, classes = bucket_bounds(hashes, buckets, first, number), np.zeros(len(hashes), np.uint8)
     for b, data in zip(replies["bucket"].to_pylist(), replies["classes"].to_pylist()):
-        lo, hi = bounds[b], bounds[b + 1]
+        lo, hi = bounds[b - first], bounds[b - first + 1]
         classes[lo + within(hashes[lo:hi])[1]] = np.frombuffer(data, np.uint8)
     return classes
 
 
+def _to_spans(block: int, hashes: np.ndarray, counts: np.ndarray, plan: Exchange) -> pa.Table:
+    bounds, rows = bucket_bounds(hashes, plan.ranges), []
+    for s in filled(bounds):
+        own = slice(bounds[s], bounds[s + 1])
+        rows.append((s, block // plan.per_team, block, packed(hashes[own]), _in_byte(counts[own])))
+    return arrow_table(rows, [("span", pa.int32()), ("team", pa.int32()), *_OFFER_KINDS[1:]])
+
+
+def _of_team(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The hashes of each block, and all of them with the sum of their counts."""
+    own = [unpacked(x, np.uint64) for x in table["ids"].to_pylist()]
+    every, place = np.unique(np.concatenate(own), return_inverse=True)
+    return own, every, np.bincount(place, _from_bytes(table["counts"]), len(every)).astype(np.int64)
+
+
+def hash_classes(dealt: DataFrame, hashes, plan: Exchange) -> DataFrame:
+    """For each hash of each block the doubling class of the number of documents that hold it, 0 for one: ``REPLIES``.
+
+    ``hashes`` gives a block's sorted distinct hashes and in how many of its documents each is. Answers come by ``plan.ranges``
+    and are read by :func:`classes_of`. A hash has one class, whichever block asks.
+    """
+    if not plan.per_team:
+        def offer(table: pa.Table) -> pa.Table:
+            return offers(table["block"][0].as_py(), *hashes(table), plan.buckets)
+
+        return dealt.groupBy("block").applyInArrow(offer, OFFERS).groupBy("bucket").applyInArrow(count_classes, REPLIES)
+
+    def offer_spans(table: pa.Table) -> pa.Table:
+        return _to_spans(table["block"][0].as_py(), *hashes(table), plan)
+
+    def of_team(table: pa.Table) -> pa.Table:
+        _, every, counts = _of_team(table)
+        return offers(table["team"][0].as_py(), every, counts, plan.buckets, table["span"][0].as_py() * plan.per_span, plan.per_span)
+
+    def to_blocks(table: pa.Table, replies: pa.Table) -> pa.Table:
+        rows = []
+        if table.num_rows:
+            span = table["span"][0].as_py()
+            own, every, _ = _of_team(table)
+            classes = classes_of(every, replies, plan.buckets, span * plan.per_span, plan.per_span)
+            for block, ids in zip(table["block"].to_pylist(), own):
+                rows.append((span, block, classes[np.searchsorted(every, ids)][within(ids)[1]].tobytes()))
+        return arrow_table(rows, _REPLY_KINDS)
+
+    offered = dealt.groupBy("block").applyInArrow(offer_spans, SPAN_OFFERS)
+    told = offered.groupBy("team", "span").applyInArrow(of_team, OFFERS).groupBy("bucket").applyInArrow(count_classes, REPLIES)
+    span = F.floor(F.col("bucket") / plan.per_span).cast("int").alias("span")
+    told = told.select(F.col("block").alias("team"), span, "bucket", "classes")
+    return offered.groupBy("team", "span").cogroup(told.groupBy("team", "span")).applyInArrow(to_blocks, REPLIES)
+
+
 def arrow_table(rows: list[tuple], fields: list[tuple]) -> pa.Table:
     columns = list(zip(*rows)) if rows else [[] for _ in fields]
     return pa.table({n: pa.array(list(c), t) for (n, t), c in zip(fields, columns)})
@@ -258,7 +362,7 @@ def arrow_batch(rows: list[tuple], fields: list[tuple]) -> pa.RecordBatch:
 def count_classes(table: pa.Table) -> pa.Table:
     """For each hash offered to a bucket, the doubling class of the number of documents that hold it: 0 for one."""
     blocks, ids = table["block"].to_pylist(), [unpacked(x) for x in table["ids"].to_pylist()]
-    counts = _COUNTS[np.concatenate([np.frombuffer(x, np.uint8) for x in table["counts"].to_pylist()])]
+    counts = _from_bytes(table["counts"])
     sizes = [len(x) for x in ids]
     ids = np.concatenate(ids)
     order = np.argsort(ids, kind="stable")
@@ -270,7 +374,7 @@ def count_classes(table: pa.Table) -> pa.Table:
     out[order] = np.repeat(classes, np.diff(np.append(fresh, len(ids))))
     cuts = np.cumsum(sizes)[:-1]
     rows = [(k, b, c.tobytes()) for k, b, c in zip([table["bucket"][0].as_py()] * len(blocks), blocks, np.split(out, cuts))]
-    return arrow_table(rows, [("bucket", pa.int32()), ("block", pa.int32()), ("classes", pa.binary())])
+    return arrow_table(rows, _REPLY_KINDS)
 
 
 def partition_sums(rows: DataFrame, make) -> np.ndarray | None:

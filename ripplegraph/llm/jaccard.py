@@ -46,25 +46,14 @@ def _block_tokens(table: pa.Table, width: int) -> tuple[pa.Table, list[np.ndarra
     return table, sets, every[fresh], np.diff(np.append(fresh, len(every)))
 
 
-def _offers(buckets: int, width: int):
-    """The shingles of a block and how many of its documents hold each, for the buckets that count them."""
-
-    def offer(table: pa.Table) -> pa.Table:
-        block = table["block"][0].as_py()
-        _, _, tokens, counts = _block_tokens(table, width)
-        return common.offers(block, tokens, counts, buckets)
-
-    return offer
-
-
-def _judged(buckets: int, width: int, percent: int, nameless: bool):
+def _judged(ranges: int, width: int, percent: int, nameless: bool):
     """The documents of a block with their set sizes; sets only of those that may have a partner."""
 
     def judge(docs: pa.Table, replies: pa.Table) -> pa.Table:
         out = []
         if docs.num_rows:
             table, sets, tokens, _ = _block_tokens(docs, width)
-            classes = common.classes_of(tokens, replies, buckets)
+            classes = common.classes_of(tokens, replies, ranges)
             for doc_id, text, own in zip(table["doc_id"].to_pylist(), common.as_bytes(table["text"]), sets):
                 n, text_key = len(own), md5(text).digest()
                 need = -(-percent * n // 100)
@@ -143,12 +132,10 @@ def shingle_sets(docs: DataFrame, width: int, percent: int, nameless: bool = Fal
     Documents without a doc_id take part only with ``nameless``. ``text_key`` is the MD5 digest of the text.
     """
     common.prepare(docs.sparkSession)
-    total = common.text_bytes(docs)
-    blocks, buckets = common.parts_for(total, BLOCK_BYTES, 4), common.parts_for(total, BUCKET_BYTES, 4)
-    dealt = common.in_blocks(docs, blocks)
-    offers = dealt.groupBy("block").applyInArrow(_offers(buckets, width), common.OFFERS)
-    replies = offers.groupBy("bucket").applyInArrow(common.count_classes, common.REPLIES)
-    return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_judged(buckets, width, percent, nameless), _SETS)
+    plan = common.exchange(common.text_bytes(docs), BLOCK_BYTES, BUCKET_BYTES)
+    dealt = common.in_blocks(docs, plan.blocks)
+    replies = common.hash_classes(dealt, lambda table: _block_tokens(table, width)[2:], plan)
+    return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_judged(plan.ranges, width, percent, nameless), _SETS)
 
 
 def _placed(sets: DataFrame, percent: int) -> DataFrame:

@@ -211,13 +211,13 @@ class _Pieces:
         place = self.place[single]
         self.key[single] = common.mix(_overlapping_hashes(self.buf, place, place + self.length))
 
-    def repeated(self, replies: pa.Table, buckets: int, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def repeated(self, replies: pa.Table, ranges: int, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The different pieces that may repeat (as an example of each), the smallest text of each, and each piece's number.
 
         Pieces whose hash has the class ``hot`` or a higher one are parted first.
         """
         keys = np.unique(self.key)
-        classes = common.classes_of(keys, replies, buckets)
+        classes = common.classes_of(keys, replies, ranges)
         own = classes[np.searchsorted(keys, self.key)] if len(keys) else np.zeros(0, np.uint8)
         if (own >= hot).any():
             windows = self.windows
@@ -251,30 +251,22 @@ def _overlapping_hashes(buf: np.ndarray, first: np.ndarray, last: np.ndarray) ->
 _PIECES = "bucket int, block int, keys binary, sizes binary, content binary, docs binary"
 
 
-def _offer_hashes(length: int, buckets: int):
-    def offer(table: pa.Table) -> pa.Table:
-        return common.offers(table["block"][0].as_py(), *_Pieces(table, length).hashes(), buckets)
-
-    return offer
-
-
-def _offer_pieces(length: int, buckets: int, hot: int):
+def _offer_pieces(length: int, plan: common.Exchange, hot: int):
     def offer(docs: pa.Table, replies: pa.Table) -> pa.Table:
         rows = []
         if docs.num_rows:
             pieces = _Pieces(docs, length)
-            different, _, _ = pieces.repeated(replies, buckets, hot)
-            bounds = common.bucket_bounds(pieces.key[different], buckets)
+            different, _, _ = pieces.repeated(replies, plan.ranges, hot)
+            bounds = common.bucket_bounds(pieces.key[different], plan.buckets)
             ids = np.array([0 if d is None else d for d in pieces.ids], np.int64)
             block = docs["block"][0].as_py()
-            for b in range(buckets):
+            for b in common.filled(bounds):
                 own = different[bounds[b] : bounds[b + 1]]
-                if len(own):
-                    sizes = pieces.windows[own] + length - 1
-                    inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                    content = pieces.buf[np.repeat(pieces.place[own], sizes) + inside]
-                    keys = (pieces.key[own] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                    rows.append((b, block, keys.tobytes(), sizes.astype(np.uint8).tobytes(), content.tobytes(), ids[pieces.doc[own]].tobytes()))
+                sizes = pieces.windows[own] + length - 1
+                inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                content = pieces.buf[np.repeat(pieces.place[own], sizes) + inside]
+                keys = (pieces.key[own] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                rows.append((b, block, keys.tobytes(), sizes.astype(np.uint8).tobytes(), content.tobytes(), ids[pieces.doc[own]].tobytes()))
         kinds = [("bucket", pa.int32()), ("block", pa.int32())] + [(n, pa.binary()) for n in ("keys", "sizes", "content", "docs")]
         return common.arrow_table(rows, kinds)
 
@@ -420,7 +412,7 @@ def _answers(length: int):
     return answer
 
 
-def _cleaned(length: int, buckets: int, hot: int, extra: int, as_text: bool):
+def _cleaned(length: int, plan: common.Exchange, hot: int, extra: int, as_text: bool):
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     kinds = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", span)]
     kinds.append(("kept", pa.string() if as_text else pa.binary()))
@@ -431,8 +423,8 @@ def _cleaned(length: int, buckets: int, hot: int, extra: int, as_text: bool):
         docs = common.ordered(docs)
         pieces = _Pieces(docs, length)
         known = replies.filter(pc.is_valid(replies["classes"]))
-        different, some, number = pieces.repeated(known, buckets, hot)
-        bounds, bits = common.bucket_bounds(pieces.key[different], buckets), np.zeros(len(different), np.uint64)
+        different, some, number = pieces.repeated(known, plan.ranges, hot)
+        bounds, bits = common.bucket_bounds(pieces.key[different], plan.buckets), np.zeros(len(different), np.uint64)
         for b, data in zip(replies["bucket"].to_pylist(), replies["bits"].to_pylist()):
             if data is not None:
                 bits[bounds[b] : bounds[b + 1]] = np.frombuffer(data, np.uint64)
@@ -477,13 +469,11 @@ def without_repeats(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = (
     if not 2 <= length <= 100:
         raise ValueError("length must be from 2 to 100")
     common.prepare(docs.sparkSession)
-    total = common.text_bytes(docs)
-    blocks, buckets = common.parts_for(total, BLOCK_BYTES, 4), common.parts_for(total, BUCKET_BYTES, 4)
+    plan = common.exchange(common.text_bytes(docs), BLOCK_BYTES, BUCKET_BYTES)
     slim = docs.select("doc_id", "text", *[F.col(common.quoted(c)).alias(f"x{k}") for k, c in enumerate(keep)])
-    dealt = common.in_blocks(slim, blocks, *slim.columns[2:])
-    hashes = dealt.groupBy("block").applyInArrow(_offer_hashes(length, buckets), common.OFFERS)
-    shared = hashes.groupBy("bucket").applyInArrow(common.count_classes, common.REPLIES)
-    pieces = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_offer_pieces(length, buckets, HOT), _PIECES)
+    dealt = common.in_blocks(slim, plan.blocks, *slim.columns[2:])
+    shared = common.hash_classes(dealt, lambda table: _Pieces(table, length).hashes(), plan)
+    pieces = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_offer_pieces(length, plan, HOT), _PIECES)
     bits = pieces.groupBy("bucket").applyInArrow(_answers(length), "bucket int, block int, bits binary")
     none = F.lit(None).cast("binary")
     told = shared.withColumn("bits", none).unionByName(bits.select("bucket", "block", none.alias("classes"), "bits"))
@@ -492,7 +482,7 @@ def without_repeats(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = (
     )
     for field in slim.schema[2:]:
         schema = schema.add(field.name, field.dataType)
-    found = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_cleaned(length, buckets, HOT, len(keep), as_text), schema)
+    found = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_cleaned(length, plan, HOT, len(keep), as_text), schema)
     names = found.columns[: len(found.columns) - len(keep)]
     for c in keep:
         while c in names:

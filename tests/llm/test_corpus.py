@@ -227,10 +227,11 @@ def test_suffix_dedup_parts_hot_hashes():
     pa, rows = common.pa, boilerplate(4_000)
     block = lambda b: pa.table({"block": pa.array([b] * 2_000, pa.int32()), "doc_id": [r[0] for r in rows[b::2]], "text": [r[1] for r in rows[b::2]]})
     blocks, hot = [block(0), block(1)], (8,) if hasattr(suffixes, "HOT") else ()
-    shared = common.count_classes(pa.concat_tables([suffixes._offer_hashes(50, 1)(t) for t in blocks]))
+    offered = [common.offers(b, *suffixes._Pieces(t, 50).hashes(), 1) for b, t in enumerate(blocks)]
+    shared, plan = common.count_classes(pa.concat_tables(offered)), common.Exchange(2, 1)
     most = Counter()
     for b, t in enumerate(blocks):
-        sent = suffixes._offer_pieces(50, 1, *hot)(t, shared.filter(common.pa.compute.equal(shared["block"], b)))
+        sent = suffixes._offer_pieces(50, plan, *hot)(t, shared.filter(common.pa.compute.equal(shared["block"], b)))
         for keys in sent["keys"].to_pylist():
             most.update(np.frombuffer(keys, np.uint32).tolist())
     assert 1 < max(most.values()) <= 1 << 7
