@@ -365,6 +365,31 @@ def test_decontamination(spark, texts, monkeypatch, small):
     assert any(w[4] for w in wanted.values())
 
 
+@pytest.mark.parametrize("hot", [None, 1])
+def test_decontamination_of_short_and_common_items(spark, monkeypatch, hot):
+    """Windows of one, two and more words, shingles that many documents repeat, and the same with salted shingles."""
+    if hot:
+        monkeypatch.setattr(decontam, "is_small", lambda df: False)
+        monkeypatch.setattr(decontam, "HOT_ROWS", hot)
+    rng = np.random.default_rng(3)
+    made = lambda n: " ".join(rng.choice(list("abcd"), n))
+    docs = [(i, made(int(rng.integers(0, 60)))) for i in range(150)] + [(150, "a b " * 300), (151, None), (152, "z")]
+    items = [(1, "z"), (2, "a c"), (3, "b b b"), (4, made(9)), (5, docs[7][1]), (6, "a b " * 8), (7, made(14)), (8, "d q d"), (9, None)]
+    wanted = plain_contamination(docs, items)
+    found = decontam.contamination(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    )
+    names = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert {r["doc_id"]: tuple(r[c] for c in names) for r in rows_of(found)} == wanted
+
+
+def test_broadcasts_are_bounded_by_bytes(spark, monkeypatch):
+    rows = spark.createDataFrame([("x" * 100,)] * 20, "word string")
+    assert decontam.is_small(rows)
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", 1_000)
+    assert not decontam.is_small(rows)
+
+
 def test_decontamination_odd_texts(spark, odd, none):
     items = spark.createDataFrame([(1, "W5 w6, W7"), (1, "W5 w6, W7"), (None, "le CHAT"), (2, None), (3, "")], "item_id long, text string")
     found = sorted((r["doc_id"] or 0, r["n_hit"], r["n_items"]) for r in rows_of(decontam.contamination(odd, items)) if r["n_hit"])
