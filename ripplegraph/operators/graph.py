@@ -38,7 +38,7 @@ def hot_ends(edges: DataFrame) -> list[HotKeys]:
     return hot_key_sets(edges, [["news_id", "src_idx"], ["news_id", "dst_idx"]])
 
 
-def _links(nodes: DataFrame, edges: DataFrame, drop_loops: bool = True) -> DataFrame:
+def links_of(nodes: DataFrame, edges: DataFrame, drop_loops: bool = True) -> DataFrame:
     """Edges plus one link of every node to itself, marked ``own``. Loops in the input give way to it."""
     real = edges.where(F.col("src_idx") != F.col("dst_idx")) if drop_loops else edges
     return real.select("news_id", "src_idx", "dst_idx", F.lit(False).alias("own")).unionByName(
@@ -51,7 +51,7 @@ def _links(nodes: DataFrame, edges: DataFrame, drop_loops: bool = True) -> DataF
 def in_degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Incoming edges per node, counting one loop and every one of several equal edges."""
     return (
-        _links(nodes, edges)
+        links_of(nodes, edges)
         .groupBy("news_id", F.col("dst_idx").alias("node_idx"))
         .agg(F.count(F.lit(1)).cast("double").alias("degree"))
     )
@@ -63,7 +63,7 @@ def gcn_norm(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     degrees = in_degrees(nodes, edges)
     src = degrees.select("news_id", F.col("node_idx").alias("src_idx"), F.col("degree").alias("d_src"))
     dst = degrees.select("news_id", F.col("node_idx").alias("dst_idx"), F.col("degree").alias("d_dst"))
-    linked = salted_join(_links(nodes, edges), src, ["news_id", "src_idx"], hot, ["dst_idx"])
+    linked = salted_join(links_of(nodes, edges), src, ["news_id", "src_idx"], hot, ["dst_idx"])
     linked = salted_join(linked, dst, ["news_id", "dst_idx"], hot_targets, ["src_idx"])
     weight = F.lit(1.0) / F.sqrt(F.col("d_src") * F.col("d_dst"))
     return linked.select("news_id", "src_idx", "dst_idx", weight.alias("weight"))
@@ -101,16 +101,20 @@ def gcn_propagate(
 ) -> DataFrame:
     """``rounds`` rounds of the normalised neighbour sum, without weights: one join and one grouping each."""
     hot = hot_sources(edges) if hot is None else hot
-    links = _links(nodes, edges)
+    return gcn_rounds(nodes, links_of(nodes, edges), names, rounds, hot)
+
+
+def gcn_rounds(nodes: DataFrame, links: DataFrame, names: list[str], rounds: int, hot: HotKeys, store_every: int = STORE_EVERY) -> DataFrame:
+    """The rounds over ``links``, which hold one link of every node to itself, marked ``own``."""
     state = _with_degree(nodes, links, names)
     for done in range(1, rounds + 1):
         state = _gcn_round(state, links, names, hot)
-        if done % STORE_EVERY == 0 and done < rounds:
+        if done % store_every == 0 and done < rounds:
             state = materialise(state)
     return state.select(*NODE, *names)
 
 
-def _sage_round(state: DataFrame, links: DataFrame, names: list[str], prefix: str, hot: HotKeys) -> DataFrame:
+def sage_round(state: DataFrame, links: DataFrame, names: list[str], prefix: str, hot: HotKeys) -> DataFrame:
     sent = salted_join(links, _as_source(state, *names), ["news_id", "src_idx"], hot, ["dst_idx"])
     own, heard = F.col("own"), ~F.col("own")
     return sent.groupBy("news_id", F.col("dst_idx").alias("node_idx")).agg(
@@ -124,7 +128,7 @@ def sage_mean(
 ) -> DataFrame:
     """Each node's own columns and the mean over its in-neighbours (0 for a node without any)."""
     hot = hot_sources(edges) if hot is None else hot
-    return _sage_round(nodes, _links(nodes, edges, drop_loops=False), names, prefix, hot)
+    return sage_round(nodes, links_of(nodes, edges, drop_loops=False), names, prefix, hot)
 
 
 def _weighted(names: list[str], weights) -> Column:
@@ -171,7 +175,7 @@ def gat_attention(
     nodes: DataFrame, edges: DataFrame, names: list[str], source_weights, target_weights
 ) -> DataFrame:
     """Attention-weighted sum over in-neighbours and the node itself, for given attention vectors."""
-    return _gat_round(nodes, _links(nodes, edges), names, (source_weights, target_weights), *hot_ends(edges))
+    return _gat_round(nodes, links_of(nodes, edges), names, (source_weights, target_weights), *hot_ends(edges))
 
 
 # --- pooling ----------------------------------------------------------------------------------
@@ -297,7 +301,7 @@ def node_states(
     neighbour sums and linear maps commute, the sum runs on the narrower side of a layer.
     """
     hot = hot_sources(edges) if hot is None else hot
-    links = _links(nodes, edges, drop_loops=net.convolution != "sage")
+    links = links_of(nodes, edges, drop_loops=net.convolution != "sage")
     gcn = net.convolution == "gcn"
     state, inputs = (_with_degree(nodes, links, names) if gcn else nodes.select(*NODE, *names)), names
     keep = [*NODE, "degree"] if gcn else NODE
@@ -308,7 +312,7 @@ def node_states(
         relu = last_relu or number < len(net.convolutions)
         names_out = _names("h", layer.outputs)
         if net.convolution == "sage":
-            heard = _sage_round(state, links, inputs, "m_", hot)
+            heard = sage_round(state, links, inputs, "m_", hot)
             both = Layer(np.hstack([net.neighbours.weight, layer.weight]), net.neighbours.offsets())
             state = linear_layer(heard, keep, [f"m_{n}" for n in inputs] + inputs, both, "h", relu)
         elif net.convolution == "gat":

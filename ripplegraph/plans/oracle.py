@@ -482,10 +482,13 @@ oracle("rank_features", "importance", f"SELECT model, {_RANK}, feature FROM impo
 oracle("gcn_norm", "weights", f"SELECT news_id, src_idx, dst_idx, {rs('weight')} FROM weights")
 oracle("gcn_propagate", "round2", f"SELECT news_id, node_idx, {rs(*X)} FROM round2")
 oracle("gcn_propagate_arrays", "round2", f"SELECT news_id, node_idx, {', '.join(r(f'round({x}, 12)', x) for x in X)} FROM round2")
-oracle("sage_mean", "nodes graph_e", f"""SELECT n.news_id, n.node_idx, {', '.join(r(f'any_value(n.{x})', x) for x in X)},
+oracle("gcn_propagate_bucketed", "round2", f"SELECT news_id, node_idx, {', '.join(r(f'round({x}, 12)', x) for x in X)} FROM round2")
+_SAGE = f"""SELECT n.news_id, n.node_idx, {', '.join(r(f'any_value(n.{x})', x) for x in X)},
     {', '.join(r(f'coalesce(avg(s.{x}), 0)', f'mean_{x}') for x in X)} FROM nodes n
     LEFT JOIN graph_e e ON e.news_id = n.news_id AND e.dst_idx = n.node_idx
-    LEFT JOIN nodes s ON s.news_id = e.news_id AND s.node_idx = e.src_idx GROUP BY 1, 2""")
+    LEFT JOIN nodes s ON s.news_id = e.news_id AND s.node_idx = e.src_idx GROUP BY 1, 2"""
+oracle("sage_mean", "nodes graph_e", _SAGE)
+oracle("sage_mean_bucketed", "nodes graph_e", _SAGE)
 _AS = " + ".join(f"{0.01 * (i + 1)!r}::DOUBLE * x{i}" for i in range(8))
 _AD = " + ".join(f"{0.02 * (4 - i)!r}::DOUBLE * x{i}" for i in range(8))
 oracle("gat_attention", "nodes looped", f"""SELECT news_id, dst_idx AS node_idx,

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ripplegraph.operators import analysis, cascades, checks, edges, features, graph, learning, metrics, structure, text, vectors
-from ripplegraph.plans import build
+from ripplegraph.plans import build, colocated
 from ripplegraph.plans.ordering import union_all
 from ripplegraph.plans.skew import HotKeys
 from ripplegraph.schema import align_schema
@@ -558,6 +558,18 @@ def gcn_propagate(spark, sf_dir):
     return state.withColumns({n: F.round(n, 12) for n in MATRIX})
 
 
+@query
+def gcn_propagate_bucketed(spark, sf_dir):
+    """Two rounds over tables bucketed by story, without an exchange of states."""
+    state = colocated.gcn_propagate(*_graph(spark, sf_dir), MATRIX, rounds=2)
+    return state.withColumns({n: F.round(n, 12) for n in MATRIX})
+
+
+@query
+def sage_mean_bucketed(spark, sf_dir):
+    return colocated.sage_mean(*_graph(spark, sf_dir), MATRIX)
+
+
 @query
 def sage_mean(spark, sf_dir):
     return graph.sage_mean(*_graph(spark, sf_dir), MATRIX)

@@ -103,12 +103,24 @@ def drop_superseded(spark: SparkSession, path: str) -> int:
     return dropped
 
 
-def save_bucketed(df: DataFrame, table: str, buckets: int, key: str = "news_id") -> DataFrame:
-    """Store a table bucketed by its cascade, so that later joins and groupings on it need no shuffle."""
-    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+def save_bucketed(df: DataFrame, table: str, buckets: int, key: str = "news_id", path: str | None = None) -> DataFrame:
+    """Store a table bucketed by its cascade, so that later joins and groupings on it need no shuffle.
+
+    Rows are dealt to their buckets first: one file a bucket, not one for each task and bucket. ``path`` places an external table.
+    """
+    writer = df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+    (writer if path is None else writer.option("path", path)).saveAsTable(table)
     return df.sparkSession.table(table)
 
 
+def drop_bucketed(spark: SparkSession, table: str, path: str | None = None) -> None:
+    """Forget a table, and delete the files of an external one."""
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    if path is not None:
+        files, place = _place(spark, path)
+        files.delete(place, True)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     # The default format would cut timestamps to milliseconds.
     options = {"header": True, "escape": '"', "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}

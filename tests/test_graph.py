@@ -5,7 +5,7 @@ import pytest
 
 from ripplegraph.operators import graph
 from ripplegraph.operators.graph import Layer, Network
-from ripplegraph.plans import skew
+from ripplegraph.plans import colocated, skew
 
 EDGES = [(0, 1), (0, 2), (0, 3), (1, 2), (1, 2)]
 X = np.array([[1.0, 2], [3, 1], [0, 5], [2, 2]])
@@ -54,6 +54,35 @@ def test_propagation_by_hand(spark):
     assert degrees == {0: 1, 1: 2, 2: 4, 3: 2}
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_bucketed_propagation_matches(spark, monkeypatch, hot):
+    """Rounds over bucketed tables, also with the largest story above the limit; nothing is left of the tables."""
+    nodes, links = tables(spark, random_graphs(1))
+    names = [f"x{i}" for i in range(4)]
+    if hot:
+        sizes = [r["count"] for r in graph.links_of(nodes, links).groupBy("news_id").count().collect()]
+        assert min(sizes) < max(sizes)
+        monkeypatch.setattr(skew, "HOT_ROWS", max(sizes) - 1)
+    monkeypatch.setattr(colocated, "BUCKET_ROWS", 5)
+    found = collected(colocated.gcn_propagate(nodes, links, names, rounds=4), names)
+    expected = collected(graph.gcn_propagate(nodes, links, names, rounds=4), names)
+    assert found.keys() == expected.keys() and all(row == pytest.approx(expected[k]) for k, row in found.items())
+    means = [*names, *[f"mean_{n}" for n in names]]
+    found, expected = [collected(m.sage_mean(nodes, links, names), means) for m in (colocated, graph)]
+    assert found.keys() == expected.keys() and all(row == pytest.approx(expected[k]) for k, row in found.items())
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(("nodes_", "links_"))]
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
+def test_bucketed_rounds_exchange_nothing(spark):
+    nodes, links = tables(spark, random_graphs(1))
+    names = [f"x{i}" for i in range(4)]
+    with colocated.stored_by_story(nodes, graph.links_of(nodes, links), 3) as (lying, meeting):
+        done = graph.gcn_rounds(lying, meeting, names, 3, colocated.ORDINARY, store_every=4)
+        plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("SortMergeJoin") == 4
+
+
 @pytest.mark.parametrize("limit", [None, 2])
 def test_many_rounds_match_the_dense_matrix(spark, monkeypatch, limit):
     if limit:
