@@ -22,6 +22,7 @@ from ripplegraph.plans.skew import (
     lookup_join,
     salted_join,
 )
+from ripplegraph.session import materialise
 
 # Fixed values of the edge rules.
 LOOKBACK = 5
@@ -206,7 +207,9 @@ def pattern_match(cascades: DataFrame, patterns: DataFrame, seed: str = "42") ->
     patterns are never paired off. Without a similar pattern the run is the whole class. Cascades of a class
     without patterns are left out.
     """
-    sizes = cascades.select("is_fake", "cascade_size").distinct()
+    # Both are read several times below: to be counted, ranked, summed and joined.
+    patterns = materialise(patterns, "patterns")
+    sizes = materialise(cascades.select("is_fake", "cascade_size").distinct(), "sizes")
     small = is_small(patterns) and is_small(sizes)
     # Small tables cannot have hot groups, so there is nothing to look for.
     hot = HotKeys(("is_fake",), MAX_BROADCAST_ROWS) if small else None
