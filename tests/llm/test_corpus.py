@@ -425,6 +425,45 @@ def test_quality_rules_keep_good_and_find_odd_documents(spark):
     assert passed[passed.quality == 0].kept.mean() < 0.5
 
 
+def plain_anomaly(forest, row):
+    """The mean path of one row, tree by tree and step by step; what is left in a leaf counts as a mean search."""
+    total = 0.0
+    for t in range(len(forest.feature)):
+        node = steps = 0
+        while forest.feature[t, node] >= 0:
+            below = row[forest.feature[t, node]] <= forest.split[t, node]
+            node, steps = (forest.left if below else forest.right)[t, node], steps + 1
+        assert forest.path[t, node] >= steps
+        total += forest.path[t, node]
+    return 2.0 ** (-total / len(forest.feature) / forest.norm)
+
+
+def test_quality_rules_match_plain_verdicts(spark):
+    """Every verdict from plain walks through the trees and a limit that is tried class by class."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    fitted = rules.fit(stats.with_statistics(docs), labels)
+    names = stats.COUNTS + stats.MORE
+    counted = {r["doc_id"]: [r[n] for n in names] for r in stats.with_statistics(docs).collect()}
+    passed, scores = set(), {}
+    for i, values in counted.items():
+        c = dict(zip(names, values))
+        if c["n_words"] >= 50 and 2 * c["n_repeat_words"] <= c["n_words"]:
+            passed.add(i)
+            scores[i] = plain_anomaly(fitted.forest, rules.rates({n: np.array([v]) for n, v in c.items()})[0])
+    known = [(r["quality"], scores[r["doc_id"]]) for r in labels.where("quality in (0, 1)").collect() if r["doc_id"] in passed]
+    allowed = []
+    for limit in sorted({int(s * rules.BINS) for _, s in known}):
+        gone = [q for q, s in known if int(s * rules.BINS) >= limit]
+        if gone.count(1) <= rules.LOSS * len(known):
+            allowed.append((limit, gone.count(0) > gone.count(1)))
+    assert fitted.limit == min(limit for limit, mostly_bad in allowed if mostly_bad)
+    kept = {r["doc_id"]: r["kept"] for r in QUERIES["op6_quality_rules"](spark, sf).collect()}
+    assert kept == {i: i in passed and scores[i] < fitted.limit / rules.BINS for i in counted}
+    assert 0 < sum(i in passed and not k for i, k in kept.items())
+
+
 def test_quality_rules_odd_texts(spark, odd, none):
     labels = spark.createDataFrame([(1, None), (2, 1), (None, 0), (6, 0)], "doc_id long, quality int")
     found = rows_of(rules.judged(odd, labels))
@@ -574,6 +613,39 @@ def test_quality_classifier(spark):
     assert auc > 0.95 and (held.predicted == held.quality).mean() > 0.95
 
 
+def test_quality_classifier_matches_plain_regression(spark):
+    """Ridge weights by least squares over all rows at once, the monotone fit by its max-min formula, and the scores."""
+    docs, labels = [spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels")]
+    labels = labels.where("quality in (0, 1)").select("doc_id", "quality")
+    counted = stats.with_statistics(docs).repartition(7)
+    model = quality.fit(counted.join(labels, "doc_id"))
+    frame = counted.toPandas().set_index("doc_id").sort_index()
+    known = labels.toPandas().set_index("doc_id")["quality"]
+    x = quality.inputs({n: frame[n].to_numpy() for n in stats.COUNTS + stats.MORE})
+    at = frame.index.get_indexer(known.index)
+    y, own = known.to_numpy(float), x[at]
+    assert np.allclose(model.mean, own.mean(axis=0)) and np.allclose(model.spread, own.std(axis=0))
+    z = np.clip((x - own.mean(axis=0)) / own.std(axis=0), -6, 6)
+    waves = [[np.cos(sum(r * w) + s) for w, s in zip(model.waves.T, model.shifts)] for r in z]
+    lifted = np.column_stack([np.array(waves) * np.sqrt(2 / quality.FEATURES), z, np.ones(len(z))])
+    size = lifted.shape[1]
+    ridge = np.sqrt(quality.RIDGE * len(y) / size) * np.eye(size)
+    weights = np.linalg.lstsq(np.vstack([lifted[at], ridge]), np.concatenate([y, np.zeros(size)]), rcond=None)[0]
+    raw = lifted @ weights
+    assert np.abs(raw - quality.raw_scores(x, model)).max() < 1e-6
+    classes = np.clip((quality.raw_scores(own, model) + 0.5) / 2 * quality.BINS, 0, quality.BINS - 1).astype(int)
+    filled = sorted(set(classes))
+    groups = [y[classes == c] for c in filled]
+    mean = lambda a, b: np.concatenate(groups[a : b + 1]).mean()
+    last = range(len(groups))
+    means = np.array([[mean(a, b) if a <= b else np.nan for b in last] for a in last])
+    levels = [max(np.nanmin(means[a, i:]) for a in range(i + 1)) for i in last]
+    assert np.allclose(model.levels, levels)
+    found = {r["doc_id"]: r["score"] for r in quality.scored(docs, labels).collect()}
+    wanted = np.interp(raw, (np.array(filled) + 0.5) / quality.BINS * 2 - 0.5, levels)
+    assert max(abs(found[i] - s) for i, s in zip(frame.index, wanted)) < 1e-4
+
+
 def test_quality_classifier_odd_texts(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, None), (None, 1), (9, 0)], "doc_id long, quality int")
     assert all(0 <= r["score"] <= 1 for r in rows_of(quality.scored(odd, labels)))
