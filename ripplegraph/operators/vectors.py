@@ -1,10 +1,11 @@
 """Message passing on nodes whose state is one array column, for states too wide for named columns.
 
 Nodes are ``news_id, node_idx, state`` (arrays of one width), edges ``news_id, src_idx, dst_idx``. A story of up to
-``CELL`` nodes meets its edges in one group, where all rounds run as matrix products: its states don't travel between
-rounds. A larger story is cut into cells, a block of sources by a block of targets: each cell sums what its sources send,
-and the partial sums of a target are added. Whatever its size, no group holds more than ``CELL`` states, and equal edges are
-merged first, so a story's size doesn't bound what can be run.
+``whole_numbers()`` numbers (256 MB) meets its edges in one group, where all rounds run as matrix products: its states don't
+travel between rounds. They travel there without their zeros, if most are. Rounds without a linear map run on a few columns
+at a time. A larger story is cut into cells, a block of sources by a block of targets: each cell sums what its sources send,
+and the partial sums of a target are added. Whatever its size, no such group holds more than ``CELL`` states, and equal edges
+are merged first, so a story's size doesn't bound what can be run.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from ripplegraph.session import materialise, ship_package
 CELL = 4_096
 # Numbers that a sum over edges gathers at once.
 GATHERED = 1 << 22
+# Numbers in a column slice of a story's states.
+SLICED = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -76,40 +79,96 @@ def vector_layer(df: DataFrame, keep: list[str], layer: Layer, relu: bool = Fals
     return _mapped(df.select(*keep, "state"), keep, lambda batch: step.apply(matrix(batch.column("state"))))
 
 
-def _sums(x: np.ndarray, src: np.ndarray, dst: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
-    """Per target the sum of its sources' rows, each times its number of edges; edges are sorted by target."""
+def _sums(x: np.ndarray, src: np.ndarray, dst: np.ndarray, n: np.ndarray | None, size: int) -> np.ndarray:
+    """Per target the sum of its sources' rows, each times its number of edges (1 without ``n``); edges are sorted by target."""
     out = np.zeros((size, x.shape[1]))
     run = max(1, GATHERED // max(1, x.shape[1]))
     for at in range(0, len(src), run):
         part = slice(at, at + run)
         own = dst[part]
         starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-        out[own[starts]] += np.add.reduceat(x[src[part]] * n[part, None], starts)
+        sent = x[src[part]]
+        out[own[starts]] += np.add.reduceat(sent if n is None else sent * n[part, None], starts)
     return out
 
 
-def _with_own(nodes: np.ndarray, links: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of the ends of all links and their numbers, one link of every node to itself included, by target."""
+def _with_own(nodes: np.ndarray, links: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the ends of all links, one link of every node to itself included, by target."""
     own = np.arange(len(nodes))
     src, dst = (np.searchsorted(nodes, links[c].to_numpy()) for c in ("src_idx", "dst_idx"))
     src, dst = np.append(src, own), np.append(dst, own)
-    n = np.append(links["n"].to_numpy(), np.ones(len(own))).astype(float)
     order = np.argsort(dst, kind="stable")
-    return src[order], dst[order], n[order]
+    return src[order], dst[order]
 
 
-def _whole_stories(steps: list[Step]):
+def _shortened(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The states of a batch as ``value`` with the places ``at`` of the numbers, zeros left out; ``at`` is null where all are kept."""
+    x = matrix(batch.column("state"))
+    row, column = np.nonzero(x)
+    if 3 * len(row) < x.size:
+        ends = pa.array(np.append(0, np.cumsum(np.bincount(row, minlength=len(x)))).astype(np.int32), pa.int32())
+        at, value = (pa.ListArray.from_arrays(ends, pa.array(v)) for v in (column.astype(np.int32), x[row, column]))
+    else:
+        at, value = pa.nulls(len(x), pa.list_(pa.int32())), arrays(x)
+    return pa.RecordBatch.from_arrays([batch.column("news_id"), batch.column("node_idx"), at, value], names=[*NODE, "at", "value"])
+
+
+def _short(nodes: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield _shortened(batch)
+
+    ints, numbers = T.ArrayType(T.IntegerType()), T.ArrayType(T.DoubleType())
+    return nodes.mapInArrow(run, T.StructType([*[nodes.schema[n] for n in NODE], T.StructField("at", ints), T.StructField("value", numbers)]))
+
+
+def _entries(nodes: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and value of all numbers that were sent, in the order of the columns."""
+    at, value = nodes["at"].combine_chunks(), nodes["value"].combine_chunks()
+    counts = value.value_lengths().to_numpy()
+    row, values = np.repeat(np.arange(len(counts), dtype=np.int32), counts), value.flatten().to_numpy(zero_copy_only=False)
+    column = (np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
+    column[np.repeat(at.is_valid().to_numpy(zero_copy_only=False), counts)] = at.flatten().to_numpy()
+    order = np.argsort(column, kind="stable")
+    return row[order], column[order], values[order]
+
+
+def _whole_stories(steps: list[Step], width: int):
     """All rounds of one story."""
 
+    def rounds(x: np.ndarray, src: np.ndarray, dst: np.ndarray, root: np.ndarray) -> np.ndarray:
+        for step in steps:
+            x /= root
+            x = _sums(x, src, dst, None, len(x))
+            x /= root
+            x = step.apply(x)
+        return x
+
     def run(nodes: pa.Table, links: pa.Table) -> pa.Table:
-        nodes = nodes.sort_by("node_idx")
-        idx, x = nodes["node_idx"].to_numpy(), matrix(nodes["state"])
-        if len(idx):
-            src, dst, n = _with_own(idx, links)
-            root = np.sqrt(np.bincount(dst, n, len(idx)))[:, None]
-            for step in steps:
-                x = step.apply(_sums(x / root, src, dst, n, len(idx)) / root)
-        return pa.table({"news_id": nodes["news_id"], "node_idx": nodes["node_idx"], "state": arrays(x)})
+        nodes = nodes.take(pa.array(np.argsort(nodes["node_idx"].to_numpy(), kind="stable")))
+        idx = nodes["node_idx"].to_numpy()
+        if not len(idx):
+            return pa.table({**{n: nodes[n] for n in NODE}, "state": arrays(np.zeros((0, width)))})
+        src, dst = _with_own(idx, links)
+        root = np.sqrt(np.bincount(dst, minlength=len(idx)))[:, None]
+        full = matrix(nodes["value"]) if nodes["at"].null_count == len(idx) else None
+        row, column, value = _entries(nodes) if full is None else (None, None, None)
+        # a linear map needs all columns, a sum of neighbours none but its own
+        each = max(1, SLICED // len(idx)) if all(s.layer is None for s in steps) else width
+        out = np.empty((len(idx), width)) if each < width else None
+        for lo in range(0, width, each):
+            hi = min(width, lo + each)
+            if full is None:
+                a, b = np.searchsorted(column, [lo, hi])
+                x = np.zeros((len(idx), hi - lo))
+                x[row[a:b], column[a:b] - lo] = value[a:b]
+            else:
+                x = full if each >= width else full[:, lo:hi].copy()
+            x = rounds(x, src, dst, root)
+            if out is not None:
+                out[:, lo:hi] = x
+        return pa.table({**{n: nodes[n] for n in NODE}, "state": arrays(x if out is None else out)})
 
     return run
 
@@ -152,24 +211,42 @@ def _in_cells(state: DataFrame, links: DataFrame, steps: list[Step]) -> DataFram
     return state
 
 
-def vector_rounds(nodes: DataFrame, edges: DataFrame, steps: list[Step]) -> DataFrame:
+def whole_numbers() -> int:
+    """Numbers that the states of a story may have for it to be one group."""
+    return 2 * CELL * CELL
+
+
+def _large(nodes: DataFrame, edges: DataFrame, width: int) -> DataFrame:
+    """The stories that are too large for one group, by numbers of their states or by links."""
+    most = whole_numbers()
+    by_nodes = nodes.groupBy("news_id").agg(F.max("node_idx").alias("last")).where((F.col("last") + 1) * width > most)
+    by_links = edges.groupBy("news_id").agg(F.count(F.lit(1)).alias("links")).where(F.col("links") * 4 > most)
+    return materialise(by_nodes.select("news_id").union(by_links.select("news_id")).distinct(), "large")
+
+
+def vector_rounds(nodes: DataFrame, edges: DataFrame, steps: list[Step], listed: DataFrame | None = None) -> DataFrame:
     """One normalised neighbour sum per step, each followed by the step: the nodes with their last state.
 
-    Loops among the edges give way to the link of every node to itself; equal edges count each.
+    Loops among the edges give way to the link of every node to itself; equal edges count each. ``listed`` is a table of the
+    same nodes that is cheaper to read, for the sizes of stories.
     """
     ship_package(nodes.sparkSession)
-    links = edges.where(F.col("src_idx") != F.col("dst_idx")).groupBy("news_id", "src_idx", "dst_idx").agg(F.count(F.lit(1)).alias("n"))
+    first = nodes.select(F.size("state")).first()
+    width = first[0] if first else 1
+    ends = [F.col(c).cast("long").alias(c) for c in ("src_idx", "dst_idx")]
+    links = edges.where(F.col("src_idx") != F.col("dst_idx")).select("news_id", *ends)
     nodes = nodes.select("news_id", F.col("node_idx").cast("long").alias("node_idx"), F.col("state").cast("array<double>").alias("state"))
-    links = links.select("news_id", F.col("src_idx").cast("long").alias("src_idx"), F.col("dst_idx").cast("long").alias("dst_idx"), "n")
-    large = materialise(nodes.where(F.col("node_idx") >= CELL).select("news_id").distinct(), "large")
+    # states are there twice while a linear map is applied
+    large = _large(nodes if listed is None else listed, links, width if all(s.layer is None for s in steps) else 2 * width)
     small_nodes, small_links = nodes, links
     some = not large.isEmpty()
     if some:
         told = F.broadcast(large) if is_small(large) else large
         small_nodes, small_links = nodes.join(told, "news_id", "left_anti"), links.join(told, "news_id", "left_anti")
-    done = small_nodes.groupBy("news_id").cogroup(small_links.groupBy("news_id")).applyInArrow(_whole_stories(steps), nodes.schema)
+    done = _short(small_nodes).groupBy("news_id").cogroup(small_links.groupBy("news_id")).applyInArrow(_whole_stories(steps, width), nodes.schema)
     if some:
-        done = done.unionByName(_in_cells(nodes.join(told, "news_id"), links.join(told, "news_id"), steps))
+        merged = links.join(told, "news_id").groupBy("news_id", "src_idx", "dst_idx").agg(F.count(F.lit(1)).alias("n"))
+        done = done.unionByName(_in_cells(nodes.join(told, "news_id"), merged, steps))
     return done
 
 
@@ -193,7 +270,7 @@ def vector_states(nodes: DataFrame, edges: DataFrame, net: Network, last_relu: b
     if net.embedding is not None:
         state = vector_layer(state, NODE, net.embedding, relu=True)
     last = len(net.convolutions) - 1
-    return vector_rounds(state, edges, [Step(layer, last_relu or k < last) for k, layer in enumerate(net.convolutions)])
+    return vector_rounds(state, edges, [Step(layer, last_relu or k < last) for k, layer in enumerate(net.convolutions)], listed=nodes)
 
 
 def vector_infer(nodes: DataFrame, edges: DataFrame, net: Network) -> DataFrame:

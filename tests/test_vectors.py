@@ -89,6 +89,32 @@ def test_no_state_travels_between_rounds(spark):
     assert plans[0].count("Exchange") == plans[1].count("Exchange")
 
 
+def test_story_beyond_a_block_is_one_group(spark, monkeypatch):
+    """More nodes than a block has don't send a story to the cells; its zeros stay behind and its columns go in slices."""
+    monkeypatch.setattr(vectors, "CELL", 8)
+    monkeypatch.setattr(vectors, "SLICED", 40)
+    monkeypatch.setattr(vectors, "_in_cells", None)
+    rng = np.random.default_rng(5)
+    links = [(0, i) for i in range(1, 20)] + [(int(a), int(b)) for a, b in rng.integers(0, 20, (10, 2))]
+    sparse = rng.normal(size=(20, 6)) * (rng.random((20, 6)) < 0.2)
+    sparse[3, 2] = np.nan
+    for x in (sparse, rng.normal(size=(20, 6))):
+        found = states(vectors.vector_propagate(*arrayed(spark, [(x, links)]), rounds=2))
+        a = dense(np.zeros_like(x), [e for e in links if e[0] != e[1]])
+        for i, row in enumerate(a @ a @ np.nan_to_num(x)):
+            known = ~np.isnan(found[("g0", i)])
+            assert np.array(found[("g0", i)])[known] == pytest.approx(row[known])
+        assert np.isnan(found[("g0", 3)][2]) == np.isnan(x[3, 2])
+
+
+def test_links_decide_too(spark, monkeypatch):
+    """A story of few nodes with very many links isn't one group."""
+    monkeypatch.setattr(vectors, "CELL", 4)
+    x = np.ones((3, 2))
+    nodes, links = arrayed(spark, [(x, [(0, 1)] * 9), (x, [(0, 1)])])
+    assert [r.news_id for r in vectors._large(nodes, links, 2).collect()] == ["g0"]
+
+
 def test_pooling(spark):
     graphs = random_graphs(6, 4)
     found = {r.news_id: r.state for r in vectors.vector_pool(arrayed(spark, graphs)[0]).collect()}
