@@ -677,9 +677,9 @@ def gnn_infer_news(spark, sf_dir):
     return first.join(graph.gnn_infer(nodes, joined, MATRIX, simple).select("news_id", "p_fake", "pred"), "news_id")
 
 
-def _text_nodes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+def _text_nodes(spark, sf_dir, built: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes with structure features and text vectors in one array, and all edges."""
-    nodes, joined = _graph(spark, sf_dir)
+    nodes, joined = built or _graph(spark, sf_dir)
     return materialise(text.node_vectors(nodes, adapters.tweets(spark, sf_dir), MATRIX), "vectors"), joined
 
 
@@ -740,8 +740,8 @@ def stratified_split_items(spark, sf_dir):
     return learning.split_sizes(learning.stratified_split(documents))
 
 
-def _pooled(spark, sf_dir) -> tuple[DataFrame, list[str]]:
-    nodes, joined = _graph(spark, sf_dir)
+def _pooled(spark, sf_dir, built: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, list[str]]:
+    nodes, joined = built or _graph(spark, sf_dir)
     pooled = graph.mean_max_pool(graph.gcn_propagate(nodes, joined, MATRIX, rounds=2), MATRIX)
     return pooled, [c for c in pooled.columns if c != "news_id"]
 
@@ -766,9 +766,9 @@ def fit_structure(spark, sf_dir):
     return _staged(spark, _parts(spark, sf_dir, pooled), names, A)
 
 
-def _text_pooled(spark, sf_dir) -> DataFrame:
+def _text_pooled(spark, sf_dir, built: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Graphs by node states of structure and text, propagated twice: mean and maximum as one vector."""
-    pooled = vectors.vector_pool(vectors.vector_propagate(*_text_nodes(spark, sf_dir), rounds=2))
+    pooled = vectors.vector_pool(vectors.vector_propagate(*_text_nodes(spark, sf_dir, built), rounds=2))
     return pooled.select("news_id", array_to_vector("state").alias("pooled"))
 
 
@@ -783,8 +783,9 @@ def fit_structure_text(spark, sf_dir):
 
 def _fitted_predictions(spark, sf_dir) -> DataFrame:
     """Both models fitted on one train part and scored on one test part, with the graphs' mean features."""
-    pooled, names = _pooled(spark, sf_dir)
-    parts = _parts(spark, sf_dir, pooled.join(_text_pooled(spark, sf_dir), "news_id"))
+    built = _graph(spark, sf_dir)
+    pooled, names = _pooled(spark, sf_dir, built)
+    parts = _parts(spark, sf_dir, pooled.join(_text_pooled(spark, sf_dir, built), "news_id"))
     models = {A: learning.fit_structure(parts["train"], names, learning.logistic()),
               B: learning.fit_structure_text(parts["train"], [], "pooled", learning.logistic())}
     scored = union_all([learning.predict_graphs(model, parts["test"], name) for name, model in models.items()])
