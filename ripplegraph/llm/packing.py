@@ -38,6 +38,17 @@ def _from_ranks(path: Path):
     return lambda word: array("I", own.encode_ordinary(word)).tobytes()
 
 
+class _Known(dict):
+    """Ids by word. A word that isn't there yet is encoded with the space before it."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = self.encode(" " + word)
+        return ids
+
+
 class _Words:
     """Ids of texts, with the ids of words remembered.
 
@@ -56,9 +67,12 @@ class _Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.runs = re.compile(r"\s (?:\s|$)|[\x1c-\x1f\x85]")
-        self.known: dict[str, bytes] = {}
         ranks = Path(path).with_suffix(".tiktoken")
-        self.word = _from_ranks(ranks) if ranks.exists() else None
+        self.batched = not ranks.exists()
+        self.known = _Known(self.single if self.batched else _from_ranks(ranks))
+
+    def single(self, text: str) -> bytes:
+        return self.encode([text])[0]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -66,21 +80,18 @@ class _Words:
 
     def ids(self, text: str) -> bytes:
         if self.runs.search(text) or any(t in text for t in self.added):
-            return self.encode([text])[0]
+            return self.single(text)
         words = text.split(" ")
         known = self.known
         first = words[0]
         words[0] = ""
-        out = [known.get(w) for w in words]
-        if None in out:
-            missing = list({w for w, x in zip(words, out) if x is None})
-            if len(known) + len(missing) > CACHE:
-                known.clear()
-                missing = list(set(words))
-            spaced = [" " + w for w in missing]
-            known.update(zip(missing, self.encode(spaced) if self.word is None else map(self.word, spaced)))
-            out = [known[w] for w in words]
-        out[0] = self.encode([first])[0] if first else b""
+        if len(known) > CACHE:
+            known.clear()
+        if self.batched:
+            missing = list(set(words) - known.keys())
+            known.update(zip(missing, self.encode([" " + w for w in missing])))
+        out = list(map(known.__getitem__, words))
+        out[0] = self.single(first) if first else b""
         return b"".join(out)
 
 

@@ -743,3 +743,17 @@ def test_pipeline_of_no_documents(spark, none):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SMALL)
     assert docs.count() == 0
+
+
+def test_words_are_encoded_once_each(monkeypatch):
+    """A word costs one encoding while it is remembered, with ranks and without, and also where the memory is cleared."""
+    words = packing._Words(vocabulary())
+    texts = ["one two  three two", " one\ttwo", "", "two one three", "wide \u00e9 \u4e2d words words"]
+    seen, inner = [], words.known.encode
+    words.known.encode = lambda w: seen.append(w) or inner(w)
+    assert [words.ids(t) for t in texts] == words.encode(texts)
+    assert len(seen) == len(set(seen)) and not words.batched
+    monkeypatch.setattr(packing, "CACHE", 1)
+    assert [words.ids(t) for t in texts] == words.encode(texts)
+    words.batched, words.known = True, packing._Known(words.single)
+    assert [words.ids(t) for t in texts] == words.encode(texts)
