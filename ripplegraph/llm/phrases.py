@@ -25,7 +25,9 @@ from ripplegraph.plans.skew import hot_key_sets, salted_join
 from ripplegraph.session import materialise
 
 # Bytes of text that a task counts at once, and that a bucket stands for.
-BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
+BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
+# Bytes of rows that leave a worker in one batch.
+SENT_BYTES = 2 << 20
 # Different edges of one node in a block above which they are dealt out one by one.
 HOT_EDGES = 20_000
 # Rows of a language that are ranked in one task before the best meet.
@@ -107,27 +109,35 @@ def _block(texts: list[bytes], langs: list[str], salts: np.ndarray, buckets: int
         return
     words = common.span_hashes(buf, first, last)
     words = common.mix(words + salts[doc]) | np.uint64(1)  # 0 is kept for the end of a piece
-    ends = np.cumsum(cut, dtype=np.int64)[first]
+    ends = np.cumsum(cut, dtype=np.int32)[first]
     final = np.append(ends[1:] != ends[:-1], True)  # every text ends in a break
+    del cut, ends
 
     # distinct words: place of the first, and pieces that end in them
     order = np.argsort(words, kind="stable")
     at = _firsts(words[order])
     yield from _word_rows(words[order][at], first[order[at]], last[order[at]], [langs[d] for d in doc[order[at]].tolist()],
                           np.add.reduceat(final[order].astype(np.int64), at), buf, buckets)
+    # what the words took is given back before the edges are sorted
+    del buf, first, last, doc, order, at
 
     inner = np.flatnonzero(~final)
     third = np.append(words[2:], np.zeros(2, np.uint64))[: len(words)]
     third[:-1][final[1:]] = 0
-    a, b, c, n = _summed(words[inner], words[inner + 1], third[inner], None)
+    edges = words[inner], words[inner + 1], third[inner]
+    del words, third, inner, final
+    a, b, c, n = _summed(*edges, None)
+    del edges
     if not len(a):
         return
     nodes = _firsts(a, b)
     sizes = np.diff(np.append(nodes, len(a)))
     home = _bucket(_node_hash(a, b), buckets)
-    hot = np.repeat(sizes > HOT_EDGES, sizes)
-    yield from _edge_rows(EDGES, home[~hot], a[~hot], b[~hot], c[~hot], n[~hot])
-    if hot.any():
+    if not (sizes > HOT_EDGES).any():
+        yield from _edge_rows(EDGES, home, a, b, c, n)
+    else:
+        hot = np.repeat(sizes > HOT_EDGES, sizes)
+        yield from _edge_rows(EDGES, home[~hot], a[~hot], b[~hot], c[~hot], n[~hot])
         a, b, c, n = (x[hot] for x in (a, b, c, n))
         yield from _edge_rows(SINGLE, _bucket(_node_hash(common.mix(a) ^ b, c), buckets), a, b, c, n)
         at = _firsts(a, b)
@@ -182,8 +192,11 @@ def _bucket_parts(least: int):
                         names=["kind", "w1", "w2", "w3", "n", "lang", "word"])
 
     def edges_of(data: list[bytes]) -> tuple[np.ndarray, ...]:
-        parts = [_unpacked(x) for x in data]
-        return _summed(*[np.concatenate([p[i] for p in parts]) for i in range(4)])
+        # what has been joined is given back: a bucket's edges are there once, and once more while they are sorted
+        parts = []
+        while data:
+            parts.append(list(_unpacked(data.pop())))
+        return _summed(*[np.concatenate([p.pop(0) for p in parts]) for _ in range(4)])
 
     def parts(table: pa.Table) -> pa.Table:
         held: dict[int, list[bytes]] = {k: [] for k in range(4)}
@@ -234,7 +247,7 @@ def counted(docs: DataFrame, least: int) -> DataFrame:
                 for row in _block(texts, langs, np.array(salts, np.int64).view(np.uint64), buckets):
                     rows.append(row)
                     size += len(row[2])
-                    if size > BLOCK_BYTES:
+                    if size > SENT_BYTES:
                         yield common.arrow_batch(rows, _DEALT)
                         rows, size = [], 0
                 yield common.arrow_batch(rows, _DEALT)

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ripplegraph.llm import bpe, fim, phrases
+from ripplegraph.llm import bpe, common, fim, phrases
 from ripplegraph.llm.queries import QUERIES, vocabulary
 
 SMALL = "/root/testdata/sf0.001"
@@ -286,3 +286,22 @@ def test_boundary_set(density):
     for k in [0, len(offsets) - 1, *rng.integers(0, len(offsets), 300).tolist()]:
         assert found.select(int(k)) == offsets[k]
     assert len(fim.BoundarySet(np.zeros(0, np.int64))) == 0 and found.cut(0) == 0
+
+
+def test_block_of_phrases_is_light():
+    """Counting a block takes less than 34 times its text beside it, short words and hardly any repeated, and leaves in small batches."""
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    texts = [" ".join(map("w{}".format, rng.integers(0, 5_000, 2_000))).encode() for _ in range(200)]
+    size, salts = sum(map(len, texts)), np.zeros(len(texts), np.uint64)
+    common._powers(1 << 20)  # kept by a worker
+    tracemalloc.start()
+    try:
+        before = tracemalloc.get_traced_memory()[0]
+        sent = sum(len(row[2]) for row in phrases._block(texts, ["en"] * len(texts), salts, 16))
+        most = tracemalloc.get_traced_memory()[1] - before
+    finally:
+        tracemalloc.stop()
+    assert sent and most < 34 * size
+    assert phrases.SENT_BYTES < phrases.BLOCK_BYTES <= 4 << 20
