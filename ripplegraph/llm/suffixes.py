@@ -343,6 +343,28 @@ def _short_hashes(buf: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.nd
     return common.mix(out)
 
 
+def _sharing(buf: np.ndarray, place: np.ndarray, windows: np.ndarray, groups: np.ndarray, length: int) -> np.ndarray:
+    """Whether a piece has a window that may occur in another piece of its group, by hashes of all windows."""
+    up, down = common._powers(_CHUNK + 2 * length)
+    found, pieces = [], []
+    for i in range(0, len(place), 1 << 13):
+        some = slice(i, i + (1 << 13))
+        n = windows[some] + length - 1
+        inside = np.minimum(np.arange(int(n.max())), n[:, None] - 1)
+        sums = np.zeros((len(n), inside.shape[1] + 1), np.uint64)
+        np.cumsum(buf[place[some][:, None] + inside] * up[: inside.shape[1]], axis=1, out=sums[:, 1:])
+        hashes = (sums[:, length:] - sums[:, :-length]) * down[: inside.shape[1] - length + 1] + groups[some][:, None].astype(np.uint64) * common.GOLD
+        piece, at = np.nonzero(np.arange(hashes.shape[1]) < windows[some][:, None])
+        found.append(common.mix(hashes[piece, at]))
+        pieces.append((piece + i).astype(np.int32))
+    out = np.zeros(len(place), bool)
+    if found:
+        hashes, piece = np.concatenate(found), np.concatenate(pieces)
+        order = np.argsort(hashes)
+        out[piece[order[_repeated(hashes[order])]]] = True
+    return out
+
+
 def _answers(length: int):
     """In a bucket: for each piece of each block, a bit per window that a smaller document has."""
 
@@ -390,6 +412,9 @@ def _answers(length: int):
                 near[some[order_[_repeated(ext[order_])]]] = True
             keep = near | plain
             open_, seeds, group = open_[keep], np.where(plain, -1, seeds)[keep], group[keep]
+            # no other window needs a place in the order
+            keep = _sharing(buf, place[head[open_]], windows[open_], group, length)
+            open_, seeds, group = open_[keep], seeds[keep], group[keep]
         at = 0
         total = np.cumsum(sizes[head[open_]] + 1)
         while at < len(open_):

@@ -757,3 +757,18 @@ def test_words_are_encoded_once_each(monkeypatch):
     assert [words.ids(t) for t in texts] == words.encode(texts)
     words.batched, words.known = True, packing._Known(words.single)
     assert [words.ids(t) for t in texts] == words.encode(texts)
+
+
+def test_only_pieces_that_share_a_window_are_sorted(monkeypatch):
+    """Pieces of one group that share a seed but no window stay out of the suffix array."""
+    rng = np.random.default_rng(2)
+    seed = bytes(rng.integers(97, 123, 25, dtype=np.uint8))
+    side = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8))
+    left = side(20)
+    # the first two share 20 + 25 + 5 bytes, the others only the seed and 20 bytes to its left; the last is of another group
+    pieces = [left + seed + b"hello" + side(5), left + seed + b"hello" + side(9), left + seed + side(9), left + seed + b"hello" + side(7)]
+    sizes = np.array([len(p) for p in pieces])
+    buf = np.frombuffer(b"".join(pieces), np.uint8)
+    found = suffixes._sharing(buf, np.cumsum(sizes) - sizes, sizes - 49, np.array([0, 0, 0, 1]), 50)
+    assert found.tolist() == [True, True, False, False]
+    assert not len(suffixes._sharing(buf, *[np.zeros(0, np.int64)] * 3, 50))
