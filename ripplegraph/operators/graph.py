@@ -24,6 +24,8 @@ LEAK = 0.2
 STORE_EVERY = 3
 # Layers up to this many weights are written out as column expressions; larger ones run on Arrow batches.
 MAX_EXPRESSION_WEIGHTS = 256
+# States wider than this travel as arrays, once for all rounds, where the convolution is a normalised sum.
+MAX_NAMED_STATE = 16
 
 
 # --- propagation ------------------------------------------------------------------------------
@@ -300,9 +302,15 @@ def node_states(
     Links and degrees come from the node table, never from a state, so a layer reads the state before it once. As
     neighbour sums and linear maps commute, the sum runs on the narrower side of a layer.
     """
+    gcn = net.convolution == "gcn"
+    if gcn and min(layer.weight.shape[1] for layer in net.convolutions) > MAX_NAMED_STATE:
+        from ripplegraph.operators import vectors  # it builds on this module
+
+        arrayed = nodes.select(*NODE, F.array(*[F.col(n).cast("double") for n in names]).alias("state"))
+        width = net.convolutions[-1].outputs
+        return spread_array(vectors.vector_states(arrayed, edges, net, last_relu), NODE, "state", width, "h"), _names("h", width)
     hot = hot_sources(edges) if hot is None else hot
     links = links_of(nodes, edges, drop_loops=net.convolution != "sage")
-    gcn = net.convolution == "gcn"
     state, inputs = (_with_degree(nodes, links, names) if gcn else nodes.select(*NODE, *names)), names
     keep = [*NODE, "degree"] if gcn else NODE
     if net.embedding is not None:

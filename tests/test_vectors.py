@@ -185,3 +185,24 @@ def test_arrays_equal_named_columns(spark):
     named = {r.news_id: r.p_fake for r in graph.gnn_infer(nodes, links, [f"x{i}" for i in range(4)], net).collect()}
     found = {r.news_id: r.p_fake for r in vectors.vector_infer(*arrayed(spark, graphs), net).collect()}
     assert found == pytest.approx(named)
+
+
+def test_wide_named_states_go_as_arrays(spark):
+    """The forward pass on named columns: a wide state is exchanged once, and gives what dense matrices give."""
+    graphs = random_graphs(13, 3)
+    nodes, links = tables(spark, graphs)
+    names, net = [f"x{i}" for i in range(4)], wide_network(4, 20)
+    state, hidden = graph.node_states(nodes, links, names, net, last_relu=True)
+    assert state._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 2
+    found = {(r.news_id, r.node_idx): [r[h] for h in hidden] for r in state.collect()}
+    for g, (x, e) in enumerate(graphs):
+        for i, row in enumerate(dense_pass(x, e, net)[0]):
+            assert found[(f"g{g}", i)] == pytest.approx(row.tolist())
+
+
+def test_inputs_of_user_graphs_are_joined_once(spark, monkeypatch):
+    from ripplegraph.plans import registry
+
+    stored, inner = [], registry.materialise
+    monkeypatch.setattr(registry, "materialise", lambda df, name: stored.append(name) or inner(df, name))
+    assert registry.write_user_graphs(spark, "/root/testdata/sf0.001").count() and stored == ["tweets", "links"]
