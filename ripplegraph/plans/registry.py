@@ -144,7 +144,9 @@ def write_user_graphs(spark, sf_dir):
     tweets = adapters.tweets(spark, sf_dir).join(
         adapters.user_tweets(spark, sf_dir).select("tweet_id", "followers", "following", "verified", "credibility"), "tweet_id"
     )
-    return build.sizes(build.build_user_graphs(tweets, adapters.edges(spark, sf_dir), scratch_path(spark, "graphs")))
+    # Both inputs are read for the digest and again for every table: each is joined once.
+    tweets, links = materialise(tweets, "tweets"), materialise(adapters.edges(spark, sf_dir), "links")
+    return build.sizes(build.build_user_graphs(tweets, links, scratch_path(spark, "graphs")))
 
 
 @query
