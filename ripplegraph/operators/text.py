@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import IDF, HashingTF, IDFModel, Normalizer
+from pyspark.ml.feature import IDF, HashingTF, IDFModel, Normalizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -170,18 +170,19 @@ def retweet_text(tweets: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.select("source", "target", quoted.alias("text"))
 
 
-def text_lookup(nodes: DataFrame, tweets: DataFrame) -> DataFrame:
+def text_lookup(nodes: DataFrame, tweets: DataFrame, kept: list[str] | None = None) -> DataFrame:
     """A text per node: the tweet's own (null as ''), ``Tweet {id}`` for an unknown id, ``News article {i}`` for news.
 
-    ``i`` is the 0-based rank of the news id among the kept cascades.
+    ``i`` is the 0-based rank of the news id among the kept cascades. Columns ``kept`` of the nodes come along.
     """
-    news = position(nodes.where(F.col("node_type") == 0).select("news_id", "node_idx"), [], ["news_id"], "_i")
+    kept = kept or []
+    news = position(nodes.where(F.col("node_type") == 0).select("news_id", "node_idx", *kept), [], ["news_id"], "_i")
     articles = news.select(
         "news_id", "node_idx", F.lit(None).cast("string").alias("tweet_id"),
-        F.concat(F.lit("News article "), F.col("_i")).alias("text"),
+        F.concat(F.lit("News article "), F.col("_i")).alias("text"), *kept,
     )
     texts = tweets.select(F.col("tweet_id").cast("string"), _text("text").alias("text"))
-    own = nodes.where(F.col("node_type") == 1).select("news_id", "node_idx", "tweet_id").join(texts, "tweet_id", "left")
+    own = nodes.where(F.col("node_type") == 1).select("news_id", "node_idx", "tweet_id", *kept).join(texts, "tweet_id", "left")
     named = own.withColumn("text", F.coalesce("text", F.concat(F.lit("Tweet "), F.col("tweet_id"))))
     return articles.unionByName(named.select(*articles.columns))
 
@@ -230,13 +231,23 @@ def encode_texts(
     return rows.mapInArrow(encode, f"{key_schema}, embedding array<float>")
 
 
-def node_vectors(nodes: DataFrame, tweets: DataFrame, names: list[str], dimensions: int = DIMENSIONS) -> DataFrame:
+def node_vectors(
+    nodes: DataFrame, tweets: DataFrame, names: list[str], dimensions: int = DIMENSIONS, sparse: bool = False
+) -> DataFrame:
     """Every node's ``state``: its columns ``names`` followed by the vector of its text.
 
     Texts are looked up by tweet id; the news node's text names the article. Inverse document frequencies are those of these texts.
+    The state is an array or, with ``sparse``, an ML vector without its zeros, for which texts are split once and nodes joined once.
     """
-    texts = materialise(text_lookup(nodes, tweets), "texts")
     key = ["news_id", "node_idx"]
+    if sparse:
+        found = _term_counts(text_lookup(nodes, tweets, names), dimensions)
+        counts = materialise(found.select(*key, *[F.col(n).cast("double").alias(n) for n in names], "_tf"), "words")
+        weighted = IDF(inputCol="_tf", outputCol="_tfidf").fit(counts).transform(counts)
+        unit = Normalizer(inputCol="_tfidf", outputCol="_unit").transform(weighted)
+        both = VectorAssembler(inputCols=[*names, "_unit"], outputCol="state", handleInvalid="keep")
+        return both.transform(unit).select(*key, "state")
+    texts = materialise(text_lookup(nodes, tweets), "texts")
     vectors = text_embedding(texts, fit_idf(texts, dimensions), key, dimensions=dimensions)
     return feature_concat(nodes, vectors, key, names).select(*key, F.col("features").alias("state"))
 

@@ -1,6 +1,7 @@
 """Message passing on nodes whose state is one array column, for states too wide for named columns.
 
-Nodes are ``news_id, node_idx, state`` (arrays of one width), edges ``news_id, src_idx, dst_idx``. A story of up to
+Nodes are ``news_id, node_idx, state`` (arrays of one width, or ML vectors of one size), edges ``news_id, src_idx, dst_idx``. ML
+vectors travel as they are, sparse ones without zeros, and a first linear map meets them in their story. A story of up to
 ``whole_numbers()`` numbers (256 MB) meets its edges in one group, where all rounds run as matrix products: its states don't
 travel between rounds. They travel there without their zeros, if most are. Rounds without a linear map run on a few columns
 at a time. A larger story is cut into cells, a block of sources by a block of targets: each cell sums what its sources send,
@@ -15,7 +16,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,10 +52,34 @@ class Step:
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """The arrays of a column as rows; they must have one length."""
     flat = pa.chunked_array([column]) if isinstance(column, pa.Array) else column
+    if pa.types.is_struct(flat.type):
+        return _dense(*_entries(*_vector_parts(flat)), len(flat), _vector_size(flat))
     values = np.concatenate([np.zeros(0), *[c.flatten().to_numpy(zero_copy_only=False) for c in flat.chunks]]).astype(float)
     return values.reshape(len(column), -1) if len(column) else values.reshape(0, 0)
 
 
+def _vector_parts(column: pa.ChunkedArray) -> tuple[pa.Array, pa.Array]:
+    """Of ML vectors the places (null where all numbers are kept) and the numbers."""
+    vectors = column.combine_chunks()
+    if isinstance(vectors, pa.ChunkedArray):
+        vectors = pa.concat_arrays(vectors.chunks) if vectors.num_chunks else pa.array([], vectors.type)
+    return vectors.field("indices"), vectors.field("values")
+
+
+def _vector_size(column: pa.ChunkedArray) -> int:
+    """The size of ML vectors, which dense ones tell by their numbers."""
+    for vector in column:
+        found = vector.as_py()
+        return len(found["values"]) if found["size"] is None else found["size"]
+    return 0
+
+
+def _dense(row: np.ndarray, at: np.ndarray, value: np.ndarray, rows: int, width: int) -> np.ndarray:
+    x = np.zeros((rows, width))
+    x[row, at] = value
+    return x
+
+
 def arrays(rows: np.ndarray, kind: pa.DataType | None = None) -> pa.ListArray:
     n, width = rows.shape
     values = pa.array(np.ascontiguousarray(rows).ravel(), kind or pa.float64())
@@ -123,19 +150,27 @@ def _short(nodes: DataFrame) -> DataFrame:
     return nodes.mapInArrow(run, T.StructType([*[nodes.schema[n] for n in NODE], T.StructField("at", ints), T.StructField("value", numbers)]))
 
 
-def _entries(nodes: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, column and value of all numbers that were sent, in the order of the columns."""
-    at, value = nodes["at"].combine_chunks(), nodes["value"].combine_chunks()
-    counts = value.value_lengths().to_numpy()
+def _entries(at: pa.Array, value: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and value of all numbers that were sent."""
+    counts = pc.fill_null(value.value_lengths(), 0).to_numpy()
     row, values = np.repeat(np.arange(len(counts), dtype=np.int32), counts), value.flatten().to_numpy(zero_copy_only=False)
     column = (np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
     column[np.repeat(at.is_valid().to_numpy(zero_copy_only=False), counts)] = at.flatten().to_numpy()
-    order = np.argsort(column, kind="stable")
-    return row[order], column[order], values[order]
+    return row, column, values
+
+
+def _embedded(at: pa.Array, value: pa.Array, width: int, first: Step) -> np.ndarray:
+    """The first step on the states of a story, a block of nodes at a time."""
+    run = max(1, SLICED // width)
+    parts = []
+    for lo in range(0, len(value), run):
+        block = value.slice(lo, run)
+        parts.append(first.apply(_dense(*_entries(at.slice(lo, run), block), len(block), width)))
+    return np.concatenate(parts)
 
 
-def _whole_stories(steps: list[Step], width: int):
-    """All rounds of one story."""
+def _whole_stories(steps: list[Step], width: int, first: Step | None = None):
+    """All rounds of one story, after a ``first`` step on its own states if there is one."""
 
     def rounds(x: np.ndarray, src: np.ndarray, dst: np.ndarray, root: np.ndarray) -> np.ndarray:
         for step in steps:
@@ -152,8 +187,15 @@ def _whole_stories(steps: list[Step], width: int):
             return pa.table({**{n: nodes[n] for n in NODE}, "state": arrays(np.zeros((0, width)))})
         src, dst = _with_own(idx, links)
         root = np.sqrt(np.bincount(dst, minlength=len(idx)))[:, None]
-        full = matrix(nodes["value"]) if nodes["at"].null_count == len(idx) else None
-        row, column, value = _entries(nodes) if full is None else (None, None, None)
+        at, value = _vector_parts(nodes["state"]) if "state" in nodes.column_names else (nodes[n].combine_chunks() for n in ("at", "value"))
+        if first is not None:
+            x = rounds(_embedded(at, value, width, first), src, dst, root)
+            return pa.table({**{n: nodes[n] for n in NODE}, "state": arrays(x)})
+        full = matrix(value) if at.null_count == len(idx) else None
+        if full is None:
+            row, column, numbers = _entries(at, value)
+            order = np.argsort(column, kind="stable")
+            row, column, numbers = row[order], column[order], numbers[order]
         # a linear map needs all columns, a sum of neighbours none but its own
         each = max(1, SLICED // len(idx)) if all(s.layer is None for s in steps) else width
         out = np.empty((len(idx), width)) if each < width else None
@@ -161,8 +203,7 @@ def _whole_stories(steps: list[Step], width: int):
             hi = min(width, lo + each)
             if full is None:
                 a, b = np.searchsorted(column, [lo, hi])
-                x = np.zeros((len(idx), hi - lo))
-                x[row[a:b], column[a:b] - lo] = value[a:b]
+                x = _dense(row[a:b], column[a:b] - lo, numbers[a:b], len(idx), hi - lo)
             else:
                 x = full if each >= width else full[:, lo:hi].copy()
             x = rounds(x, src, dst, root)
@@ -224,29 +265,51 @@ def _large(nodes: DataFrame, edges: DataFrame, width: int) -> DataFrame:
     return materialise(by_nodes.select("news_id").union(by_links.select("news_id")).distinct(), "large")
 
 
-def vector_rounds(nodes: DataFrame, edges: DataFrame, steps: list[Step], listed: DataFrame | None = None) -> DataFrame:
+def _is_vector(nodes: DataFrame) -> bool:
+    return isinstance(nodes.schema["state"].dataType, VectorUDT)
+
+
+def vector_rounds(
+    nodes: DataFrame, edges: DataFrame, steps: list[Step], listed: DataFrame | None = None, first: Layer | None = None
+) -> DataFrame:
     """One normalised neighbour sum per step, each followed by the step: the nodes with their last state.
 
     Loops among the edges give way to the link of every node to itself; equal edges count each. ``listed`` is a table of the
-    same nodes that is cheaper to read, for the sizes of stories.
+    same nodes that is cheaper to read, for the sizes of stories. A layer ``first``, with relu, is applied before the rounds: to
+    ML vectors in their story, if that may hold them without zeros left out, else before they travel.
     """
     ship_package(nodes.sparkSession)
-    first = nodes.select(F.size("state")).first()
-    width = first[0] if first else 1
+    vector = _is_vector(nodes)
+    if first is not None and not vector:
+        return vector_rounds(vector_layer(nodes, NODE, first, relu=True), edges, steps, nodes if listed is None else listed)
+    states = vector_to_array("state") if vector else F.col("state")
+    top = nodes.select(F.size(states)).first()
+    width = top[0] if top else 1
     ends = [F.col(c).cast("long").alias(c) for c in ("src_idx", "dst_idx")]
     links = edges.where(F.col("src_idx") != F.col("dst_idx")).select("news_id", *ends)
-    nodes = nodes.select("news_id", F.col("node_idx").cast("long").alias("node_idx"), F.col("state").cast("array<double>").alias("state"))
+    kept = F.col("state") if vector else F.col("state").cast("array<double>").alias("state")
+    nodes = nodes.select("news_id", F.col("node_idx").cast("long").alias("node_idx"), kept)
     # states are there twice while a linear map is applied
-    large = _large(nodes if listed is None else listed, links, width if all(s.layer is None for s in steps) else 2 * width)
+    room = width if all(s.layer is None for s in steps) else 2 * width
+    if first is not None:
+        room = max(width, 2 * first.weight.shape[0])
+    large = _large(nodes if listed is None else listed, links, room)
     small_nodes, small_links = nodes, links
     some = not large.isEmpty()
     if some:
         told = F.broadcast(large) if is_small(large) else large
         small_nodes, small_links = nodes.join(told, "news_id", "left_anti"), links.join(told, "news_id", "left_anti")
-    done = _short(small_nodes).groupBy("news_id").cogroup(small_links.groupBy("news_id")).applyInArrow(_whole_stories(steps, width), nodes.schema)
+    schema = T.StructType([*[nodes.schema[n] for n in NODE], T.StructField("state", T.ArrayType(T.DoubleType()))])
+    run = _whole_stories(steps, width, None if first is None else Step(first, relu=True))
+    sent = small_nodes if vector else _short(small_nodes)
+    done = sent.groupBy("news_id").cogroup(small_links.groupBy("news_id")).applyInArrow(run, schema)
     if some:
-        merged = links.join(told, "news_id").groupBy("news_id", "src_idx", "dst_idx").agg(F.count(F.lit(1)).alias("n"))
-        done = done.unionByName(_in_cells(nodes.join(told, "news_id"), merged, steps))
+        rest, rest_links = nodes.join(told, "news_id"), links.join(told, "news_id")
+        if first is not None:
+            return done.unionByName(vector_rounds(vector_layer(rest, NODE, first, relu=True), rest_links, steps, rest))
+        merged = rest_links.groupBy("news_id", "src_idx", "dst_idx").agg(F.count(F.lit(1)).alias("n"))
+        rest = _mapped(rest, NODE, lambda batch: matrix(batch.column("state"))) if vector else rest
+        done = done.unionByName(_in_cells(rest, merged, steps))
     return done
 
 
@@ -266,11 +329,9 @@ def vector_states(nodes: DataFrame, edges: DataFrame, net: Network, last_relu: b
     """Node states after the last convolution of a network of normalised sums."""
     if net.convolution != "gcn":
         raise ValueError("array states run through normalised sums only")
-    state = nodes.select(*NODE, "state")
-    if net.embedding is not None:
-        state = vector_layer(state, NODE, net.embedding, relu=True)
     last = len(net.convolutions) - 1
-    return vector_rounds(state, edges, [Step(layer, last_relu or k < last) for k, layer in enumerate(net.convolutions)], listed=nodes)
+    steps = [Step(layer, last_relu or k < last) for k, layer in enumerate(net.convolutions)]
+    return vector_rounds(nodes.select(*NODE, "state"), edges, steps, listed=nodes, first=net.embedding)
 
 
 def vector_infer(nodes: DataFrame, edges: DataFrame, net: Network) -> DataFrame:

@@ -680,9 +680,9 @@ def gnn_infer_news(spark, sf_dir):
 
 
 def _text_nodes(spark, sf_dir, built: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Nodes with structure features and text vectors in one array, and all edges."""
+    """Nodes with structure features and text vectors in one sparse vector, and all edges."""
     nodes, joined = built or _graph(spark, sf_dir)
-    return materialise(text.node_vectors(nodes, adapters.tweets(spark, sf_dir), MATRIX), "vectors"), joined
+    return materialise(text.node_vectors(nodes, adapters.tweets(spark, sf_dir), MATRIX, sparse=True), "vectors"), joined
 
 
 @query

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F
 from test_graph import EDGES, X, dense, random_graphs, tables
 
@@ -161,6 +162,50 @@ def test_node_vectors(spark):
         assert found[k][1:] == pytest.approx((v / (np.linalg.norm(v) or 1)).tolist(), abs=1e-6)
 
 
+def test_sparse_node_vectors_equal_arrays(spark):
+    """ML vectors hold what the arrays hold, a missing figure as NaN, without the zeros."""
+    nodes, tweets = text_nodes(spark)
+    nodes = nodes.withColumn("x1", F.when(F.col("node_idx") != 2, F.col("node_idx").cast("double")))
+    dense = states(text.node_vectors(nodes, tweets, ["x0", "x1"], dimensions=64))
+    found = states(text.node_vectors(nodes, tweets, ["x0", "x1"], dimensions=64, sparse=True))
+    assert set(found) == set(dense)
+    for k, v in found.items():
+        filled = [np.nan if n is None else n for n in dense[k]]
+        assert v.toArray().tolist() == pytest.approx(filled, abs=1e-6, nan_ok=True) and len(v.values) < 8
+
+
+def test_stored_text_nodes_hold_no_zeros(spark):
+    from ripplegraph.plans import registry
+
+    nodes, _ = registry._text_nodes(spark, "/root/testdata/sf0.001")
+    row = nodes.first()
+    assert row.state.size == 392 and len(row.state.values) < 30
+
+
+@pytest.mark.parametrize("size", [None, 3, 9])
+def test_vectors_equal_arrays(spark, monkeypatch, size):
+    """ML vectors, sparse and dense ones, in one group, embedded before they travel, and in cells."""
+    if size:
+        monkeypatch.setattr(vectors, "CELL", size)
+        monkeypatch.setattr(vectors, "SLICED", 60)
+    rng = np.random.default_rng(8)
+    graphs = [(x * (rng.random(x.shape) < 0.1 + 0.9 * (np.arange(len(x)) % 3 == 0)[:, None]), e) for x, e in random_graphs(15, 4, 40)]
+    nodes, links = arrayed(spark, graphs)
+    sent = nodes.select("news_id", "node_idx", F.col("state").alias("_s"))
+    packed = F.udf(lambda v: (Vectors.sparse(40, [(i, n) for i, n in enumerate(v) if n]) if sum(map(bool, v)) < 20 else Vectors.dense(v)), VectorUDT())
+    sent = sent.select("news_id", "node_idx", packed("_s").alias("state"))
+    net = wide_network(40, 4)
+    last, spread = states(vectors.vector_states(sent, links, net)), states(vectors.vector_propagate(sent, links, 2))
+    found = {r.news_id: r.p_fake for r in vectors.vector_infer(sent, links, net).collect()}
+    for g, (x, e) in enumerate(graphs):
+        h, z = dense_pass(x, e, net)
+        a = dense(x, [e for e in e if e[0] != e[1]])
+        for i in range(len(x)):
+            assert last[(f"g{g}", i)] == pytest.approx(h[i].tolist())
+            assert spread[(f"g{g}", i)] == pytest.approx((a @ a @ x)[i].tolist())
+        assert found[f"g{g}"] == pytest.approx(np.exp(z[1]))
+
+
 def test_encoder_of_the_caller(spark):
     nodes, tweets = text_nodes(spark)
     found = text.encode_texts(tweets, ["tweet_id"], lambda texts: [[len(t), 1.0] for t in texts], "tweet_id string")
