@@ -220,7 +220,7 @@ def fit_staged(
     train_rows = materialise(prepared.transform(train).select("scaled", F.col("label").cast("double").alias("label")), "train")
     val_rows = materialise(prepared.transform(val).select("news_id", "label", "scaled"), "val")
     inputs = len(names) if width is None else width
-    models, history, weights, kept = {}, [], None, None
+    models, history, weights, kept, best_check = {}, [], None, None, 0
     for step in range(0, steps, check_every):
         classifier = perceptron(inputs, check_every if step else 1, hidden, seed)
         if weights is not None:
@@ -228,10 +228,14 @@ def fit_staged(
         models[step] = fitted = classifier.fit(train_rows)
         weights = fitted.weights
         history.append((step, float(score(predict_graphs(PipelineModel(stages=[fitted]), val_rows, "candidate")))))
+        # A fit stops ``patience`` checks after the best one at the earliest; the rule isn't asked before.
+        if len(history) < best_check + patience and step + check_every < steps:
+            continue
         table = spark.createDataFrame([("run", *row) for row in history], "run string, step int, val_f1 double")
         kept = select_by_val_f1(table, patience, check_every).first()
         if kept.stopped_at is not None:
             break
+        best_check = 0 if kept.best_step is None else kept.best_step // check_every + 1
     best = models[0 if kept.best_step is None else kept.best_step]
     return Staged(PipelineModel(stages=[assembler, scaler, best]), kept.best_step, kept.stopped_at, history)
 
